@@ -43,6 +43,7 @@ DATE_FORMATS = [
     "MMM d yyyy",
     "d MMM yyyy",
 ]
+DATE_HINT_PATTERN = r"^(\d{4}[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{8}$|[A-Za-z]{3} \d|\d{1,2} [A-Za-z]{3})"
 # Python's str.strip() whitespace, as a regex (SQL trim keeps tabs).
 STRIP_PATTERN = r"^\s+|\s+$"
 
@@ -121,7 +122,9 @@ def parse_number(c: Column) -> Column:
 def parse_timestamp(c: Column) -> Column:
     """Text → timestamp through the closed list of formats; unparsed → null."""
     txt = py_strip(c.cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(txt, F.lit(fmt)) for fmt in DATE_FORMATS])
+    # Cheap guard first: only text that starts like a date pays for the formats.
+    return F.when(txt.rlike(DATE_HINT_PATTERN),
+                  F.coalesce(*[F.try_to_timestamp(txt, F.lit(fmt)) for fmt in DATE_FORMATS]))
 
 
 def rnd(c: Column | str, digits: int) -> Column:

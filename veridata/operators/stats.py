@@ -80,6 +80,27 @@ def is_constant(df: DataFrame, cols: list[str] | None = None) -> tuple[dict[str,
     return nulls, const
 
 
+def column_facts(df: DataFrame) -> dict:
+    """One scan: rows, nulls and constancy per column, plus mean and an HLL
+    cardinality for numeric columns (the inputs of fill and quantile plans)."""
+    cols = df.columns
+    num = set(C.numeric_columns(df))
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    for i, c in enumerate(cols):
+        aggs += [F.count(C.col(c)).alias(f"nn{i}"), (F.min(C.col(c)) == F.max(C.col(c))).alias(f"eq{i}")]
+        if c in num:
+            aggs += [F.avg(C.col(c)).alias(f"avg{i}"), F.approx_count_distinct(C.col(c)).alias(f"hll{i}")]
+    row = df.agg(*aggs).first()
+    n = int(row["_n"])
+    return {
+        "rows": n,
+        "nulls": {c: n - int(row[f"nn{i}"]) for i, c in enumerate(cols)},
+        "const": {c: int(row[f"nn{i}"]) == 0 or bool(row[f"eq{i}"]) for i, c in enumerate(cols)},
+        "mean": {c: row[f"avg{i}"] for i, c in enumerate(cols) if c in num},
+        "hll": {c: int(row[f"hll{i}"]) for i, c in enumerate(cols) if c in num},
+    }
+
+
 def modes(df: DataFrame, cols: list[str]) -> dict[str, str | None]:
     """Most frequent non-null value per column (as text); tie → smallest value.
 

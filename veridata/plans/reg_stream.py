@@ -1 +1,73 @@
-"""Registered checks."""
+"""Checks for the per-key sliding-window throttle (ST1–ST3)."""
+
+from __future__ import annotations
+
+import os
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..session import ensure_checkpoint_dir
+from ..streaming import throttle as TH
+from .registry import register
+from .views import table
+
+DAY = 86_400
+LIMIT = 3
+CLASS_LIMITS = {"h": 2, "g": 3}
+HEAVY_TYPES = ["purchase", "signup"]
+
+
+def _oracle(class_sql: str, limit_sql: str) -> str:
+    """Recursive CTE: one step per event of a key, state = accepted marks."""
+    w = DAY * 1_000_000
+    kept = f"list_filter(r.acc, lambda x: x >= e.t - {w})"
+    return f"""
+WITH RECURSIVE e AS (
+  SELECT CAST(user_id AS VARCHAR) || ':' || cls AS k, event_id, epoch_us(ts) AS t, lim,
+         row_number() OVER (PARTITION BY user_id, cls ORDER BY ts, event_id) AS rn
+  FROM (SELECT *, {class_sql} AS cls, {limit_sql} AS lim FROM events)),
+r AS (
+  SELECT k, rn, event_id, true AS admitted, NULL::BIGINT AS retry_after, [t] AS acc FROM e WHERE rn = 1
+  UNION ALL
+  SELECT e.k, e.rn, e.event_id, len({kept}) < e.lim,
+         CASE WHEN len({kept}) >= e.lim THEN ({w} - (e.t - list_min({kept}))) // 1000000 + 1 END,
+         CASE WHEN len({kept}) < e.lim THEN list_append({kept}, e.t) ELSE {kept} END
+  FROM r JOIN e ON e.k = r.k AND e.rn = r.rn + 1)
+SELECT event_id, admitted, retry_after::BIGINT AS retry_after FROM r"""
+
+
+_BATCH_SQL = _oracle("'g'", str(LIMIT))
+
+
+@register("throttle_batch", _BATCH_SQL)
+def q_throttle_batch(spark, d):
+    out = TH.throttle(table(spark, d, "events"), window_s=DAY, limits={"g": LIMIT})
+    return out.select("event_id", "admitted", "retry_after")
+
+
+@register("throttle_classes", _oracle(
+    "CASE WHEN event_type IN ('purchase', 'signup') THEN 'h' ELSE 'g' END",
+    "CASE WHEN event_type IN ('purchase', 'signup') THEN 2 ELSE 3 END"))
+def q_throttle_classes(spark, d):
+    ev = table(spark, d, "events")
+    ev = ev.withColumn("cost_class", F.when(F.col("event_type").isin(HEAVY_TYPES), "h").otherwise("g"))
+    out = TH.throttle(ev, window_s=DAY, limits=CLASS_LIMITS, cost_class="cost_class")
+    return out.select("event_id", "admitted", "retry_after")
+
+
+@register("throttle_stream", _BATCH_SQL)
+def q_throttle_stream(spark, d):
+    """The events file replayed as a stream (availableNow), decisions written
+    to a Parquet sink under the shared checkpoint folder, then read back."""
+    schema = table(spark, d, "events").schema
+    base = ensure_checkpoint_dir(spark)
+    base = base[5:] if base.startswith("file:") else base
+    run = os.path.join(base, "stream-" + uuid.uuid4().hex)
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    out = TH.throttle_stream(stream, window_s=DAY, limits={"g": LIMIT}, watermark="1 day")
+    q = (out.writeStream.format("parquet").option("path", os.path.join(run, "out"))
+         .option("checkpointLocation", os.path.join(run, "ckpt")).outputMode("append")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(os.path.join(run, "out")).select("event_id", "admitted", "retry_after")

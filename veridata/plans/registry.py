@@ -27,4 +27,4 @@ def register(key: str, sql: str | None = None):
 
 def load_all() -> None:
     # Importing the modules fills QUERIES and ORACLE.
-    from . import reg_eda, reg_clean, reg_io, reg_models, reg_text, reg_stream  # noqa: F401
+    from . import reg_eda, reg_clean, reg_io, reg_models, reg_text, reg_stream, reg_quality  # noqa: F401

@@ -119,12 +119,30 @@ def parse_number(c: Column) -> Column:
                    F.trim(txt).try_cast("double")))
 
 
+# Shape → candidate formats. Each value is tested against cheap shape
+# patterns and only tries the formats of its shape.
+DATE_SHAPES = [
+    (r"^\d{4}-\d{2}-\d{2}$", ["yyyy-MM-dd"]),
+    (r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?$",
+     ["yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+      "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm"]),
+    (r"^\d{4}/\d{2}/\d{2}$", ["yyyy/MM/dd"]),
+    (r"^\d{2}/\d{2}/\d{4}( \d{2}:\d{2}:\d{2})?$", ["MM/dd/yyyy", "MM/dd/yyyy HH:mm:ss"]),
+    (r"^\d{8}$", ["yyyyMMdd"]),
+    (r"^[A-Za-z]{3} \d{1,2} \d{4}$", ["MMM d yyyy"]),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4}$", ["d MMM yyyy"]),
+]
+
+
 def parse_timestamp(c: Column) -> Column:
     """Text → timestamp through the closed list of formats; unparsed → null."""
     txt = py_strip(c.cast("string"))
-    # Cheap guard first: only text that starts like a date pays for the formats.
-    return F.when(txt.rlike(DATE_HINT_PATTERN),
-                  F.coalesce(*[F.try_to_timestamp(txt, F.lit(fmt)) for fmt in DATE_FORMATS]))
+    out = None
+    for shape, fmts in DATE_SHAPES:
+        val = F.coalesce(*[F.try_to_timestamp(txt, F.lit(f)) for f in fmts]) if len(fmts) > 1 \
+            else F.try_to_timestamp(txt, F.lit(fmts[0]))
+        out = F.when(txt.rlike(shape), val) if out is None else out.when(txt.rlike(shape), val)
+    return out
 
 
 def rnd(c: Column | str, digits: int) -> Column:

@@ -8,6 +8,7 @@ metadata is collected; the rows stay on the executors.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
@@ -185,9 +186,12 @@ def category_distributions(df: DataFrame, categorical: list[str] | None = None)
 def correlation(df: DataFrame, digits: int = 3) -> DataFrame:
     """Pearson r over pairwise-complete rows, long form (a, b, r) with i < j.
 
-    One aggregation computes every pair's covariance and standard deviations
-    plus min/max per column (constancy) — no shuffle of data. Zero variance
-    gives null through ``try_divide`` and is reported as 0.
+    Two scans, no shuffle. Pass 1: count, mean (the shift), min/max
+    (constancy) per column. Pass 2: plain sums of shifted values — cheap,
+    codegen-friendly aggregates. Columns without nulls share their
+    per-column sums; only pairs involving a column with nulls get their own
+    masked sums. Shifting by the mean keeps the sums well conditioned.
+    Zero variance reports 0.
     """
     df = C.nan_to_null(df)
     num = C.numeric_columns(df)
@@ -195,24 +199,45 @@ def correlation(df: DataFrame, digits: int = 3) -> DataFrame:
     if len(num) < 2:
         return _spark(df).createDataFrame([], schema)
     x = {c: C.col(c).cast("double") for c in num}
-    aggs = []
+    p1 = []
     for k, c in enumerate(num):
-        aggs += [(F.min(x[c]) == F.max(x[c])).alias(f"eq{k}"), F.count(x[c]).alias(f"nn{k}")]
-    pairs = list(combinations(range(len(num)), 2))
-    for (a, b) in pairs:
-        xa = F.when(x[num[b]].isNotNull(), x[num[a]])
-        xb = F.when(x[num[a]].isNotNull(), x[num[b]])
-        r = F.try_divide(F.covar_samp(xa, xb), F.stddev_samp(xa) * F.stddev_samp(xb))
-        aggs.append(r.alias(f"r{a}_{b}"))
-    row = df.agg(*aggs).first()
-    keep = [k for k, c in enumerate(num) if row[f"nn{k}"] > 0 and not row[f"eq{k}"]]
+        p1 += [F.count(x[c]).alias(f"nn{k}"), F.avg(x[c]).alias(f"m{k}"),
+               (F.min(x[c]) == F.max(x[c])).alias(f"eq{k}")]
+    r1 = df.agg(F.count(F.lit(1)).alias("_n"), *p1).first()
+    n = int(r1["_n"])
+    keep = [k for k in range(len(num)) if r1[f"nn{k}"] > 0 and not r1[f"eq{k}"]]
     if len(keep) < 2:
         return _spark(df).createDataFrame([], schema)
+    full = {k for k in keep if r1[f"nn{k}"] == n}
+    z = {k: x[num[k]] - F.lit(float(r1[f"m{k}"])) for k in keep}
+    p2 = []
+    for k in keep:
+        if k in full:
+            p2 += [F.sum(z[k]).alias(f"s{k}"), F.sum(z[k] * z[k]).alias(f"q{k}")]
+    pairs = [(a, b) for a, b in combinations(keep, 2)]
+    for a, b in pairs:
+        p2.append(F.sum(z[a] * z[b]).alias(f"x{a}_{b}"))
+        if not (a in full and b in full):
+            both = x[num[a]].isNotNull() & x[num[b]].isNotNull()
+            za, zb = F.when(both, z[a]), F.when(both, z[b])
+            p2 += [F.count(za).alias(f"n{a}_{b}"), F.sum(za).alias(f"sa{a}_{b}"), F.sum(zb).alias(f"sb{a}_{b}"),
+                   F.sum(za * za).alias(f"qa{a}_{b}"), F.sum(zb * zb).alias(f"qb{a}_{b}")]
+    r2 = df.agg(*p2).first()
     rows = []
-    for (a, b) in pairs:
-        if a in keep and b in keep:
-            v = row[f"r{a}_{b}"]
-            rows.append((keep.index(a), keep.index(b), num[a], num[b], v))
+    for a, b in pairs:
+        if a in full and b in full:
+            m, sa, sb, qa, qb = n, r2[f"s{a}"], r2[f"s{b}"], r2[f"q{a}"], r2[f"q{b}"]
+        else:
+            m = r2[f"n{a}_{b}"]
+            sa, sb, qa, qb = r2[f"sa{a}_{b}"], r2[f"sb{a}_{b}"], r2[f"qa{a}_{b}"], r2[f"qb{a}_{b}"]
+        sab = r2[f"x{a}_{b}"]
+        r = None
+        if m and m > 1 and sab is not None:
+            cov = sab - sa * sb / m
+            va, vb = qa - sa * sa / m, qb - sb * sb / m
+            if va > 0 and vb > 0:
+                r = max(-1.0, min(1.0, cov / math.sqrt(va * vb)))
+        rows.append((keep.index(a), keep.index(b), num[a], num[b], r))
     out = _spark(df).createDataFrame(rows, schema)
     return out.withColumn("r", C.rnd(F.coalesce(F.col("r"), F.lit(0.0)), digits))
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import compat as C
 
@@ -45,6 +46,67 @@ def value_counts_long(df: DataFrame, cols: list[str]) -> DataFrame:
     return long_values(df, cols).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def typed_key(f: T.StructField) -> F.Column:
+    """Exact, typed grouping key for any column: struct(l long, d double, s string).
+
+    Integral, boolean and date/time values go to ``l`` (time as µs), floats to
+    ``d``, everything else to ``s`` as text — cheaper to hash than text for
+    numbers, and exact (no long → double rounding).
+    """
+    x = C.col(f.name)
+    dt = f.dataType
+    none_l, none_d, none_s = F.lit(None).cast("long"), F.lit(None).cast("double"), F.lit(None).cast("string")
+    if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)):
+        parts = (x.cast("long"), none_d, none_s)
+    elif isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        parts = (F.unix_micros(x.cast("timestamp")), none_d, none_s)
+    elif isinstance(dt, (T.FloatType, T.DoubleType)):
+        parts = (none_l, x.cast("double"), none_s)
+    else:
+        parts = (none_l, none_d, x.cast("string"))
+    return F.struct(parts[0].alias("l"), parts[1].alias("d"), parts[2].alias("s"))
+
+
+def grouped_values(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(c, v, n): every distinct non-null typed value per column index, one shuffle."""
+    fields = {f.name: f for f in df.schema.fields}
+    items = [F.when(C.col(c).isNotNull(), F.struct(F.lit(i).alias("c"), typed_key(fields[c]).alias("v")))
+             for i, c in enumerate(cols)]
+    ex = df.select(F.explode(F.array(*items)).alias("p")).where(F.col("p").isNotNull())
+    return ex.groupBy(F.col("p.c").alias("c"), F.col("p.v").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def distinct_and_quantiles(df: DataFrame, cols: list[str], qcols: list[str], probs: list[float],
+                           hll: dict[str, int]) -> tuple[dict[str, int], dict[str, list]]:
+    """Exact distinct counts for ``cols`` and quantiles for ``qcols`` from ONE shuffle.
+
+    The grouped (column, value, n) rows feed ``percentile(value, probs, n)``
+    per column — but only for columns whose HLL cardinality is under the
+    exact bound; the others get ``percentile_approx`` in a separate pass.
+    """
+    if not cols:
+        return {}, {}
+    exact_q = {c for c in qcols if hll.get(c, 0) <= C.EXACT_PERCENTILE_MAX_DISTINCT}
+    idx = {c: i for i, c in enumerate(cols)}
+    g = grouped_values(df, cols)
+    val = F.coalesce(F.col("v.d"), F.col("v.l").cast("double"))
+    qmask = F.col("c").isin([idx[c] for c in exact_q]) if exact_q else F.lit(False)
+    arr = F.array(*[F.lit(float(p)) for p in probs])
+    agg = g.groupBy("c").agg(F.count(F.lit(1)).alias("d"),
+                             F.percentile(F.when(qmask, val), arr, F.col("n")).alias("q"))
+    got = {r["c"]: r for r in agg.collect()}
+    distinct = {c: int(got[i]["d"]) if i in got else 0 for c, i in idx.items()}
+    q = {}
+    for c in qcols:
+        if c in exact_q:
+            r = got.get(idx[c])
+            q[c] = list(r["q"]) if r is not None and r["q"] is not None else [None] * len(probs)
+    rest = [c for c in qcols if c not in exact_q]
+    if rest:
+        q.update(quantiles(df, rest, probs, exact=False))
+    return distinct, q
+
+
 def distinct_counts(df: DataFrame, cols: list[str] | None = None, exact: bool = True) -> dict[str, int]:
     """Distinct non-null values per column.
 
@@ -57,9 +119,9 @@ def distinct_counts(df: DataFrame, cols: list[str] | None = None, exact: bool =
     if not exact:
         row = df.agg(*[F.approx_count_distinct(C.col(c)).alias(_safe(i)) for i, c in enumerate(cols)]).first()
         return {c: int(row[_safe(i)]) for i, c in enumerate(cols)}
-    got = {r["column"]: int(r["d"]) for r in
-           value_counts_long(df, cols).groupBy("column").agg(F.count(F.lit(1)).alias("d")).collect()}
-    return {c: got.get(c, 0) for c in cols}
+    got = {r["c"]: int(r["d"]) for r in
+           grouped_values(df, cols).groupBy("c").agg(F.count(F.lit(1)).alias("d")).collect()}
+    return {c: got.get(i, 0) for i, c in enumerate(cols)}
 
 
 def is_constant(df: DataFrame, cols: list[str] | None = None) -> tuple[dict[str, int], dict[str, bool]]:
@@ -87,9 +149,10 @@ def column_facts(df: DataFrame) -> dict:
     num = set(C.numeric_columns(df))
     aggs = [F.count(F.lit(1)).alias("_n")]
     for i, c in enumerate(cols):
-        aggs += [F.count(C.col(c)).alias(f"nn{i}"), (F.min(C.col(c)) == F.max(C.col(c))).alias(f"eq{i}")]
+        aggs += [F.count(C.col(c)).alias(f"nn{i}"), (F.min(C.col(c)) == F.max(C.col(c))).alias(f"eq{i}"),
+                 F.approx_count_distinct(C.col(c)).alias(f"hll{i}")]
         if c in num:
-            aggs += [F.avg(C.col(c)).alias(f"avg{i}"), F.approx_count_distinct(C.col(c)).alias(f"hll{i}")]
+            aggs.append(F.avg(C.col(c)).alias(f"avg{i}"))
     row = df.agg(*aggs).first()
     n = int(row["_n"])
     return {
@@ -97,7 +160,7 @@ def column_facts(df: DataFrame) -> dict:
         "nulls": {c: n - int(row[f"nn{i}"]) for i, c in enumerate(cols)},
         "const": {c: int(row[f"nn{i}"]) == 0 or bool(row[f"eq{i}"]) for i, c in enumerate(cols)},
         "mean": {c: row[f"avg{i}"] for i, c in enumerate(cols) if c in num},
-        "hll": {c: int(row[f"hll{i}"]) for i, c in enumerate(cols) if c in num},
+        "hll": {c: int(row[f"hll{i}"]) for i, c in enumerate(cols)},
     }
 
 

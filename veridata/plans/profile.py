@@ -5,10 +5,10 @@ Tukey outliers. Four passes over the data, each a single aggregation:
 
 1. row count, non-null counts, mean/std/min/max and an HLL cardinality
    (no shuffle; partial aggregation per task);
-2. exact distinct counts through one ``groupBy(column, value)`` shuffle
-   (skipped with ``exact=False``: the HLL numbers from pass 1 are used);
-3. quartiles for all numeric columns in one aggregation (exact only where
-   the cardinality bound holds, see ``stats.quantiles``);
+2. exact distinct counts *and* quartiles from one ``groupBy(column, value)``
+   shuffle: the grouped (value, count) rows feed ``percentile`` with a
+   frequency, for columns under the HLL cardinality bound (the others use a
+   sketch); with ``exact=False`` the HLL numbers and sketches are used;
 4. outlier counts against the fences from pass 3.
 """
 
@@ -61,11 +61,14 @@ def profile(df: DataFrame, exact: bool = True, digits: int = 6) -> DataFrame:
     n = int(r1["_n"])
     hll = {c: int(r1[f"hll{i}"]) for i, c in enumerate(cols) if f"hll{i}" in r1.asDict()}
 
-    # pass 2
-    distinct = stats.distinct_counts(df, cols) if exact else {c: hll[c] for c in cols}
+    # pass 2 (+3): one shuffle gives exact distinct counts and quartiles
+    if exact:
+        distinct, q = stats.distinct_and_quantiles(df, cols, num, [0.25, 0.5, 0.75], hll)
+    else:
+        distinct = {c: hll[c] for c in cols}
+        q = stats.quantiles(df, num, [0.25, 0.5, 0.75], exact=False)
 
-    # pass 3 and 4
-    q = stats.quantiles(df, num, [0.25, 0.5, 0.75], exact=exact, cardinality=hll)
+    # pass 4
     outl = stats.outlier_counts(df, stats.fences(q, skip_zero_iqr=False))
 
     rows = []

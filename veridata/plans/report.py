@@ -6,9 +6,12 @@ results are combined here.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import compat as C
+
 from ..operators import clean as CL
 from ..operators import eda, models, quality
 from ..operators.typing import column_types
@@ -51,22 +54,33 @@ def eda_bundle(df: DataFrame) -> DataFrame:
 
 
 def report(df: DataFrame) -> DataFrame:
+    """One-click report. The input is persisted once (MEMORY_AND_DISK, so a
+    lost executor recomputes its blocks from lineage) because every section
+    reads it; each section's small result is collected, then the input is
+    released and the rows are returned as a new frame."""
     spark = df.sparkSession
-    q = quality.quality(df)
-    rows = [("dims", "rows", df.count()), ("dims", "columns", len(df.columns)),
-            ("quality", "score", q["score"]), ("quality", "grade", q["grade"]), ("quality", "summary", q["summary"])]
-    rows += [("quality_factor", n, f"{p}: {d}") for n, p, d in q["factors"]]
-    types = column_types(df)
-    rows += [("types", c, k) for k, cs in types.items() for c in cs]
-    parts = [_rows(spark, rows)]
-    parts.append(_long(quality.findings(df), "findings", "position"))
-    parts.append(_long(eda.top_correlations(df, 5), "top_correlations", "rank"))
-    cl = CL.clean(df)
-    parts.append(_long(cl.before.unionByName(cl.after), "cleaning_stats", "stage"))
-    parts.append(_long(cl.log, "cleaning_log", "step_no"))
-    for res in models.auto_model(df):
-        parts.append(_rows(spark, [("model", f"{res.model}.{m}", v) for m, v in res.metrics]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    src = C.nan_to_null(df).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        facts = quality._facts(src)
+        q = quality.quality(src, facts)
+        rows = [("dims", "rows", facts["rows"]), ("dims", "columns", len(src.columns)),
+                ("quality", "score", q["score"]), ("quality", "grade", q["grade"]),
+                ("quality", "summary", q["summary"])]
+        rows += [("quality_factor", n, f"{p}: {d}") for n, p, d in q["factors"]]
+        types = column_types(src)
+        rows += [("types", c, k) for k, cs in types.items() for c in cs]
+        corr = sorted(eda.correlation(src).collect(), key=lambda r: (r["i"], r["j"]))
+        fnd = quality.findings(src, facts, corr).collect()
+        rows += [("findings", f"{r['position']}.{r['level']}", r["text"]) for r in fnd]
+        top = sorted(corr, key=lambda r: (-abs(r["r"]), r["i"], r["j"]))[:5]
+        rows += [("top_correlations", f"{k + 1}.{r['col_a']}|{r['col_b']}", r["r"]) for k, r in enumerate(top)]
+        cl = CL.clean(src)
+        for r in cl.before.unionByName(cl.after).collect():
+            rows += [("cleaning_stats", f"{r['stage']}.{k}", r[k]) for k in ("rows", "columns", "nulls", "duplicates")]
+        rows += [("cleaning_log", f"{r['step_no']}.{r['step']}", f"{r['affected']}: {r['detail']}")
+                 for r in cl.log.collect()]
+        for res in models.auto_model(src):
+            rows += [("model", f"{res.model}.{m}", v) for m, v in res.metrics]
+        return _rows(spark, rows)
+    finally:
+        src.unpersist()

@@ -68,7 +68,8 @@ def describe_numeric(df: DataFrame, exact: bool = True) -> DataFrame:
     r = df.agg(*aggs).first()
     card = {c: int(r[f"d{i}"]) for i, c in enumerate(num)} if exact else None
     q = stats.quantiles(df, num, [0.25, 0.5, 0.75], exact=exact, cardinality=card)
-    rows = [(i, c, int(r[f"n{i}"]), r[f"a{i}"], r[f"s{i}"], r[f"lo{i}"], *q[c], r[f"hi{i}"])
+    pos = {c: k for k, c in enumerate(df.columns)}
+    rows = [(pos[c], c, int(r[f"n{i}"]), r[f"a{i}"], r[f"s{i}"], r[f"lo{i}"], *q[c], r[f"hi{i}"])
             for i, c in enumerate(num)]
     out = _spark(df).createDataFrame(rows, schema)
     return out.select("position", "column", "count",
@@ -111,7 +112,8 @@ def describe_time(df: DataFrame) -> DataFrame:
                         cardinality={c: int(r[f"d{i}"]) for i, c in enumerate(tcols)})
     def fl(v):
         return None if v is None else float(v)
-    rows = [(i, c, int(r[f"n{i}"]), fl(r[f"a{i}"]), fl(r[f"lo{i}"]), *[fl(v) for v in q[c]], fl(r[f"hi{i}"]))
+    pos = {c: k for k, c in enumerate(df.columns)}
+    rows = [(pos[c], c, int(r[f"n{i}"]), fl(r[f"a{i}"]), fl(r[f"lo{i}"]), *[fl(v) for v in q[c]], fl(r[f"hi{i}"]))
             for i, c in enumerate(tcols)]
     raw =_spark(df).createDataFrame(
         rows, "position int, column string, count long, mean double, min double, p25 double, "

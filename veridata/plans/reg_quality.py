@@ -126,11 +126,6 @@ def q_mistyped(spark, d):
     return QU.mistyped(dirty(spark, d))
 
 
-@register("findings")
-def q_findings(spark, d):
-    return QU.findings(dirty(spark, d))
-
-
 @register("eda_bundle")
 def q_eda_bundle(spark, d):
     return eda_bundle(dirty(spark, d))
@@ -139,3 +134,52 @@ def q_eda_bundle(spark, d):
 @register("report")
 def q_report(spark, d):
     return report(dirty(spark, d))
+
+
+_NUMQ = [c for c, t in G.DIRTY if t in ("bigint", "double")]
+_PAIRS = [(i, j) for i in range(len(_NUMQ)) for j in range(i + 1, len(_NUMQ))]
+_FINDINGS_SQL = dirty_cte(""",
+nn AS (SELECT count(*) AS n FROM dirty),
+dup AS (SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty)) AS d FROM dirty),
+cols AS (""" + G.union([
+    f"SELECT {i} AS position, '{c}' AS name, count(*) - count({G.q(c)}) AS nulls, "
+    f"count(DISTINCT {G.q(c)}) AS d FROM dirty" for i, (c, _) in enumerate(G.DIRTY)]) + """),
+pct AS (SELECT position, name, round((nulls * 100.0) / (SELECT n FROM nn), 2) AS p FROM cols),
+pairs AS (""" + G.union([
+    f"SELECT {i} AS i, {j} AS j, '{_NUMQ[i]}' AS a, '{_NUMQ[j]}' AS b, corr({_NUMQ[i]}, {_NUMQ[j]}) AS r0 FROM dirty "
+    f"HAVING min({_NUMQ[i]}) <> max({_NUMQ[i]}) AND min({_NUMQ[j]}) <> max({_NUMQ[j]})" for i, j in _PAIRS]) + """),
+pr AS (SELECT i, j, a, b, round(CASE WHEN r0 IS NULL OR isnan(r0) THEN 0 ELSE r0 END, 3) + 0.0 AS r FROM pairs),
+outl AS (""" + G.union([
+    f"SELECT {k} AS position, '{c}' AS name, (SELECT count(*) FROM dirty, (SELECT quantile_cont({c}, 0.25) AS lo, "
+    f"quantile_cont({c}, 0.75) AS hi FROM dirty) f WHERE {c} < lo - 1.5 * (hi - lo) OR {c} > hi + 1.5 * (hi - lo)) AS k"
+    for k, c in enumerate(_NUMQ)]) + """),
+items AS (
+  SELECT 1 AS k, 'warning' AS level, printf('Hay %d filas duplicadas (%s%%). Considera eliminarlas.', d,
+         CAST(round(d * 100.0 / (SELECT n FROM nn), 2) AS VARCHAR)) AS text FROM dup WHERE d > 0
+  UNION ALL
+  SELECT 2, 'warning', printf('«%s» es la columna con más valores faltantes (%s%%). %d columna(s) tienen nulos en total.',
+         name, CAST(p AS VARCHAR), (SELECT count(*) FROM pct WHERE p > 0))
+  FROM (SELECT * FROM pct WHERE p > 0 ORDER BY p DESC, position LIMIT 1)
+  UNION ALL
+  SELECT 2, 'success', 'No hay valores faltantes: el dataset está completo.' WHERE NOT EXISTS (SELECT 1 FROM pct WHERE p > 0)
+  UNION ALL
+  SELECT 3, 'info', 'Columna(s) con un solo valor (sin información útil): '
+         || (SELECT string_agg(name, ', ' ORDER BY position) FROM (SELECT * FROM cols WHERE d <= 1 ORDER BY position LIMIT 5))
+         || '.' WHERE EXISTS (SELECT 1 FROM cols WHERE d <= 1)
+  UNION ALL
+  SELECT 4, 'info', printf('«%s» parece un identificador único (un valor distinto por fila).', name)
+  FROM (SELECT * FROM cols WHERE d = (SELECT n FROM nn) AND (SELECT n FROM nn) > 1 ORDER BY position LIMIT 1)
+  UNION ALL
+  SELECT 5, 'info', printf('Correlación %s fuerte (%+.2f) entre «%s» y «%s».',
+         CASE WHEN r > 0 THEN 'positiva' ELSE 'negativa' END, r, a, b)
+  FROM (SELECT * FROM pr ORDER BY abs(r) DESC, i, j LIMIT 1) WHERE abs(r) >= 0.7
+  UNION ALL
+  SELECT 6, 'info', printf('«%s» tiene %d valores atípicos (%s%%) según el método IQR.', name, k,
+         CAST(round(k * 100.0 / (SELECT n FROM nn), 1) AS VARCHAR))
+  FROM (SELECT * FROM outl ORDER BY k DESC, position LIMIT 1) WHERE k > 0)
+SELECT (row_number() OVER (ORDER BY k) - 1)::INTEGER AS position, level, text FROM items""")
+
+
+@register("findings", _FINDINGS_SQL)
+def q_findings(spark, d):
+    return QU.findings(dirty(spark, d))

@@ -77,7 +77,8 @@ def grouped_values(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def distinct_and_quantiles(df: DataFrame, cols: list[str], qcols: list[str], probs: list[float],
-                           hll: dict[str, int]) -> tuple[dict[str, int], dict[str, list]]:
+                           hll: dict[str, int], mode_cols: list[str] | None = None,
+                           want: dict | None = None) -> tuple[dict[str, int], dict[str, list]]:
     """Exact distinct counts for ``cols`` and quantiles for ``qcols`` from ONE shuffle.
 
     The grouped (column, value, n) rows feed ``percentile(value, probs, n)``
@@ -92,9 +93,17 @@ def distinct_and_quantiles(df: DataFrame, cols: list[str], qcols: list[str], pro
     val = F.coalesce(F.col("v.d"), F.col("v.l").cast("double"))
     qmask = F.col("c").isin([idx[c] for c in exact_q]) if exact_q else F.lit(False)
     arr = F.array(*[F.lit(float(p)) for p in probs])
-    agg = g.groupBy("c").agg(F.count(F.lit(1)).alias("d"),
-                             F.percentile(F.when(qmask, val), arr, F.col("n")).alias("q"))
+    aggs = [F.count(F.lit(1)).alias("d"), F.percentile(F.when(qmask, val), arr, F.col("n")).alias("q")]
+    if mode_cols:
+        # most frequent value, tie → smallest; a constant-size streaming buffer
+        aggs.append(F.min(F.struct((-F.col("n")).alias("neg"), F.col("v").alias("v"))).alias("m"))
+    agg = g.groupBy("c").agg(*aggs)
     got = {r["c"]: r for r in agg.collect()}
+    if mode_cols is not None and want is not None:
+        fields = {f.name: f.dataType for f in df.schema.fields}
+        for c in mode_cols:
+            r = got.get(idx[c])
+            want[c] = _typed_value(r["m"]["v"], fields[c]) if r is not None and r["m"] is not None else None
     distinct = {c: int(got[i]["d"]) if i in got else 0 for c, i in idx.items()}
     q = {}
     for c in qcols:
@@ -107,6 +116,23 @@ def distinct_and_quantiles(df: DataFrame, cols: list[str], qcols: list[str], pro
     return distinct, q
 
 
+def _typed_value(v, dt: T.DataType):
+    """Typed grouping key → a literal the column type can cast from."""
+    import datetime as _dt
+    if v is None:
+        return None
+    if v["s"] is not None:
+        return v["s"]
+    if v["d"] is not None:
+        return v["d"]
+    if isinstance(dt, T.BooleanType):
+        return "true" if v["l"] else "false"
+    if isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        t = _dt.datetime(1970, 1, 1) + _dt.timedelta(microseconds=int(v["l"]))
+        return t.isoformat(sep=" ")
+    return v["l"]
+
+
 def distinct_counts(df: DataFrame, cols: list[str] | None = None, exact: bool = True) -> dict[str, int]:
     """Distinct non-null values per column.
 

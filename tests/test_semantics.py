@@ -238,3 +238,13 @@ def test_throttle_batch_equals_stream(spark, tmp_path):
     q.awaitTermination()
     got = {r["event_id"]: (r["admitted"], r["retry_after"]) for r in spark.table("thr_test").collect()}
     assert got == batch and sum(1 for a, _ in batch.values() if a) < 60
+
+
+def test_refined_quantiles_equal_exact_percentile_on_skew(spark, monkeypatch):
+    # one value holds a third of all rows; the rest are spread out
+    data = [(5.0,)] * 400 + [(float(i) * 0.37,) for i in range(800)]
+    df = spark.createDataFrame(data, "x double").repartition(4)
+    monkeypatch.setattr(stats, "FETCH_LIMIT", 50)  # force several refinement rounds
+    got = stats.refine_quantiles(df, ["x"], [0.1, 0.25, 0.5, 0.75, 0.99])["x"]
+    want = list(df.agg(F.percentile("x", F.array(*[F.lit(p) for p in [0.1, 0.25, 0.5, 0.75, 0.99]]))).first()[0])
+    assert all(abs(a - b) < 1e-9 for a, b in zip(got, want))

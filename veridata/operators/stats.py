@@ -6,6 +6,8 @@ driver; the data itself never leaves the executors.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,7 +85,7 @@ def distinct_and_quantiles(df: DataFrame, cols: list[str], qcols: list[str], pro
 
     The grouped (column, value, n) rows feed ``percentile(value, probs, n)``
     per column — but only for columns whose HLL cardinality is under the
-    exact bound; the others get ``percentile_approx`` in a separate pass.
+    exact bound; the others go through ``refine_quantiles``.
     """
     if not cols:
         return {}, {}
@@ -112,7 +114,7 @@ def distinct_and_quantiles(df: DataFrame, cols: list[str], qcols: list[str], pro
             q[c] = list(r["q"]) if r is not None and r["q"] is not None else [None] * len(probs)
     rest = [c for c in qcols if c not in exact_q]
     if rest:
-        q.update(quantiles(df, rest, probs, exact=False))
+        q.update(refine_quantiles(df, rest, probs))
     return distinct, q
 
 
@@ -212,8 +214,9 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], exact: bool =
 
     Spark's exact ``percentile`` buffers one entry per *distinct* value, so it
     is used only for columns whose distinct count is checked to be below
-    ``EXACT_PERCENTILE_MAX_DISTINCT``; larger columns use ``percentile_approx``
-    with a fine accuracy. All columns go in one aggregation pass.
+    ``EXACT_PERCENTILE_MAX_DISTINCT``; larger columns go through
+    ``refine_quantiles`` (exact, bounded memory). ``exact=False`` uses the
+    ``percentile_approx`` sketch.
     """
     if not cols:
         return {}
@@ -221,18 +224,21 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], exact: bool =
         row = df.agg(*[F.approx_count_distinct(C.col(c)).alias(_safe(i)) for i, c in enumerate(cols)]).first()
         cardinality = {c: int(row[_safe(i)]) for i, c in enumerate(cols)}
     arr = F.array(*[F.lit(float(p)) for p in probs])
-    aggs = []
-    for i, c in enumerate(cols):
-        x = C.col(c).cast("double")
-        if exact and cardinality.get(c, 0) <= C.EXACT_PERCENTILE_MAX_DISTINCT:
-            aggs.append(F.percentile(x, arr).alias(_safe(i)))
-        else:
-            aggs.append(F.percentile_approx(x, arr, C.APPROX_PERCENTILE_ACCURACY).alias(_safe(i)))
-    row = df.agg(*aggs).first()
+    direct = [c for c in cols if not exact or cardinality.get(c, 0) <= C.EXACT_PERCENTILE_MAX_DISTINCT]
     out = {}
-    for i, c in enumerate(cols):
-        v = row[_safe(i)]
-        out[c] = list(v) if v is not None else [None] * len(probs)
+    if direct:
+        aggs = []
+        for i, c in enumerate(direct):
+            x = C.col(c).cast("double")
+            aggs.append(F.percentile(x, arr).alias(_safe(i)) if exact else
+                        F.percentile_approx(x, arr, C.APPROX_PERCENTILE_ACCURACY).alias(_safe(i)))
+        row = df.agg(*aggs).first()
+        for i, c in enumerate(direct):
+            v = row[_safe(i)]
+            out[c] = [float(x) for x in v] if v is not None else [None] * len(probs)
+    rest = [c for c in cols if c not in direct]
+    if rest:
+        out.update(refine_quantiles(df, rest, probs))
     return out
 
 
@@ -275,3 +281,109 @@ def duplicate_rows(df: DataFrame) -> tuple[int, int]:
     g = df.groupBy(*[C.col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
     row = g.agg(F.sum("_n").alias("n"), F.sum(F.col("_n") - 1).alias("d")).first()
     return int(row["n"] or 0), int(row["d"] or 0)
+
+
+# ── exact quantiles for columns of any cardinality ──────────────────────────
+REFINE_BINS = 1024
+FETCH_LIMIT = 200_000
+
+
+def refine_quantiles(df: DataFrame, cols: list[str], probs: list[float],
+                     max_rounds: int = 16) -> dict[str, list[float | None]]:
+    """Exact linear-interpolation quantiles by histogram refinement.
+
+    For every needed rank a value band [lo, hi] is kept with the count of
+    values below it. Each round is ONE aggregation over the rows inside the
+    active bands: a 1,024-bin histogram (count, min, max) per band; the band
+    shrinks to the bin holding its rank. When a band holds at most
+    ``FETCH_LIMIT`` values, its (value, count) pairs are fetched and the
+    rank is read off. No task ever buffers a whole column, whatever its
+    cardinality; the driver sees at most bins × bands or FETCH_LIMIT rows.
+    """
+    if not cols:
+        return {}
+    x = {c: C.col(c).cast("double") for c in cols}
+    r0 = df.agg(*[e for i, c in enumerate(cols) for e in
+                  (F.count(x[c]).alias(f"n{i}"), F.min(x[c]).alias(f"lo{i}"), F.max(x[c]).alias(f"hi{i}"))]).first()
+    bands = {}   # band id -> dict(col, lo, hi, below)
+    need = {}    # (col, rank) -> band id
+    for i, c in enumerate(cols):
+        n = int(r0[f"n{i}"])
+        if n == 0:
+            continue
+        b = len(bands)
+        bands[b] = {"col": c, "lo": float(r0[f"lo{i}"]), "hi": float(r0[f"hi{i}"]), "below": 0}
+        for p in probs:
+            k = int(math.floor((n - 1) * p))
+            for rk in {k, min(k + 1, n - 1)}:
+                need[(c, rk)] = b
+    found: dict[tuple, float] = {}
+    for _ in range(max_rounds):
+        live = {b for key, b in need.items() if key not in found}
+        if not live:
+            break
+        live = sorted(live)
+        # in-band row counts for every live band (one pass)
+        cnt = df.agg(*[F.count_if(x[bands[b]["col"]].between(bands[b]["lo"], bands[b]["hi"])).alias(f"b{b}")
+                       for b in live]).first()
+        small = [b for b in live if int(cnt[f"b{b}"]) <= FETCH_LIMIT or bands[b]["lo"] == bands[b]["hi"]]
+        big = [b for b in live if b not in small]
+        if small:
+            items = [F.when(x[bands[b]["col"]].between(bands[b]["lo"], bands[b]["hi"]),
+                            F.struct(F.lit(b).alias("b"), x[bands[b]["col"]].alias("v"))) for b in small]
+            vals = (df.select(F.explode(F.array(*items)).alias("p")).where(F.col("p").isNotNull())
+                    .groupBy("p.b", "p.v").agg(F.count(F.lit(1)).alias("n")).collect())
+            by = {}
+            for r in vals:
+                by.setdefault(r["b"], []).append((r["v"], int(r["n"])))
+            for b in small:
+                run = bands[b]["below"]
+                for v, n in sorted(by.get(b, [])):
+                    for (c, rk), bb in need.items():
+                        if bb == b and run <= rk < run + n:
+                            found[(c, rk)] = v
+                    run += n
+        if big:
+            items = []
+            for b in big:
+                lo, hi = bands[b]["lo"], bands[b]["hi"]
+                xv = x[bands[b]["col"]]
+                bin_ = F.least(F.floor((xv - F.lit(lo)) / F.lit((hi - lo) / REFINE_BINS)), F.lit(REFINE_BINS - 1))
+                items.append(F.when(xv.between(lo, hi), F.struct(F.lit(b).alias("b"), bin_.cast("int").alias("k"),
+                                                                  xv.alias("v"))))
+            hist = (df.select(F.explode(F.array(*items)).alias("p")).where(F.col("p").isNotNull())
+                    .groupBy("p.b", "p.k").agg(F.count(F.lit(1)).alias("n"), F.min("p.v").alias("mn"),
+                                               F.max("p.v").alias("mx")).collect())
+            by = {}
+            for r in hist:
+                by.setdefault(r["b"], []).append((r["k"], int(r["n"]), r["mn"], r["mx"]))
+            for b in big:
+                run = bands[b]["below"]
+                for k, n, mn, mx in sorted(by.get(b, [])):
+                    for (c, rk), bb in list(need.items()):
+                        if bb == b and (c, rk) not in found and run <= rk < run + n:
+                            if mn == mx:
+                                found[(c, rk)] = mn
+                            else:
+                                nb = len(bands)
+                                bands[nb] = {"col": c, "lo": mn, "hi": mx, "below": run}
+                                # ranks of this column that land in the same bin share the new band
+                                same = [key for key, v in need.items() if v == b and key[0] == c and key not in found
+                                        and run <= key[1] < run + n]
+                                for key in same:
+                                    need[key] = nb
+                    run += n
+    out = {}
+    for i, c in enumerate(cols):
+        n = int(r0[f"n{i}"])
+        res = []
+        for p in probs:
+            if n == 0:
+                res.append(None)
+                continue
+            h = (n - 1) * p
+            k = int(math.floor(h))
+            a, b = found.get((c, k)), found.get((c, min(k + 1, n - 1)))
+            res.append(None if a is None or b is None else a + (b - a) * (h - k))
+        out[c] = res
+    return out

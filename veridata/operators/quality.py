@@ -137,6 +137,7 @@ def findings(df: DataFrame, facts: dict | None = None, corr_rows: list | None =
     else:
         out.append(("success", "No hay valores faltantes: el dataset está completo."))
     const = [c for c in df.columns if f["const"][c]]
+    # id candidates: no nulls and (when a sketch was taken) an estimate near n
     cand = [c for c in df.columns if f["nulls"][c] == 0 and f["hll"].get(c, n) >= 0.9 * n]
     card = stats.distinct_counts(df, cand) if cand and n > 1 else {}
     if const:

@@ -171,14 +171,18 @@ def is_constant(df: DataFrame, cols: list[str] | None = None) -> tuple[dict[str,
 
 
 def column_facts(df: DataFrame) -> dict:
-    """One scan: rows, nulls and constancy per column, plus mean and an HLL
-    cardinality for numeric columns (the inputs of fill and quantile plans)."""
+    """One scan: rows, nulls and constancy per column, plus the mean of
+    numeric columns (the inputs of fill and quantile plans).
+
+    ``hll`` bounds each column's distinct count. distinct ≤ rows, so when
+    the row count is under the exact-percentile bound no sketch is needed;
+    otherwise a second scan computes HyperLogLog estimates.
+    """
     cols = df.columns
     num = set(C.numeric_columns(df))
     aggs = [F.count(F.lit(1)).alias("_n")]
     for i, c in enumerate(cols):
-        aggs += [F.count(C.col(c)).alias(f"nn{i}"), (F.min(C.col(c)) == F.max(C.col(c))).alias(f"eq{i}"),
-                 F.approx_count_distinct(C.col(c)).alias(f"hll{i}")]
+        aggs += [F.count(C.col(c)).alias(f"nn{i}"), (F.min(C.col(c)) == F.max(C.col(c))).alias(f"eq{i}")]
         if c in num:
             aggs.append(F.avg(C.col(c)).alias(f"avg{i}"))
     row = df.agg(*aggs).first()
@@ -188,10 +192,19 @@ def column_facts(df: DataFrame) -> dict:
         "nulls": {c: n - int(row[f"nn{i}"]) for i, c in enumerate(cols)},
         "const": {c: int(row[f"nn{i}"]) == 0 or bool(row[f"eq{i}"]) for i, c in enumerate(cols)},
         "mean": {c: row[f"avg{i}"] for i, c in enumerate(cols) if c in num},
-        "hll": {c: int(row[f"hll{i}"]) for i, c in enumerate(cols)},
+        "hll": cardinality_bounds(df, cols, n),
     }
 
 
+def cardinality_bounds(df: DataFrame, cols: list[str], n: int) -> dict[str, int]:
+    """Upper bounds of distinct counts: the row count when it is under the
+    exact-percentile bound, else HyperLogLog estimates (one extra scan)."""
+    if n <= C.EXACT_PERCENTILE_MAX_DISTINCT or not cols:
+        return {c: n for c in cols}
+    row = df.agg(*[F.approx_count_distinct(C.col(c)).alias(_safe(i)) for i, c in enumerate(cols)]).first()
+    return {c: int(row[_safe(i)]) for i, c in enumerate(cols)}
+
+
 def modes(df: DataFrame, cols: list[str]) -> dict[str, str | None]:
     """Most frequent non-null value per column (as text); tie → smallest value.
 
@@ -221,8 +234,7 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], exact: bool =
     if not cols:
         return {}
     if exact and cardinality is None:
-        row = df.agg(*[F.approx_count_distinct(C.col(c)).alias(_safe(i)) for i, c in enumerate(cols)]).first()
-        cardinality = {c: int(row[_safe(i)]) for i, c in enumerate(cols)}
+        cardinality = cardinality_bounds(df, cols, df.count())
     arr = F.array(*[F.lit(float(p)) for p in probs])
     direct = [c for c in cols if not exact or cardinality.get(c, 0) <= C.EXACT_PERCENTILE_MAX_DISTINCT]
     out = {}

@@ -3,8 +3,9 @@
 One row per column: counts, nulls, distinct values, moments, quartiles and
 Tukey outliers. Four passes over the data, each a single aggregation:
 
-1. row count, non-null counts, mean/std/min/max and an HLL cardinality
-   (no shuffle; partial aggregation per task);
+1. row count, non-null counts, mean/std/min/max (no shuffle; partial
+   aggregation per task); a cardinality bound per numeric column (the row
+   count when it is under the exact bound, else an HLL pass);
 2. exact distinct counts *and* quartiles from one ``groupBy(column, value)``
    shuffle: the grouped (value, count) rows feed ``percentile`` with a
    frequency, for columns under the HLL cardinality bound (the others use a
@@ -51,7 +52,7 @@ def profile(df: DataFrame, exact: bool = True, digits: int = 6) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("_n")]
     for i, c in enumerate(cols):
         aggs.append(F.count(C.col(c)).alias(f"nn{i}"))
-        if c in num or not exact:
+        if not exact:
             aggs.append(F.approx_count_distinct(C.col(c)).alias(f"hll{i}"))
         if c in num:
             x = C.col(c).cast("double")
@@ -59,7 +60,10 @@ def profile(df: DataFrame, exact: bool = True, digits: int = 6) -> DataFrame:
                      F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}")]
     r1 = df.agg(*aggs).first()
     n = int(r1["_n"])
-    hll = {c: int(r1[f"hll{i}"]) for i, c in enumerate(cols) if f"hll{i}" in r1.asDict()}
+    if exact:
+        hll = stats.cardinality_bounds(df, num, n)
+    else:
+        hll = {c: int(r1[f"hll{i}"]) for i, c in enumerate(cols)}
 
     # pass 2 (+3): one shuffle gives exact distinct counts and quartiles
     if exact:

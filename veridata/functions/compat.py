@@ -142,7 +142,8 @@ def parse_timestamp(c: Column) -> Column:
         val = F.coalesce(*[F.try_to_timestamp(txt, F.lit(f)) for f in fmts]) if len(fmts) > 1 \
             else F.try_to_timestamp(txt, F.lit(fmts[0]))
         out = F.when(txt.rlike(shape), val) if out is None else out.when(txt.rlike(shape), val)
-    return out
+    # one cheap hint first: ordinary text never reaches the shape patterns
+    return F.when(txt.rlike(DATE_HINT_PATTERN), out)
 
 
 def rnd(c: Column | str, digits: int) -> Column:

@@ -75,8 +75,12 @@ def report(df: DataFrame) -> DataFrame:
         top = sorted(corr, key=lambda r: (-abs(r["r"]), r["i"], r["j"]))[:5]
         rows += [("top_correlations", f"{k + 1}.{r['col_a']}|{r['col_b']}", r["r"]) for k, r in enumerate(top)]
         cl = CL.clean(src)
-        for r in cl.before.unionByName(cl.after).collect():
-            rows += [("cleaning_stats", f"{r['stage']}.{k}", r[k]) for k in ("rows", "columns", "nulls", "duplicates")]
+        # "before" equals the quality facts already taken; only "after" is computed
+        before = {"rows": facts["rows"], "columns": len(src.columns), "nulls": sum(facts["nulls"].values()),
+                  "duplicates": facts["dup"]}
+        rows += [("cleaning_stats", f"antes.{k}", v) for k, v in before.items()]
+        r = cl.after.first()
+        rows += [("cleaning_stats", f"despues.{k}", r[k]) for k in ("rows", "columns", "nulls", "duplicates")]
         rows += [("cleaning_log", f"{r['step_no']}.{r['step']}", f"{r['affected']}: {r['detail']}")
                  for r in cl.log.collect()]
         for res in models.auto_model(src):

@@ -248,3 +248,40 @@ def test_refined_quantiles_equal_exact_percentile_on_skew(spark, monkeypatch):
     got = stats.refine_quantiles(df, ["x"], [0.1, 0.25, 0.5, 0.75, 0.99])["x"]
     want = list(df.agg(F.percentile("x", F.array(*[F.lit(p) for p in [0.1, 0.25, 0.5, 0.75, 0.99]]))).first()[0])
     assert all(abs(a - b) < 1e-9 for a, b in zip(got, want))
+
+
+def test_read_any_dispatch(spark, tmp_path):
+    p = tmp_path / "T.CSV"
+    p.write_text("a,b\n1,x\n2,y\n")
+    assert files.read_any(spark, str(p)).count() == 2  # extension is case-insensitive
+    try:
+        files.read_any(spark, str(tmp_path / "x.xlsx"))
+        raise AssertionError("unknown extension must fail")
+    except ValueError:
+        pass
+
+
+def test_write_report_round_trip(spark, tmp_path):
+    from veridata.sources import tables
+    df = spark.createDataFrame([("dims", "rows", "3")], "section string, item string, value string")
+    tables.write_report(df, str(tmp_path / "rep"))
+    assert rows(spark.read.json(str(tmp_path / "rep"))) == [("rows", "dims", "3")]
+
+
+def test_group_entities_from_tags(spark):
+    tags = spark.createDataFrame([(1, "B-PER", "Ana", 0.9), (1, "I-PER", "Ana", 0.95), (1, "B-LOC", "##Li ##ma", 0.8),
+                                  (1, "B-ORG", "X", 0.99)], "doc_id long, tag string, word string, score double")
+    got = sorted(rows(text.group_entities(tags).select("type", "form", "score")))
+    assert got == [("LOC", "Lima", 0.8), ("PER", "Ana", 0.95)]  # one-char forms dropped, max score kept
+
+
+def test_simple_ols_predictions(spark):
+    from veridata.operators import models
+    df = spark.createDataFrame([(2020, 10.0), (2021, 12.0), (2022, 14.0)], "year long, v double")
+    assert models.predict(df, "year", "v", 2023) == 16.0
+    assert rows(models.predict_next(df, "year", "v")) == [(2023.0, 16)]
+    try:
+        models.predict(df.limit(2), "year", "v", 2023)
+        raise AssertionError("fewer than 3 rows must fail")
+    except ValueError:
+        pass

@@ -47,12 +47,14 @@ def mistyped_columns(df: DataFrame) -> list[str]:
     return out
 
 
-def _facts(df: DataFrame) -> dict:
+def _facts(df: DataFrame, mistyped: list[str] | None = None) -> dict:
+    """Profile facts; ``mistyped`` may come from the cleaning step's parse
+    ratios (the same test on the same values), saving a pass."""
     df = C.nan_to_null(df)
     f = stats.column_facts(df)
     _, dup = stats.duplicate_rows(df)
     f["dup"] = dup
-    f["mistyped"] = mistyped_columns(df)
+    f["mistyped"] = mistyped if mistyped is not None else mistyped_columns(df)
     return f
 
 

@@ -285,3 +285,13 @@ def test_simple_ols_predictions(spark):
         raise AssertionError("fewer than 3 rows must fail")
     except ValueError:
         pass
+
+
+def test_box_exact_path_beyond_cardinality_bound(spark, monkeypatch):
+    from veridata.operators import charts
+    df = spark.createDataFrame([("a" if i % 3 else "b", float(i) * 1.5) for i in range(300)], "g string, v double")
+    want = {r["grp"]: tuple(r)[1:] for r in charts.box(df, "v", by="g").collect()}
+    monkeypatch.setattr(C, "EXACT_PERCENTILE_MAX_DISTINCT", 5)  # force the refinement path
+    monkeypatch.setattr(stats, "FETCH_LIMIT", 20)
+    got = {r["grp"]: tuple(r)[1:] for r in charts.box(df, "v", by="g").collect()}
+    assert got == want

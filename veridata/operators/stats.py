@@ -301,7 +301,7 @@ FETCH_LIMIT = 200_000
 
 
 def refine_quantiles(df: DataFrame, cols: list[str], probs: list[float],
-                     max_rounds: int = 16) -> dict[str, list[float | None]]:
+                     max_rounds: int = 16, exprs: dict | None = None) -> dict[str, list[float | None]]:
     """Exact linear-interpolation quantiles by histogram refinement.
 
     For every needed rank a value band [lo, hi] is kept with the count of
@@ -314,7 +314,9 @@ def refine_quantiles(df: DataFrame, cols: list[str], probs: list[float],
     """
     if not cols:
         return {}
-    x = {c: C.col(c).cast("double") for c in cols}
+    # ``exprs`` lets a caller refine derived values, e.g. one
+    # ``when(group = g, x)`` per group: all groups refine in the same passes.
+    x = {c: (exprs[c] if exprs and c in exprs else C.col(c)).cast("double") for c in cols}
     r0 = df.agg(*[e for i, c in enumerate(cols) for e in
                   (F.count(x[c]).alias(f"n{i}"), F.min(x[c]).alias(f"lo{i}"), F.max(x[c]).alias(f"hi{i}"))]).first()
     bands = {}   # band id -> dict(col, lo, hi, below)

@@ -60,7 +60,7 @@ def infer_types(df: DataFrame) -> DataFrame:
         k = kinds.get(c)
         x = C.col(c)
         if k == "long":
-            x = F.trim(x).cast("long")
+            x = F.trim(x).try_cast("long")
         elif k == "double":
             x = C.parse_number(x)
         elif k == "boolean":

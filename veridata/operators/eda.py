@@ -59,14 +59,12 @@ def describe_numeric(df: DataFrame, exact: bool = True) -> DataFrame:
         x = C.col(c).cast("double")
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"a{i}"), F.stddev_samp(x).alias(f"s{i}"),
                  F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
-        if exact:
-            aggs.append(F.approx_count_distinct(x).alias(f"d{i}"))
     schema = ("position int, column string, count long, mean double, std double, min double, "
               "p25 double, p50 double, p75 double, max double")
     if not num:
         return _spark(df).createDataFrame([], schema)
-    r = df.agg(*aggs).first()
-    card = {c: int(r[f"d{i}"]) for i, c in enumerate(num)} if exact else None
+    r = df.agg(F.count(F.lit(1)).alias("_rows"), *aggs).first()
+    card = stats.cardinality_bounds(df, num, int(r["_rows"])) if exact else None
     q = stats.quantiles(df, num, [0.25, 0.5, 0.75], exact=exact, cardinality=card)
     pos = {c: k for k, c in enumerate(df.columns)}
     rows = [(pos[c], c, int(r[f"n{i}"]), r[f"a{i}"], r[f"s{i}"], r[f"lo{i}"], *q[c], r[f"hi{i}"])
@@ -104,12 +102,11 @@ def describe_time(df: DataFrame) -> DataFrame:
     aggs = []
     for i, c in enumerate(tcols):
         aggs += [F.count(us[c]).alias(f"n{i}"), F.avg(us[c]).alias(f"a{i}"),
-                 F.min(us[c]).alias(f"lo{i}"), F.max(us[c]).alias(f"hi{i}"),
-                 F.approx_count_distinct(us[c]).alias(f"d{i}")]
-    r = df.agg(*aggs).first()
+                 F.min(us[c]).alias(f"lo{i}"), F.max(us[c]).alias(f"hi{i}")]
+    r = df.agg(F.count(F.lit(1)).alias("_rows"), *aggs).first()
     micro = df.select([us[c].alias(c) for c in tcols])
     q = stats.quantiles(micro, tcols, [0.25, 0.5, 0.75],
-                        cardinality={c: int(r[f"d{i}"]) for i, c in enumerate(tcols)})
+                        cardinality=stats.cardinality_bounds(micro, tcols, int(r["_rows"])))
     def fl(v):
         return None if v is None else float(v)
     pos = {c: k for k, c in enumerate(df.columns)}

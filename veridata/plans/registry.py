@@ -20,8 +20,10 @@ def register(key: str, sql: str | None = None):
             raise ValueError(f"duplicate key {key}")
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            from ..session import ship_package
             # date parsing and µs conversions are defined in UTC
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+            ship_package(spark)  # Python-side operators need the package on the workers
             return fn(spark, sf_dir)
         run.__name__, run.__doc__ = fn.__name__, fn.__doc__
         QUERIES[key] = run

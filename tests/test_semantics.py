@@ -295,3 +295,18 @@ def test_box_exact_path_beyond_cardinality_bound(spark, monkeypatch):
     monkeypatch.setattr(stats, "FETCH_LIMIT", 20)
     got = {r["grp"]: tuple(r)[1:] for r in charts.box(df, "v", by="g").collect()}
     assert got == want
+
+
+def test_throttle_idle_split_is_exact(spark):
+    # one hot key with bursts separated by idle gaps, plus a gap of exactly one window
+    ts = [0, 1, 2, 3, 100, 101, 102, 160, 161, 500, 501, 502, 503]
+    ev = spark.createDataFrame([(i, t, 7) for i, t in enumerate(ts)], "event_id long, t long, user_id long") \
+        .withColumn("ts", F.timestamp_seconds("t"))
+    a = {r["event_id"]: (r["admitted"], r["retry_after"]) for r in
+         TH.throttle(ev, window_s=60, limits={"g": 2}).collect()}
+    b = {r["event_id"]: (r["admitted"], r["retry_after"]) for r in
+         TH.throttle(ev, window_s=60, limits={"g": 2}, split_idle=False).collect()}
+    assert a == b
+    segs = {r["ts_us"] // TH.US: r["seg"] for r in
+            TH.idle_segments(TH._prepare(ev, "user_id", "ts", "event_id", None), 60 * TH.US).collect()}
+    assert segs[100] == segs[160] and segs[0] != segs[100] != segs[500]  # gap of exactly 60 s does not split

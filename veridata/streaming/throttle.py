@@ -7,11 +7,12 @@ reject with ``retry_after = floor((window - (now - oldest)) / 1 s) + 1``;
 otherwise accept. Rejected events never count, so a plain window-frame
 count is not equivalent — this is a sequential state machine per key.
 
-Batch plan: ``repartition(key)`` + ``sortWithinPartitions(key, ts, id)`` +
-``mapInPandas``. Each task streams its sorted partition batch by batch and
-keeps at most ``limit`` timestamps for the current key, so even a key that
-holds a third of all rows is processed in bounded memory (the sort spills
-to disk). Stream plan: ``applyInPandasWithState`` with the same step
+Batch plan: each key is cut at idle gaps longer than the window (the
+state is provably empty there), then ``repartition(key, segment)`` +
+``sortWithinPartitions`` + ``mapInPandas``. Each task streams its sorted
+partition batch by batch and keeps at most ``limit`` timestamps for the
+current segment, so a key that holds a third of all rows is spread over
+tasks by its segments and never held in memory (the sort spills). Stream plan: ``applyInPandasWithState`` with the same step
 function; the state is the accepted-timestamp list and an event-time
 timeout purges idle keys (ST3) once the watermark passes.
 """
@@ -21,7 +22,7 @@ from __future__ import annotations
 from collections import deque
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -53,23 +54,47 @@ def _prepare(df: DataFrame, key: str, ts: str, id_col: str, cost_class: str | No
                      cls.alias("cost_class"))
 
 
+def idle_segments(ev: DataFrame, window_us: int) -> DataFrame:
+    """Number the runs of each key separated by an idle gap longer than the window.
+
+    After such a gap every accepted mark is older than ``now - window``, so
+    the state is empty: segments are independent and exact to process in
+    parallel. ``lag`` and the running sum are JVM-side window functions.
+    """
+    w = Window.partitionBy("key").orderBy("ts_us", "event_id")
+    prev = F.lag("ts_us").over(w)
+    start = F.when(prev.isNull() | ((F.col("ts_us") - prev) > F.lit(window_us)), 1).otherwise(0)
+    return (ev.withColumn("_start", start)
+            .withColumn("seg", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+            .drop("_start"))
+
+
 def throttle(df: DataFrame, key: str = "user_id", ts: str = "ts", id_col: str = "event_id",
              window_s: int = WINDOW_S, limits: dict[str, int] | None = None,
-             cost_class: str | None = None, partitions: int | None = None) -> DataFrame:
-    """Batch admission for every event: (key, event_id, ts_us, cost_class, admitted, retry_after)."""
+             cost_class: str | None = None, partitions: int | None = None,
+             split_idle: bool = True) -> DataFrame:
+    """Batch admission for every event: (key, event_id, ts_us, cost_class, admitted, retry_after).
+
+    With ``split_idle`` a hot key is cut at its idle gaps (see
+    ``idle_segments``) so its segments spread over tasks.
+    """
     limits = limits or {"g": GENERAL_LIMIT, "h": HEAVY_LIMIT}
     window_us = int(window_s * US)
     ev = _prepare(df, key, ts, id_col, cost_class)
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ev = ev.repartition(n, "key").sortWithinPartitions("key", "ts_us", "event_id")
+    if split_idle:
+        ev = idle_segments(ev, window_us)
+    else:
+        ev = ev.withColumn("seg", F.lit(0).cast("long"))
+    ev = ev.repartition(n, "key", "seg").sortWithinPartitions("key", "seg", "ts_us", "event_id")
 
     def run(batches):
         cur, marks = None, deque()
         for b in batches:
             adm, retry = [], []
-            for k, now, c in zip(b["key"], b["ts_us"], b["cost_class"]):
-                if k != cur:
-                    cur, marks = k, deque()
+            for k, sg, now, c in zip(b["key"], b["seg"], b["ts_us"], b["cost_class"]):
+                if (k, sg) != cur:
+                    cur, marks = (k, sg), deque()
                 if c is None:  # exempt: always admitted, never counted
                     adm.append(True)
                     retry.append(None)
@@ -77,7 +102,7 @@ def throttle(df: DataFrame, key: str = "user_id", ts: str = "ts", id_col: str =
                 ok, ra = step(marks, int(now), window_us, limits.get(c, limits.get("g", GENERAL_LIMIT)))
                 adm.append(ok)
                 retry.append(ra)
-            out = b.copy()
+            out = b.drop(columns=["seg"])
             out["admitted"] = adm
             out["retry_after"] = pd.array(retry, dtype="Int64")
             yield out

@@ -310,3 +310,14 @@ def test_throttle_idle_split_is_exact(spark):
     segs = {r["ts_us"] // TH.US: r["seg"] for r in
             TH.idle_segments(TH._prepare(ev, "user_id", "ts", "event_id", None), 60 * TH.US).collect()}
     assert segs[100] == segs[160] and segs[0] != segs[100] != segs[500]  # gap of exactly 60 s does not split
+
+
+def test_eda_bundle_and_report_sections(spark):
+    from veridata.plans.report import eda_bundle, report
+    df = spark.createDataFrame([(i, float(i % 7), "a" if i % 2 else "b", None if i % 5 == 0 else i * 1.0)
+                                for i in range(40)], "id long, x double, cat string, y double")
+    secs = {r["section"] for r in eda_bundle(df).collect()}
+    assert {"overview", "types", "describe", "nulls", "outliers", "correlation", "distribution", "findings"} <= secs
+    rep = {(r["section"], r["item"]): r["value"] for r in report(df).collect()}
+    assert rep[("dims", "rows")] == "40" and ("quality", "grade") in rep
+    assert any(s == "model" for s, _ in rep)

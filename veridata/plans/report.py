@@ -34,23 +34,28 @@ def _long(df: DataFrame, section: str, key: str) -> DataFrame:
 
 
 def eda_bundle(df: DataFrame) -> DataFrame:
+    """The EDA tab: every section reads the same input, so it is persisted
+    once (MEMORY_AND_DISK) and released after the small results are taken."""
     spark = df.sparkSession
-    ov = eda.overview(df).first()
-    types = column_types(df)
-    parts = [_rows(spark, [("overview", k, ov[k]) for k in ("rows", "columns", "null_cells")]
-                   + [("types", c, k) for k, cs in types.items() for c in cs])]
-    parts.append(_long(eda.describe_numeric(df), "describe", "column"))
-    parts.append(_long(eda.null_profile(df), "nulls", "column"))
-    parts.append(_long(eda.outlier_counts(df), "outliers", "column"))
-    parts.append(_long(eda.correlation(df).select(F.concat_ws("|", "col_a", "col_b").alias("pair"), "r"),
-                       "correlation", "pair"))
-    parts.append(_long(eda.category_distributions(df, types["categoricas"])
-                       .select(F.concat_ws("=", "column", "value").alias("cv"), "n"), "distribution", "cv"))
-    parts.append(_long(quality.findings(df), "findings", "position"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    src = C.nan_to_null(df).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        ov = eda.overview(src).first()
+        types = column_types(src)
+        rows = ([("overview", k, ov[k]) for k in ("rows", "columns", "null_cells")]
+                + [("types", c, k) for k, cs in types.items() for c in cs])
+        parts = [_long(eda.describe_numeric(src), "describe", "column"),
+                 _long(eda.null_profile(src), "nulls", "column"),
+                 _long(eda.outlier_counts(src), "outliers", "column"),
+                 _long(eda.correlation(src).select(F.concat_ws("|", "col_a", "col_b").alias("pair"), "r"),
+                       "correlation", "pair"),
+                 _long(eda.category_distributions(src, types["categoricas"])
+                       .select(F.concat_ws("=", "column", "value").alias("cv"), "n"), "distribution", "cv"),
+                 _long(quality.findings(src), "findings", "position")]
+        for p in parts:
+            rows += [tuple(r) for r in p.collect()]
+        return _rows(spark, rows)
+    finally:
+        src.unpersist()
 
 
 def report(df: DataFrame) -> DataFrame:

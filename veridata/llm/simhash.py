@@ -74,13 +74,17 @@ def variants(fp, radius: int):
     low = BLOCK if odd else 0
     flips = [sum(1 << b for b in bits) for n in range(half + 1) for bits in itertools.combinations(range(low, 64), n)]
     masks = F.array(*[F.lit(_signed(m)).cast("long") for m in flips])
+
+    def ball(centre):
+        return F.transform(masks, lambda m: centre.bitwiseXOR(m))
+
     if not odd:
-        return F.transform(masks, lambda m: fp.bitwiseXOR(m))
+        return ball(fp)
     keys = []
     for i, turn in enumerate(TURNS):
         turned = F.shiftrightunsigned(fp, turn).bitwiseOR(F.shiftleft(fp, 64 - turn)) if turn else fp
-        base = turned.bitwiseAND(F.lit(_signed((1 << 64) - (1 << BLOCK)))).bitwiseOR(F.lit(i).cast("long"))
-        keys.append(F.transform(masks, lambda m, b=base: b.bitwiseXOR(m)))
+        centre = turned.bitwiseAND(F.lit(_signed((1 << 64) - (1 << BLOCK)))).bitwiseOR(F.lit(i).cast("long"))
+        keys.append(ball(centre))
     return F.concat(*keys)
 
 

@@ -25,9 +25,9 @@ from pyspark.sql.window import Window
 
 from .common import prepare, stage
 
-TABLES = 7
+TABLES = 6
 HASHES = 8
-WIDTH = 2.5
+WIDTH = 3.0
 PROBES = 32
 SEED = 11
 BLOCK = 4096

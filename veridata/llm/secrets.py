@@ -80,8 +80,8 @@ def coverage(found: DataFrame, words: DataFrame, longest: int = LONGEST) -> Data
     best = pieces.join(words, "word").groupBy("run").agg(
         F.max(F.when(F.col("end") == 0, size).otherwise(0)).alias("head"),
         F.max(F.when(F.col("end") == 1, size).otherwise(0)).alias("tail"))
-    share = F.sum(F.coalesce(F.least(F.length("run"), F.col("head") + F.col("tail")), F.lit(0)))
-    covered = runs.join(best, "run", "left").groupBy("candidate").agg(share.alias("letters"))
+    letters = F.when(F.col("head").isNull(), 0).otherwise(F.least(F.length("run"), F.col("head") + F.col("tail")))
+    covered = runs.join(best, "run", "left").groupBy("candidate").agg(F.sum(letters).alias("letters"))
     return covered.select("candidate", (F.col("letters") / F.length("candidate")).alias("coverage"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veridata.functions import compat as C
 from veridata.operators import clean as CL
-from veridata.operators import eda, filters, quality, stats, text
+from veridata.operators import eda, filters, models, quality, stats, text
 from veridata.operators.typing import column_types
 from veridata.plans.profile import profile
 from veridata.sources import files, pages
@@ -321,3 +321,43 @@ def test_eda_bundle_and_report_sections(spark):
     rep = {(r["section"], r["item"]): r["value"] for r in report(df).collect()}
     assert rep[("dims", "rows")] == "40" and ("quality", "grade") in rep
     assert any(s == "model" for s, _ in rep)
+
+
+# ── one-hot names, dotted columns, long integers, quoted CSV ─────────────────
+def test_coefficients_belong_to_their_features(spark):
+    rows = [(c, float(i), g, 3.0 * i + 10.0 * (c == "a")) for i, (c, g) in
+            enumerate((c, g) for _ in range(10) for c in "ab" for g in "pqr")]
+    df = spark.createDataFrame(rows, "`in.c` string, `in.x` double, g string, y double")
+    data, names = models.prepare(df, ["in.c", "in.x", "g"], "y")
+    assert names == ["in.c_a", "in.c_b", "in.x", "g_p", "g_q", "g_r"]
+    assert len(names) == len(data.first()["features"])
+    coef = {n: v for k, n, v in models.train(df, "linear", ["in.c", "in.x", "g"], "y", {}).detail if n in names}
+    assert abs(coef["in.x"] - 3) < 0.01 and abs(coef["in.c_a"] - coef["in.c_b"] - 10) < 0.1
+
+
+def test_auto_model_sees_every_row_and_column(spark):
+    rows = [(float(i), *[float((i * k) % 17) for k in range(2, 14)]) for i in range(6000)]
+    df = spark.createDataFrame(rows, "y double, " + ", ".join(f"x{k} double" for k in range(2, 14)))
+    assert models.detect_target(df) == ("y", "regresion")
+    best = models.auto_model(df)[0]
+    assert best.n_rows == 6000 and best.n_features == 12
+
+
+def test_integers_beyond_64_bits_become_doubles(spark):
+    df = spark.createDataFrame([("99999999999999999999",), ("5",), ("9007199254740993",)], "k string")
+    out = CL.clean(df, {"null_strategy": "none"}).data
+    assert dict(out.dtypes)["k"] == "double" and out.where("k IS NULL").count() == 0
+    exact = CL.clean(spark.createDataFrame([("9007199254740993",), ("5",)], "k string"), {"null_strategy": "none"}).data
+    assert sorted(r["k"] for r in exact.collect()) == [5, 9007199254740993]
+
+
+def test_csv_quotes_and_line_breaks(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('a,b\n"say ""hi""","x\ny"\nplain,z\n')
+    got = files.read_csv(spark, str(tmp_path / "q.csv"), multi_line=True)
+    assert sorted(map(tuple, got.collect())) == [("plain", "z"), ('say "hi"', "x\ny")]
+
+
+def test_mean_ties_do_not_depend_on_partitions(spark):
+    df = spark.range(60000).selectExpr("cast((id * 7919) % 11 as double) / 100 as v")
+    got = {profile(df.repartition(n)).collect()[0]["mean"] for n in (1, 3, 8)}
+    assert len(got) == 1

@@ -158,6 +158,12 @@ def rnd(c: Column | str, digits: int) -> Column:
     return F.round(c.cast("double") * m) / m + F.lit(0.0)
 
 
+def rnd_mean(c: Column | str, digits: int) -> Column:
+    """``rnd`` for a mean of doubles: twelve digits first, so that a tie is not decided
+    by the order in which the rows were summed."""
+    return rnd(rnd(c, 12), digits)
+
+
 def rnd_even(c: Column | str, digits: int) -> Column:
     """Half-to-even variant of :func:`rnd` (Python's ``round``)."""
     c = F.col(c) if isinstance(c, str) else c

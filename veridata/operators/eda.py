@@ -71,8 +71,8 @@ def describe_numeric(df: DataFrame, exact: bool = True) -> DataFrame:
             for i, c in enumerate(num)]
     out = _spark(df).createDataFrame(rows, schema)
     return out.select("position", "column", "count",
-                      *[C.rnd(c, DIGITS).alias(c) for c in
-                        ["mean", "std", "min", "p25", "p50", "p75", "max"]])
+                      C.rnd_mean("mean", DIGITS).alias("mean"),
+                      *[C.rnd(c, DIGITS).alias(c) for c in ["std", "min", "p25", "p50", "p75", "max"]])
 
 
 def describe_text(df: DataFrame) -> DataFrame:

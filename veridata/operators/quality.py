@@ -116,8 +116,8 @@ def mistyped(df: DataFrame) -> DataFrame:
 def findings(df: DataFrame, facts: dict | None = None, corr_rows: list | None = None) -> DataFrame:
     """Ordered (position, level, text) findings, ties → first column.
 
-    Constancy comes from the facts pass (min == max); only columns whose HLL
-    estimate is near the row count get an exact distinct count (id check).
+    Constancy comes from the facts pass (min == max); columns without nulls get
+    an exact distinct count (id check).
     """
     spark = df.sparkSession
     df = C.nan_to_null(df)
@@ -139,8 +139,8 @@ def findings(df: DataFrame, facts: dict | None = None, corr_rows: list | None =
     else:
         out.append(("success", "No hay valores faltantes: el dataset está completo."))
     const = [c for c in df.columns if f["const"][c]]
-    # id candidates: no nulls and (when a sketch was taken) an estimate near n
-    cand = [c for c in df.columns if f["nulls"][c] == 0 and f["hll"].get(c, n) >= 0.9 * n]
+    # id candidates are all columns without nulls, at any size
+    cand = [c for c in df.columns if f["nulls"][c] == 0]
     card = stats.distinct_counts(df, cand) if cand and n > 1 else {}
     if const:
         out.append(("info", f"Columna(s) con un solo valor (sin información útil): {', '.join(const[:5])}."))

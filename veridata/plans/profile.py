@@ -89,4 +89,5 @@ def profile(df: DataFrame, exact: bool = True, digits: int = 6) -> DataFrame:
             (outl.get(c, 0) if is_num else None),
         ))
     out = df.sparkSession.createDataFrame(rows, PROFILE_SCHEMA)
-    return out.select([C.rnd(c, digits).alias(c) if c in ROUNDED else F.col(c) for c in out.columns])
+    return out.select([(C.rnd_mean if c == "mean" else C.rnd)(c, digits).alias(c) if c in ROUNDED else F.col(c)
+                       for c in out.columns])

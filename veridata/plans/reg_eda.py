@@ -29,7 +29,7 @@ def q_overview(spark, d):
 
 
 @register("eda_describe_num", "SELECT * FROM (" + G.union([
-    f"SELECT {i}, '{c}', count({G.q(c)})::BIGINT, round(avg({G.q(c)}), 6), round(stddev_samp({G.q(c)}), 6), "
+    f"SELECT {i}, '{c}', count({G.q(c)})::BIGINT, round(round(avg({G.q(c)}), 12), 6), round(stddev_samp({G.q(c)}), 6), "
     f"round(min({G.q(c)})::DOUBLE, 6), round(quantile_cont({G.q(c)}, 0.25), 6), "
     f"round(quantile_cont({G.q(c)}, 0.5), 6), round(quantile_cont({G.q(c)}, 0.75), 6), "
     f"round(max({G.q(c)})::DOUBLE, 6) FROM lineitem" for i, c in enumerate(_NUM_LI)])

@@ -140,7 +140,7 @@ def q_preview(spark, d):
     return TB.preview(table(spark, d, "lineitem"), 10)
 
 
-@register("intake_guard", "SELECT * FROM lineitem LIMIT 50000")
+@register("intake_guard", "SELECT * FROM lineitem")
 def q_guard(spark, d):
     df, _ = TB.guard(table(spark, d, "lineitem"), max_rows=50_000, max_cols=1_000)
     return df
@@ -203,7 +203,7 @@ SQL_BOX = {
 }
 
 for _key, (_sql, _capped) in SQL_BOX.items():
-    _oracle = _sql + (" LIMIT 500" if _capped else "")
+    _oracle = _sql
 
     def _run(spark, d, _sql=_sql, _capped=_capped, _key=_key):
         _register_views(spark, d)

@@ -15,13 +15,19 @@ def _result(spark, res: M.ModelResult):
     return m.unionByName(res.detail_df(spark)).withColumn("n_rows", F.lit(res.n_rows).cast("long"))
 
 
-@register("ml_features")
+_LEVELS = [("l_returnflag", v) for v in "ANR"] + [("l_linestatus", v) for v in "FO"]
+
+
+# categoricals first: a slot too many would shift every name behind it
+@register("ml_features", "SELECT " + ", ".join(
+    f"CASE WHEN {c} = '{v}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS {c}_{v}" for c, v in _LEVELS)
+    + ", l_quantity, l_extendedprice FROM lineitem")
 def q_ml_features(spark, d):
-    data, names = M.prepare(table(spark, d, "lineitem"), ["l_quantity", "l_returnflag", "l_linestatus"],
+    data, names = M.prepare(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus", "l_quantity"],
                             "l_extendedprice")
     from pyspark.ml.functions import vector_to_array
-    return data.select(vector_to_array("features").alias("features"), "l_extendedprice",
-                       F.lit(",".join(names)).alias("feature_names"))
+    x = vector_to_array("features")
+    return data.select(*[x[i].alias(name) for i, name in enumerate(names)], "l_extendedprice")
 
 
 @register("ml_split")

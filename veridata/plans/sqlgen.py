@@ -48,7 +48,7 @@ def profile(table: str, cols) -> str:
             fence = (f"(SELECT count(*) FROM {table}, (SELECT quantile_cont({x}, 0.25) AS a, "
                      f"quantile_cont({x}, 0.75) AS b FROM {table}) f "
                      f"WHERE {x} < a - 1.5 * (b - a) OR {x} > b + 1.5 * (b - a))")
-            stats = (f"round(avg({x}), 6), round(stddev_samp({x}), 6), round(min({x})::DOUBLE, 6), "
+            stats = (f"round(round(avg({x}), 12), 6), round(stddev_samp({x}), 6), round(min({x})::DOUBLE, 6), "
                      f"round(quantile_cont({x}, 0.25), 6), round(quantile_cont({x}, 0.5), 6), "
                      f"round(quantile_cont({x}, 0.75), 6), round(max({x})::DOUBLE, 6), "
                      f"CAST({fence} AS BIGINT)")

@@ -63,11 +63,10 @@ _SHIPPED: set = set()
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``veridata`` importable by the Python workers (what ``--py-files``
-    does under spark-submit): zip the package once per SparkContext into the
-    shared checkpoint folder and ``addPyFile`` it. Python-side operators
-    (``mapInPandas``, ``applyInPandasWithState``) need it on every executor.
+    does under spark-submit): zip the package once per SparkContext on the
+    driver and ``addPyFile`` it, which sends it to every executor. Python-side
+    operators (``mapInPandas``, ``applyInPandasWithState``) need it there.
     """
-    import hashlib
     import zipfile
 
     sc = spark.sparkContext
@@ -79,19 +78,9 @@ def ship_package(spark: SparkSession) -> None:
     for root, dirs, names in os.walk(pkg):
         dirs[:] = [d for d in dirs if d != "__pycache__"]
         files += [os.path.join(root, n) for n in names if n.endswith(".py")]
-    digest = hashlib.sha1()
-    for f in sorted(files):
-        with open(f, "rb") as fh:
-            digest.update(f.encode() + fh.read())
-    base = ensure_checkpoint_dir(spark)
-    base = base[5:] if base.startswith("file:") else base
-    os.makedirs(base, exist_ok=True)
-    path = os.path.join(base, f"veridata-{digest.hexdigest()[:12]}.zip")
-    if not os.path.exists(path):
-        tmp = path + ".part"
-        with zipfile.ZipFile(tmp, "w", zipfile.ZIP_DEFLATED) as z:
-            for f in sorted(files):
-                z.write(f, os.path.join("veridata", os.path.relpath(f, pkg)))
-        os.replace(tmp, path)
+    path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="veridata-")), "veridata.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(files):
+            z.write(f, os.path.join("veridata", os.path.relpath(f, pkg)))
     sc.addPyFile(path)
     _SHIPPED.add(key)

@@ -38,7 +38,7 @@ def infer_types(df: DataFrame) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("_n")]
     for i, c in enumerate(cols):
         x = C.col(c)
-        aggs += [F.count(x).alias(f"nn{i}"), F.count_if(x.rlike(C.INTEGER_PATTERN)).alias(f"i{i}"),
+        aggs += [F.count(x).alias(f"nn{i}"), F.count_if(x.rlike(C.INTEGER_PATTERN) & F.trim(x).try_cast("long").isNotNull()).alias(f"i{i}"),
                  F.count(C.parse_number(x)).alias(f"f{i}"),
                  F.count_if(x.isin(TRUE_TOKENS + FALSE_TOKENS)).alias(f"b{i}"),
                  F.count_if(F.lower(x).rlike(C.SPECIAL_NUMBER_PATTERN)).alias(f"s{i}")]
@@ -69,14 +69,17 @@ def infer_types(df: DataFrame) -> DataFrame:
     return df.select(out)
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+def read_csv(spark: SparkSession, path: str, sep: str = ",", multi_line: bool = False) -> DataFrame:
+    """``multi_line`` reads line breaks inside quotes; each file is then one task,
+    since a file cannot be split where a quote may be open."""
     raw = (spark.read.option("header", True).option("sep", sep).option("inferSchema", False)
+           .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
            .option("mode", "PERMISSIVE").csv(path))
     return infer_types(null_tokens_to_null(raw))
 
 
-def read_tsv(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv(spark, path, sep="\t")
+def read_tsv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    return read_csv(spark, path, "\t", multi_line)
 
 
 def _key_order(spark: SparkSession, path: str) -> list[str]:

@@ -70,21 +70,16 @@ def preview(df: DataFrame, n: int = PREVIEW_ROWS, order_by: list[str] | None = N
 
 
 def guard(df: DataFrame, max_rows: int | None = None, max_cols: int | None = None) -> tuple[DataFrame, bool]:
-    """Optional intake caps (off by default): refuse empty input and too many
-    columns; keep the first max_rows rows and say whether it cut."""
+    """Intake checks: refuse empty input and too many columns, and say whether
+    there are more than max_rows rows. No row is cut."""
     if not df.columns:
         raise ValueError("El archivo no tiene columnas.")
     if max_cols is not None and len(df.columns) > max_cols:
         raise ValueError(f"Demasiadas columnas ({len(df.columns)}); máximo {max_cols}.")
-    if max_rows is None:
-        if df.limit(1).count() == 0:
-            raise ValueError("El archivo está vacío.")
-        return df, False
-    head = df.limit(max_rows + 1)
-    n = head.count()
+    n = df.limit(1).count() if max_rows is None else df.count()
     if n == 0:
         raise ValueError("El archivo está vacío.")
-    return df.limit(max_rows), n > max_rows
+    return df, max_rows is not None and n > max_rows
 
 
 def size_text(nbytes: float) -> str:
@@ -136,8 +131,8 @@ def _cells_to_text(df: DataFrame) -> DataFrame:
     return df.select(out)
 
 
-def run_sql(spark: SparkSession, sql: str, limit: int | None = SQL_ROW_CAP) -> DataFrame:
-    """Ad-hoc SQL over registered views; the cap is part of the plan."""
+def run_sql(spark: SparkSession, sql: str, limit: int | None = None) -> DataFrame:
+    """Ad-hoc SQL over registered views; a limit, if asked for, is part of the plan."""
     if not sql or not sql.strip():
         raise ValueError("La consulta está vacía.")
     df = spark.sql(sql)

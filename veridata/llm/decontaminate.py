@@ -108,7 +108,9 @@ class Index:
         self.q, self.items = q, [(i, np.frombuffer(t.encode("utf-32-le"), np.uint32)) for i, t in items]
         self.windows = [windows(len(c), window, step) if len(c) >= q else [] for _, c in self.items]
         sizes = [size for ws in self.windows for _, size in ws[:1]]
-        self.rate = rate
+        edits = [budget(ws[0][1], rate, q) if ws else 0 for ws in self.windows]
+        self.half = np.array(edits, np.int64) + 1
+        self.need = np.array([ws[0][1] + 1 - q - q * k if ws else 1 for ws, k in zip(self.windows, edits)], np.int64)
         self.least = min([size + 1 - q - q * budget(size, rate, q) for size in sizes], default=1)
         self.span = max([size + budget(size, rate, q) for size in sizes], default=1)
         self.margin = 4 * max([budget(size, rate, q) for size in sizes], default=0) + self.span + q
@@ -148,27 +150,24 @@ class Index:
     def matches(self, codes: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """``(item number, window start, document place, shared q-grams, edits)`` of verified windows."""
         items, at, place = self.hits(codes)
-        out = []
-        for i in np.unique(items):
-            one = items == i
-            p, j = at[one], place[one]
-            size = self.windows[i][0][1]
-            k = budget(size, self.rate, self.q)
-            need, half = size + 1 - self.q - self.q * k, k + 1
-            # a diagonal lies in two bands, each two halves wide
-            part = np.floor_divide(p - j, half)
-            bands = defaultdict(list)
-            order = np.argsort(part, kind="stable")
-            cut = np.flatnonzero(np.diff(part[order])) + 1
-            for group in np.split(order, cut):
-                bands[int(part[group[0]])].append(group)
-                bands[int(part[group[0]]) - 1].append(group)
-            counted = {}
-            for band, groups in bands.items():
-                rows = np.concatenate(groups)
-                if len(rows) >= need:
-                    counted[band] = np.unique(j[rows])
-            found = self._verified(i, counted, codes, k, half, need) if counted else None
+        if not len(items):
+            return []
+        # a diagonal lies in two bands, each two parts wide; a band starts at a part with hits
+        part = np.floor_divide(at - place, self.half[items])
+        low, wide = part.min(), part.max() - part.min() + 2
+        key = items * wide + (part - low)
+        order = np.argsort(key, kind="stable")
+        key, place = key[order], place[order]
+        parts, first, count = np.unique(key, return_index=True, return_counts=True)
+        ends = first + count
+        joined = np.append(parts[1:] == parts[:-1] + 1, False)  # `wide` leaves a gap between items
+        both = count + np.where(joined, np.append(count[1:], 0), 0)
+        out, bands = [], defaultdict(dict)
+        for n in np.flatnonzero(both >= self.need[parts // wide]):
+            stop = ends[n + 1] if joined[n] else ends[n]
+            bands[int(parts[n] // wide)][int(parts[n] % wide + low)] = np.unique(place[first[n]:stop])
+        for i, counted in sorted(bands.items()):
+            found = self._verified(i, counted, codes, int(self.half[i]) - 1, int(self.half[i]), int(self.need[i]))
             if found:
                 out.append(found)
         return out

@@ -217,9 +217,9 @@ def test_topics_sum_to_one(spark):
 
 # ── throttle ────────────────────────────────────────────────────────────────
 def test_throttle_step_semantics():
-    marks = deque()
+    marks = deque(maxlen=2)
     w = 60 * TH.US
-    got = [TH.step(marks, t * TH.US, w, 2) for t in (0, 10, 20, 60, 61)]
+    got = [TH.step(marks, t * TH.US, w) for t in (0, 10, 20, 60, 61)]
     # 20 rejected (retry after 60-(20-0)+1 = 41 s); at 60 the mark at 0 is exactly 60 s old and still counts
     assert got == [(True, None), (True, None), (False, 41), (False, 1), (True, None)]
 

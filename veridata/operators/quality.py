@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from ..functions import compat as C
 from . import eda, stats
 
-# fixed values: penalties and grade bands
-NULL_CAP, NULL_WEIGHT = 35.0, 1.5
-DUP_CAP = 20.0
-CONST_CAP, CONST_EACH = 18.0, 6.0
-TYPE_CAP, TYPE_EACH = 15.0, 5.0
+# fixed values: fact, name, cap, weight and text of each penalty; grade bands; texts
+PENALTIES = [
+    ("nulls", "Valores faltantes", 35.0, 1.5, "{n} celdas nulas ({pct:.1f}% del total)."),
+    ("dup", "Filas duplicadas", 20.0, 1.0, "{n} filas repetidas ({pct:.1f}%)."),
+    ("const", "Columnas constantes", 18.0, 6.0, "{n} columna(s) con un solo valor: {names}."),
+    ("mistyped", "Tipos mal detectados", 15.0, 5.0, "{n} columna(s) de texto que son número/fecha: {names}."),
+]
 GRADES = [(90, "A", "Datos en excelente estado, listos para analizar."),
           (75, "B", "Buena calidad; unos retoques menores lo dejarían perfecto."),
           (60, "C", "Calidad aceptable; conviene limpiar antes de modelar."),
@@ -26,6 +28,17 @@ GRADES = [(90, "A", "Datos en excelente estado, listos para analizar."),
 NO_ISSUES = "Sin problemas de calidad detectados."
 EMPTY = "El dataset está vacío."
 STRONG_R = 0.7
+FINDINGS = {
+    "empty": ("warning", "El dataset no tiene filas."),
+    "dup": ("warning", "Hay {n} filas duplicadas ({pct}%). Considera eliminarlas."),
+    "nulls": ("warning", "«{name}» es la columna con más valores faltantes ({pct}%). "
+                         "{n} columna(s) tienen nulos en total."),
+    "complete": ("success", "No hay valores faltantes: el dataset está completo."),
+    "const": ("info", "Columna(s) con un solo valor (sin información útil): {names}."),
+    "id": ("info", "«{name}» parece un identificador único (un valor distinto por fila)."),
+    "corr": ("info", "Correlación {sign} fuerte ({r:+.2f}) entre «{a}» y «{b}»."),
+    "outliers": ("info", "«{name}» tiene {n} valores atípicos ({pct}%) según el método IQR."),
+}
 
 
 def mistyped_columns(df: DataFrame) -> list[str]:
@@ -58,40 +71,31 @@ def _facts(df: DataFrame, mistyped: list[str] | None = None) -> dict:
     return f
 
 
+def _measures(f: dict, columns: list[str]) -> dict[str, dict]:
+    """Per rule: ``n`` things found and ``amount``, what its weight multiplies (a
+    percentage of cells or rows, or a number of columns)."""
+    nulls = sum(f["nulls"].values())
+    found = {"const": [c for c in columns if f["const"][c]], "mistyped": f["mistyped"]}
+    shares = {"nulls": (nulls, nulls / (f["rows"] * len(columns)) * 100), "dup": (f["dup"], f["dup"] / f["rows"] * 100)}
+    return ({k: {"n": n, "amount": pct, "pct": pct} for k, (n, pct) in shares.items()}
+            | {k: {"n": len(cs), "amount": len(cs), "names": ", ".join(cs[:3])} for k, cs in found.items()})
+
+
 def quality(df: DataFrame, facts: dict | None = None) -> dict:
+    """Score, grade, summary and factors: 100 less the capped penalty of every rule."""
     f = facts or _facts(df)
-    rows, cols = f["rows"], len(df.columns)
-    if rows == 0 or cols == 0:
+    if not f["rows"] or not df.columns:
         return {"score": 0, "grade": "F", "factors": [], "summary": EMPTY}
-    factors, score = [], 100.0
-    n_null = sum(f["nulls"].values())
-    ratio = n_null / (rows * cols)
-    pen = min(NULL_CAP, round(ratio * 100 * NULL_WEIGHT, 1))
-    if pen > 0:
-        factors.append(("Valores faltantes", round(pen), f"{n_null} celdas nulas ({ratio * 100:.1f}% del total)."))
-    score -= pen
-    ratio_d = f["dup"] / rows
-    pen = min(DUP_CAP, round(ratio_d * 100, 1))
-    if pen > 0:
-        factors.append(("Filas duplicadas", round(pen), f"{f['dup']} filas repetidas ({ratio_d * 100:.1f}%)."))
-    score -= pen
-    const = [c for c in df.columns if f["const"][c]]
-    pen = min(CONST_CAP, len(const) * CONST_EACH)
-    if pen > 0:
-        factors.append(("Columnas constantes", round(pen),
-                        f"{len(const)} columna(s) con un solo valor: {', '.join(const[:3])}."))
-    score -= pen
-    bad = f["mistyped"]
-    pen = min(TYPE_CAP, len(bad) * TYPE_EACH)
-    if pen > 0:
-        factors.append(("Tipos mal detectados", round(pen),
-                        f"{len(bad)} columna(s) de texto que son número/fecha: {', '.join(bad[:3])}."))
-    score -= pen
-    score = int(max(0, min(100, round(score))))
-    grade, summary = next((g, s) for lim, g, s in GRADES if score >= lim)
-    if not factors:
-        summary = NO_ISSUES
-    return {"score": score, "grade": grade, "factors": factors, "summary": summary}
+    measured = _measures(f, df.columns)
+    charged = [(name, min(cap, round(measured[rule]["amount"] * weight, 1)), text.format(**measured[rule]))
+               for rule, name, cap, weight, text in PENALTIES if measured[rule]["n"]]
+    factors = [(name, round(points), detail) for name, points, detail in charged if points > 0]
+    left = 100.0
+    for _, points, _ in charged:
+        left -= points
+    score = min(100, max(0, round(left)))
+    grade, summary = next(g[1:] for g in GRADES if score >= g[0])
+    return {"score": score, "grade": grade, "factors": factors, "summary": summary if factors else NO_ISSUES}
 
 
 def quality_score(df: DataFrame) -> DataFrame:
@@ -113,55 +117,62 @@ def mistyped(df: DataFrame) -> DataFrame:
                                            "position int, column string")
 
 
-def findings(df: DataFrame, facts: dict | None = None, corr_rows: list | None = None) -> DataFrame:
-    """Ordered (position, level, text) findings, ties → first column.
+def _note(rule: str, **values) -> tuple[str, str]:
+    level, text = FINDINGS[rule]
+    return level, text.format(**values)
+
+
+def _share(n: int, rows: int, digits: int) -> float:
+    return round(n / rows * 100, digits)
 
-    Constancy comes from the facts pass (min == max); columns without nulls get
-    an exact distinct count (id check).
-    """
+
+def _completeness(f: dict, columns: list[str]):
+    """The emptiest column (the first of equals), or that nothing is missing."""
+    shares = {c: _share(f["nulls"][c], f["rows"], 2) for c in columns}
+    holed = [c for c in columns if shares[c] > 0]
+    if not holed:
+        return [_note("complete")]
+    worst = min(holed, key=lambda c: (-shares[c], columns.index(c)))
+    return [_note("nulls", name=worst, pct=shares[worst], n=len(holed))]
+
+
+def _identifier(df: DataFrame, f: dict):
+    """The first column with as many distinct values as rows; exact at any size."""
+    whole = [c for c in df.columns if not f["nulls"][c]]
+    if f["rows"] < 2 or not whole:
+        return []
+    distinct = stats.distinct_counts(df, whole)
+    return [_note("id", name=c) for c in whole if distinct[c] == f["rows"]][:1]
+
+
+def _strongest(pairs: list):
+    """The pair of the largest |r| (the first of equals), if it is strong."""
+    strong = sorted((p for p in pairs if abs(p["r"]) >= STRONG_R), key=lambda p: -abs(p["r"]))
+    return [_note("corr", sign="positiva" if p["r"] > 0 else "negativa", r=p["r"], a=p["col_a"], b=p["col_b"])
+            for p in strong[:1]]
+
+
+def _most_outliers(df: DataFrame, f: dict):
+    numeric = C.numeric_columns(df)
+    quartiles = stats.quantiles(df, numeric, [0.25, 0.75], cardinality=f["hll"])
+    counts = stats.outlier_counts(df, stats.fences(quartiles, skip_zero_iqr=False))
+    ranked = sorted((c for c in numeric if counts.get(c)), key=lambda c: -counts[c])
+    return [_note("outliers", name=c, n=counts[c], pct=_share(counts[c], f["rows"], 1)) for c in ranked[:1]]
+
+
+def findings(df: DataFrame, facts: dict | None = None, corr_rows: list | None = None) -> DataFrame:
+    """Ordered (position, level, text) findings, ties → first column."""
     spark = df.sparkSession
     df = C.nan_to_null(df)
     f = facts or _facts(df)
-    n = f["rows"]
-    schema = "position int, level string, text string"
-    if n == 0:
-        return spark.createDataFrame([(0, "warning", "El dataset no tiene filas.")], schema)
-    out = []
-    if f["dup"] > 0:
-        out.append(("warning", f"Hay {f['dup']} filas duplicadas ({round(f['dup'] / n * 100, 2)}%). "
-                               f"Considera eliminarlas."))
-    pcts = {c: round(f["nulls"][c] / n * 100, 2) for c in df.columns}
-    nz = [c for c in df.columns if pcts[c] > 0]
-    if nz:
-        worst = max(nz, key=lambda c: pcts[c])
-        out.append(("warning", f"«{worst}» es la columna con más valores faltantes ({pcts[worst]}%). "
-                               f"{len(nz)} columna(s) tienen nulos en total."))
+    if f["rows"]:
+        const = [c for c in df.columns if f["const"][c]]
+        pairs = corr_rows if corr_rows is not None else eda.correlation(df).orderBy("i", "j").collect()
+        notes = [
+            *([_note("dup", n=f["dup"], pct=_share(f["dup"], f["rows"], 2))] if f["dup"] else []),
+            *_completeness(f, df.columns),
+            *([_note("const", names=", ".join(const[:5]))] if const else []),
+            *_identifier(df, f), *_strongest(pairs), *_most_outliers(df, f)]
     else:
-        out.append(("success", "No hay valores faltantes: el dataset está completo."))
-    const = [c for c in df.columns if f["const"][c]]
-    # id candidates are all columns without nulls, at any size
-    cand = [c for c in df.columns if f["nulls"][c] == 0]
-    card = stats.distinct_counts(df, cand) if cand and n > 1 else {}
-    if const:
-        out.append(("info", f"Columna(s) con un solo valor (sin información útil): {', '.join(const[:5])}."))
-    ids = [c for c in df.columns if card.get(c) == n and n > 1]
-    if ids:
-        out.append(("info", f"«{ids[0]}» parece un identificador único (un valor distinto por fila)."))
-    pairs = corr_rows if corr_rows is not None else eda.correlation(df).orderBy("i", "j").collect()
-    best = None
-    for p in pairs:
-        if best is None or abs(p["r"]) > abs(best["r"]):
-            best = p
-    if best is not None and abs(best["r"]) >= STRONG_R:
-        sign = "positiva" if best["r"] > 0 else "negativa"
-        out.append(("info", f"Correlación {sign} fuerte ({best['r']:+.2f}) entre «{best['col_a']}» y "
-                            f"«{best['col_b']}»."))
-    num = C.numeric_columns(df)
-    q = stats.quantiles(df, num, [0.25, 0.75], cardinality=f["hll"])
-    cnt = stats.outlier_counts(df, stats.fences(q, skip_zero_iqr=False))
-    if num:
-        top = max(num, key=lambda c: cnt.get(c, 0))
-        if cnt.get(top, 0) > 0:
-            out.append(("info", f"«{top}» tiene {cnt[top]} valores atípicos ({round(cnt[top] / n * 100, 1)}%) "
-                                f"según el método IQR."))
-    return spark.createDataFrame([(i, lv, t) for i, (lv, t) in enumerate(out)], schema)
+        notes = [_note("empty")]
+    return spark.createDataFrame([(i, *note) for i, note in enumerate(notes)], "position int, level string, text string")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import functions as F
@@ -26,7 +25,7 @@ def _oracle(class_sql: str, limit_sql: str) -> str:
 WITH RECURSIVE e AS (
   SELECT CAST(user_id AS VARCHAR) || ':' || cls AS k, event_id, epoch_us(ts) AS t, lim,
          row_number() OVER (PARTITION BY user_id, cls ORDER BY ts, event_id) AS rn
-  FROM (SELECT *, {class_sql} AS cls, {limit_sql} AS lim FROM events)),
+  FROM (SELECT *, {class_sql} AS cls, {limit_sql} AS lim FROM events) WHERE cls IS NOT NULL),
 r AS (
   SELECT k, rn, event_id, true AS admitted, NULL::BIGINT AS retry_after, [t] AS acc FROM e WHERE rn = 1
   UNION ALL
@@ -34,7 +33,8 @@ r AS (
          CASE WHEN len({kept}) >= e.lim THEN ({w} - (e.t - list_min({kept}))) // 1000000 + 1 END,
          CASE WHEN len({kept}) < e.lim THEN list_append({kept}, e.t) ELSE {kept} END
   FROM r JOIN e ON e.k = r.k AND e.rn = r.rn + 1)
-SELECT event_id, admitted, retry_after::BIGINT AS retry_after FROM r"""
+SELECT event_id, admitted, retry_after::BIGINT AS retry_after FROM r
+UNION ALL SELECT event_id, true, NULL FROM events WHERE ({class_sql}) IS NULL"""
 
 
 _BATCH_SQL = _oracle("'g'", str(LIMIT))
@@ -56,18 +56,28 @@ def q_throttle_classes(spark, d):
     return out.select("event_id", "admitted", "retry_after")
 
 
+@register("throttle_paths", _oracle(
+    "CASE WHEN event_type = 'click' THEN NULL WHEN event_type IN ('purchase', 'signup') THEN 'h' ELSE 'g' END",
+    "CASE WHEN event_type IN ('purchase', 'signup') THEN 2 ELSE 3 END"))
+def q_throttle_paths(spark, d):
+    """Classes by path prefix, one of them exempt (ST2)."""
+    path = F.concat(F.lit("/api/"), F.col("event_type"))
+    cls = TH.cost_class_of(path, [f"/api/{t}" for t in HEAVY_TYPES], ["/api/click"])
+    out = TH.throttle(table(spark, d, "events").withColumn("cost_class", cls), window_s=DAY, limits=CLASS_LIMITS,
+                      cost_class="cost_class")
+    return out.select("event_id", "admitted", "retry_after")
+
+
 @register("throttle_stream", _BATCH_SQL)
 def q_throttle_stream(spark, d):
     """The events file replayed as a stream (availableNow), decisions written
     to a Parquet sink under the shared checkpoint folder, then read back."""
     schema = table(spark, d, "events").schema
-    base = ensure_checkpoint_dir(spark)
-    base = base[5:] if base.startswith("file:") else base
-    run = os.path.join(base, "stream-" + uuid.uuid4().hex)
+    run = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     out = TH.throttle_stream(stream, window_s=DAY, limits={"g": LIMIT}, watermark="1 day")
-    q = (out.writeStream.format("parquet").option("path", os.path.join(run, "out"))
-         .option("checkpointLocation", os.path.join(run, "ckpt")).outputMode("append")
+    q = (out.writeStream.format("parquet").option("path", f"{run}/out")
+         .option("checkpointLocation", f"{run}/ckpt").outputMode("append")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(os.path.join(run, "out")).select("event_id", "admitted", "retry_after")
+    return spark.read.parquet(f"{run}/out").select("event_id", "admitted", "retry_after")

@@ -32,7 +32,7 @@ WITH lab AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{x}')" for i, x in enumer
 terms AS (SELECT DISTINCT label_no, unnest(regexp_extract_all(lower(label), {TOK})) AS token FROM lab),
 tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), {TOK})) AS token FROM documents),
 pd AS (SELECT doc_id, token, count(*) AS n FROM tok GROUP BY 1, 2),
-tot AS (SELECT doc_id, sum(n) AS total FROM pd GROUP BY 1),
+tot AS (SELECT doc_id, greatest(coalesce(len(regexp_extract_all(lower(text), {TOK})), 0), 1) AS total FROM documents),
 hits AS (SELECT doc_id, label_no, sum(n) AS hits FROM pd JOIN terms ON pd.token = terms.token GROUP BY 1, 2),
 g AS (SELECT tot.doc_id, lab.label_no, lab.label, exp(coalesce(hits, 0) / total) AS e FROM tot CROSS JOIN lab
       LEFT JOIN hits ON hits.doc_id = tot.doc_id AND hits.label_no = lab.label_no),
@@ -58,7 +58,8 @@ scored AS (SELECT sents.doc_id, sents.sent_no, sentence, round(coalesce(s, 0), 6
            LEFT JOIN sc ON sc.doc_id = sents.doc_id AND sc.sent_no = sents.sent_no),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, sent_no) AS rk FROM scored)
         WHERE rk <= 3)
-SELECT doc_id, string_agg(sentence, ' ' ORDER BY sent_no) AS summary FROM top GROUP BY 1""")
+SELECT documents.doc_id, coalesce(string_agg(sentence, ' ' ORDER BY sent_no), '') AS summary
+FROM documents LEFT JOIN top ON top.doc_id = documents.doc_id GROUP BY 1""")
 def q_summary(spark, d):
     return TX.summarize(table(spark, d, "documents"))
 

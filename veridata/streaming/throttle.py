@@ -1,20 +1,21 @@
 """Per-key sliding-window admission (ST1–ST3), batch and Structured Streaming.
 
-Semantics (per key, events in (ts, event_id) order): keep the timestamps
-of *accepted* events; forget those older than ``now - window`` (an event
-exactly ``window`` old still counts); if ``limit`` accepted events remain,
-reject with ``retry_after = floor((window - (now - oldest)) / 1 s) + 1``;
-otherwise accept. Rejected events never count, so a plain window-frame
-count is not equivalent — this is a sequential state machine per key.
-
-Batch plan: each key is cut at idle gaps longer than the window (the
-state is provably empty there), then ``repartition(key, segment)`` +
-``sortWithinPartitions`` + ``mapInPandas``. Each task streams its sorted
-partition batch by batch and keeps at most ``limit`` timestamps for the
-current segment, so a key that holds a third of all rows is spread over
-tasks by its segments and never held in memory (the sort spills). Stream plan: ``applyInPandasWithState`` with the same step
-function; the state is the accepted-timestamp list and an event-time
-timeout purges idle keys (ST3) once the watermark passes.
+Semantics (per key, events in (ts, event_id) order): an event is rejected if
+the last ``limit`` *accepted* events all lie within the window before it (an
+event exactly ``window`` old still counts), with ``retry_after`` = whole
+seconds until the oldest of them leaves, plus one. Rejected events never
+count, so a plain window-frame count is not equivalent: this is a sequential
+state machine per key, whose state is a ring of ``limit`` accepted times.
+
+Batch plan: each key is cut at idle gaps longer than the window (the ring is
+provably void there). The gaps are found from the first and last time of each
+(key, window-long bucket), pre-aggregated before their shuffle, so no task sorts
+the raw events of a whole key. Then ``repartition(key, segment)`` +
+``sortWithinPartitions`` + ``mapInPandas``: each task streams its sorted
+partition and keeps one ring. Stream plan: ``applyInPandasWithState`` with the
+same step; the state is the ring, and an event-time timeout purges idle keys
+(ST3) once the watermark passes. Events of an exempt class (null) are admitted
+by a projection and never reach the state.
 """
 
 from __future__ import annotations
@@ -35,14 +36,19 @@ US = 1_000_000
 OUT_SCHEMA = "key string, event_id long, ts_us long, cost_class string, admitted boolean, retry_after long"
 
 
-def step(marks: deque, now: int, window_us: int, limit: int) -> tuple[bool, int | None]:
-    """One admission decision; ``marks`` holds accepted timestamps (µs)."""
-    cut = now - window_us
-    while marks and marks[0] < cut:
-        marks.popleft()
-    if len(marks) >= limit:
-        return False, (window_us - (now - marks[0])) // US + 1
-    marks.append(now)
+def ring(limits: dict[str, int], cost_class: str, times=()) -> deque:
+    """The last accepted times of a key, as many as its class admits in a window."""
+    size = limits.get(cost_class, limits.get("g", GENERAL_LIMIT))
+    if size < 1:
+        raise ValueError(f"the limit of class {cost_class} must be at least 1")
+    return deque(times, maxlen=size)
+
+
+def step(accepted: deque, now: int, window_us: int) -> tuple[bool, int | None]:
+    """One decision: a full ring whose oldest time is within the window rejects."""
+    if len(accepted) == accepted.maxlen and now - accepted[0] <= window_us:
+        return False, (window_us - now + accepted[0]) // US + 1
+    accepted.append(now)  # pushes the oldest time out of a full ring
     return True, None
 
 
@@ -54,19 +60,33 @@ def _prepare(df: DataFrame, key: str, ts: str, id_col: str, cost_class: str | No
                      cls.alias("cost_class"))
 
 
+def _exempt(ev: DataFrame) -> DataFrame:
+    return ev.where(F.col("cost_class").isNull()).select(
+        "*", F.lit(True).alias("admitted"), F.lit(None).cast("long").alias("retry_after"))
+
+
+def _decided(pdf: pd.DataFrame, decisions: list[tuple[bool, int | None]]) -> pd.DataFrame:
+    out = pdf[["key", "event_id", "ts_us", "cost_class"]].copy()
+    out["admitted"] = [ok for ok, _ in decisions]
+    out["retry_after"] = pd.array([wait for _, wait in decisions], dtype="Int64")
+    return out
+
+
 def idle_segments(ev: DataFrame, window_us: int) -> DataFrame:
-    """Number the runs of each key separated by an idle gap longer than the window.
+    """``ev`` with ``seg``, the bucket in which the current run of its key began.
 
-    After such a gap every accepted mark is older than ``now - window``, so
-    the state is empty: segments are independent and exact to process in
-    parallel. ``lag`` and the running sum are JVM-side window functions.
+    Buckets are one window long, so a gap longer than the window always lies
+    between two buckets of a key: the largest time of one and the smallest of
+    the next show it. After such a gap no accepted time is within the window, so
+    segments are independent. The window function runs over buckets, not events.
     """
-    w = Window.partitionBy("key").orderBy("ts_us", "event_id")
-    prev = F.lag("ts_us").over(w)
-    start = F.when(prev.isNull() | ((F.col("ts_us") - prev) > F.lit(window_us)), 1).otherwise(0)
-    return (ev.withColumn("_start", start)
-            .withColumn("seg", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-            .drop("_start"))
+    bucketed = ev.withColumn("bucket", F.col("ts_us") - F.pmod("ts_us", F.lit(window_us)))
+    buckets = bucketed.groupBy("key", "bucket").agg(F.min("ts_us").alias("lo"), F.max("ts_us").alias("hi"))
+    in_time = Window.partitionBy("key").orderBy("bucket")
+    idle = F.col("lo") - F.lag("hi").over(in_time)
+    runs = (buckets.withColumn("begin", F.when(idle.isNull() | (idle > window_us), F.col("bucket")))
+            .select("key", "bucket", F.last("begin", ignorenulls=True).over(in_time).alias("seg")))
+    return bucketed.join(runs, ["key", "bucket"]).select(*ev.columns, "seg")
 
 
 def throttle(df: DataFrame, key: str = "user_id", ts: str = "ts", id_col: str = "event_id",
@@ -75,38 +95,35 @@ def throttle(df: DataFrame, key: str = "user_id", ts: str = "ts", id_col: str =
              split_idle: bool = True) -> DataFrame:
     """Batch admission for every event: (key, event_id, ts_us, cost_class, admitted, retry_after).
 
-    With ``split_idle`` a hot key is cut at its idle gaps (see
-    ``idle_segments``) so its segments spread over tasks.
+    With ``split_idle`` a hot key is cut at its idle gaps (see ``idle_segments``)
+    so its segments spread over tasks. Events without a time raise an error.
     """
     limits = limits or {"g": GENERAL_LIMIT, "h": HEAVY_LIMIT}
     window_us = int(window_s * US)
     ev = _prepare(df, key, ts, id_col, cost_class)
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ev = ev.withColumn("ts_us", F.coalesce("ts_us", F.raise_error(F.lit("event without a time")).cast("long")))
+    limited = ev.where(F.col("cost_class").isNotNull())
     if split_idle:
-        ev = idle_segments(ev, window_us)
+        limited = idle_segments(limited, window_us)
     else:
-        ev = ev.withColumn("seg", F.lit(0).cast("long"))
-    ev = ev.repartition(n, "key", "seg").sortWithinPartitions("key", "seg", "ts_us", "event_id")
+        limited = limited.withColumn("seg", F.lit(0).cast("long"))
+    by = ["key", "seg"]
+    # without a given number of partitions AQE chooses it
+    spread = limited.repartition(partitions, *by) if partitions else limited.repartition(*by)
+    ordered = spread.sortWithinPartitions(*by, "ts_us", "event_id")
 
     def run(batches):
-        cur, marks = None, deque()
+        current, accepted = None, deque()
         for b in batches:
-            adm, retry = [], []
-            for k, sg, now, c in zip(b["key"], b["seg"], b["ts_us"], b["cost_class"]):
-                if (k, sg) != cur:
-                    cur, marks = (k, sg), deque()
-                if c is None:  # exempt: always admitted, never counted
-                    adm.append(True)
-                    retry.append(None)
-                    continue
-                ok, ra = step(marks, int(now), window_us, limits.get(c, limits.get("g", GENERAL_LIMIT)))
-                adm.append(ok)
-                retry.append(ra)
-            out = b.drop(columns=["seg"])
-            out["admitted"] = adm
-            out["retry_after"] = pd.array(retry, dtype="Int64")
-            yield out
-    return ev.mapInPandas(run, OUT_SCHEMA)
+            decisions = []
+            for k, seg, now, cls in zip(b["key"], b["seg"], b["ts_us"], b["cost_class"]):
+                if (k, seg) != current:
+                    current, accepted = (k, seg), ring(limits, cls)
+                decisions.append(step(accepted, int(now), window_us))
+            yield _decided(b, decisions)
+
+    out = ordered.mapInPandas(run, OUT_SCHEMA)
+    return out.unionByName(_exempt(ev)) if cost_class else out
 
 
 def cost_class_of(path: F.Column, heavy_prefixes: list[str], exempt_prefixes: list[str]) -> F.Column:
@@ -121,7 +138,7 @@ def cost_class_of(path: F.Column, heavy_prefixes: list[str], exempt_prefixes: li
 
 
 # ── Structured Streaming ────────────────────────────────────────────────────
-STATE_SCHEMA = "marks array<long>"
+STATE_SCHEMA = "accepted array<long>"
 
 
 def throttle_stream(stream: DataFrame, key: str = "user_id", ts: str = "ts", id_col: str = "event_id",
@@ -129,39 +146,31 @@ def throttle_stream(stream: DataFrame, key: str = "user_id", ts: str = "ts", id_
                     cost_class: str | None = None, watermark: str | None = None) -> DataFrame:
     """Streaming form: same decisions for events that arrive in time order.
 
-    Events behind the watermark are dropped by Spark (our stated policy).
-    Each key's state times out ``window`` after its newest accepted mark.
+    Events behind the watermark are dropped by Spark (our stated policy). Each
+    key's state times out ``window`` after its newest accepted time. One key's
+    events of one micro-batch are sorted in one worker, so the source's batch
+    size (``maxFilesPerTrigger`` and the like) bounds its memory.
     """
     limits = limits or {"g": GENERAL_LIMIT, "h": HEAVY_LIMIT}
     window_us = int(window_s * US)
-    ev = _prepare(stream, key, ts, id_col, cost_class).withColumn("_t", F.timestamp_micros("ts_us"))
-    ev = ev.withWatermark("_t", watermark or f"{int(window_s)} seconds")
+    ev = _prepare(stream, key, ts, id_col, cost_class)
+    limited = (ev.where(F.col("cost_class").isNotNull()).withColumn("_t", F.timestamp_micros("ts_us"))
+               .withWatermark("_t", watermark or f"{int(window_s)} seconds"))
 
     def fn(k, pdfs, state):
         if state.hasTimedOut:
             state.remove()
             return
-        marks = deque(state.get[0]) if state.exists else deque()
-        parts = list(pdfs)
-        pdf = pd.concat(parts).sort_values(["ts_us", "event_id"]) if parts else None
-        if pdf is None or pdf.empty:
+        chunks = [p for p in pdfs if len(p)]
+        if not chunks:
             return
-        adm, retry = [], []
-        for now, c in zip(pdf["ts_us"], pdf["cost_class"]):
-            if c is None:
-                adm.append(True)
-                retry.append(None)
-                continue
-            ok, ra = step(marks, int(now), window_us, limits.get(c, limits.get("g", GENERAL_LIMIT)))
-            adm.append(ok)
-            retry.append(ra)
-        state.update((list(marks),))
-        if marks:
-            state.setTimeoutTimestamp(int(marks[-1] // 1000 + window_s * 1000))
-        out = pdf[["key", "event_id", "ts_us", "cost_class"]].copy()
-        out["admitted"] = adm
-        out["retry_after"] = pd.array(retry, dtype="Int64")
-        yield out
-
-    return ev.groupBy("key").applyInPandasWithState(
+        pdf = pd.concat(chunks).sort_values(["ts_us", "event_id"])
+        accepted = ring(limits, pdf["cost_class"].iloc[0], state.get[0] if state.exists else ())
+        decisions = [step(accepted, int(now), window_us) for now in pdf["ts_us"]]
+        state.update((list(accepted),))
+        state.setTimeoutTimestamp(max(int(accepted[-1] // 1000 + window_s * 1000), state.getCurrentWatermarkMs() + 1))
+        yield _decided(pdf, decisions)
+
+    out = limited.groupBy("key").applyInPandasWithState(
         fn, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+    return out.unionByName(_exempt(ev)) if cost_class else out

@@ -361,3 +361,62 @@ def test_mean_ties_do_not_depend_on_partitions(spark):
     df = spark.range(60000).selectExpr("cast((id * 7919) % 11 as double) / 100 as v")
     got = {profile(df.repartition(n)).collect()[0]["mean"] for n in (1, 3, 8)}
     assert len(got) == 1
+
+
+# ── quantiles with infinities, splits, tables, inventory, text ──────────────
+def test_quantiles_agree_on_both_sides_of_the_bound(spark, monkeypatch):
+    values = [float(i) * 0.5 for i in range(500)] + [float("inf")] * 3 + [float("-inf"), 1e308, -1e308, 5e-324]
+    df = spark.createDataFrame([(v,) for v in values], "x double").repartition(3)
+    probs = [0.0, 0.001, 0.25, 0.5, 0.75, 0.995, 1.0]
+    direct = stats.quantiles(df, ["x"], probs)["x"]
+    monkeypatch.setattr(C, "EXACT_PERCENTILE_MAX_DISTINCT", 5)
+    monkeypatch.setattr(stats, "FETCH_LIMIT", 40)
+    refined = stats.quantiles(df, ["x"], probs, cardinality={"x": 1000})["x"]
+    assert refined == direct and refined[0] == float("-inf") and refined[-1] == float("inf")
+    assert stats.refine_quantiles(df.where("false"), ["x"], [0.5])["x"] == [None]
+
+
+def test_stratified_split_keeps_each_class_share(spark):
+    from veridata.operators import models as M
+    df = spark.range(1000).select(F.col("id").alias("f"), F.when(F.col("id") % 10 == 0, 1.0).otherwise(0.0).alias("label"))
+    train, test, _ = M.stratified_split(df, 1000)
+    assert {r["label"]: r["count"] for r in test.groupBy("label").count().collect()} == {0.0: 225, 1.0: 25}
+    assert train.union(test).distinct().count() == 1000 and train.count() == 750
+
+
+def test_model_parameters_out_of_bounds_raise(spark):
+    from veridata.operators import models as M
+    for given in ({"k": 1}, {"k": 99}, {"k": 2.5}, {"k": "x"}):
+        try:
+            M._whole(given, "k", 3, 2, 9)
+            raise AssertionError(given)
+        except ValueError:
+            pass
+    assert M._whole({"k": ""}, "k", 3, 2, 9) == 3 and M._whole({"k": "4"}, "k", 3, 2, 9) == 4
+
+
+def test_tables_without_end_tags_nested_and_spanning():
+    loose = pages._parse("<table><tr><td>a<td>b<tr><td>c<td><table><tr><td rowspan=2>x<td>y<tr><td>z</table>d</table>").tables
+    assert loose == [[(False, ["a", "b"]), (False, ["c", "xyzd"])], [(False, ["x", "y"]), (False, ["x", "z"])]]
+    wide = pages._parse("<table><tr><th colspan=2>h</th></tr><tr><td>1</td><td>2</td></tr></table><table></table>").tables
+    assert wide == [[(True, ["h", "h"]), (False, ["1", "2"])]]
+
+
+def test_inventory_rules(spark):
+    from veridata.sources import tables as TB
+    names = {"x.tsv": "TSV", "a.json": "JSON", "PG:t": "SQL", "Query:1": "SQL", "Mongo:m": "NoSQL", "NoSQL:m": "NoSQL",
+             "Web:p_t0": "Web", "Limpio:x": "ETL", "anything": "CSV"}
+    assert {n: TB.source_type(n) for n in names} == names
+    spark.createDataFrame([("é" * 1024, 1)], "t string, n int").createOrReplaceTempView("inv_small")
+    assert TB.table_inventory(spark, ["inv_small"]).first()["size"] == "2.0 KB"
+
+
+def test_text_tasks_keep_documents_without_words(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "..."), (4, "One two. Two two! Three?")], "doc_id long, text string")
+    first = dict(rows(text.topics(df, "two,three").where("rank = 1").select("doc_id", "label")))
+    assert first == {1: "two", 2: "two", 3: "two", 4: "two"}
+    assert text.topics(df, "two,three").count() == 8
+    got = dict(rows(text.summarize(df, n=1)))
+    assert got == {1: "", 2: "", 3: "", 4: "Two two!"}  # points alone are no sentence
+    assert rows(text.answer(df, "three four").where("doc_id = 4").select("answer", "score")) == [("Three?", 0.5)]
+    assert text.answer(df, "three").where("score = 0").count() == 3

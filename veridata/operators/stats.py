@@ -300,104 +300,76 @@ REFINE_BINS = 1024
 FETCH_LIMIT = 200_000
 
 
+def _interpolate(a: float, b: float, position: float) -> float:
+    """Between two neighbouring ranks, by the formula of Spark's ``percentile``."""
+    low, high = math.floor(position), math.ceil(position)
+    return a if low == high or a == b else (high - position) * a + (position - low) * b
+
+
+def _narrow(df: DataFrame, x: dict, bands: list[dict], found: dict) -> list[dict]:
+    """One pass over the rows inside the bands. A band of few values is counted by value,
+    another by ``REFINE_BINS`` bins; each rank is read off or goes on in its bin."""
+    fetch = FETCH_LIMIT // len(bands)
+    items = []
+    for i, band in enumerate(bands):
+        v, lo, hi = x[band["col"]], band["lo"], band["hi"]
+        half = 0.5 if math.isinf(hi - lo) else 1.0  # the width may be beyond the largest double
+        place = (v * F.lit(half) - F.lit(lo * half)) / F.lit(hi * half - lo * half) * F.lit(float(REFINE_BINS))
+        key = v if band["n"] <= fetch else F.least(F.floor(place), F.lit(REFINE_BINS - 1)).cast("double")
+        items.append(F.when(v.between(lo, hi), F.struct(F.lit(i).alias("band"), key.alias("key"), v.alias("v"))))
+    rows = (df.select(F.explode(F.array(*items)).alias("p")).where(F.col("p").isNotNull())
+            .groupBy("p.band", "p.key").agg(F.count(F.lit(1)).alias("n"), F.min("p.v").alias("lo"), F.max("p.v").alias("hi"))
+            .collect())
+    out, run = [], [band["below"] for band in bands]
+    for r in sorted(rows, key=lambda r: (r["band"], r["key"])):
+        band, below = bands[r["band"]], run[r["band"]]
+        run[r["band"]] = below + r["n"]
+        ranks = [k for k in band["ranks"] if below <= k < below + r["n"]]
+        if ranks and r["lo"] == r["hi"]:
+            found.update({(band["col"], k): r["lo"] for k in ranks})
+        elif ranks:
+            out.append({"col": band["col"], "lo": r["lo"], "hi": r["hi"], "below": below, "n": r["n"], "ranks": ranks})
+    return out
+
+
 def refine_quantiles(df: DataFrame, cols: list[str], probs: list[float],
-                     max_rounds: int = 16, exprs: dict | None = None) -> dict[str, list[float | None]]:
+                     exprs: dict | None = None) -> dict[str, list[float | None]]:
     """Exact linear-interpolation quantiles by histogram refinement.
 
-    For every needed rank a value band [lo, hi] is kept with the count of
-    values below it. Each round is ONE aggregation over the rows inside the
-    active bands: a 1,024-bin histogram (count, min, max) per band; the band
-    shrinks to the bin holding its rank. When a band holds at most
-    ``FETCH_LIMIT`` values, its (value, count) pairs are fetched and the
-    rank is read off. No task ever buffers a whole column, whatever its
-    cardinality; the driver sees at most bins × bands or FETCH_LIMIT rows.
+    For the needed ranks value bands [lo, hi] are kept with the count of values
+    below them. Each round is ONE aggregation over the rows inside the bands: a
+    1,024-bin histogram (count, min, max) per band, which shrinks to the bins that
+    hold its ranks; a band that holds at most its share of ``FETCH_LIMIT`` values
+    is counted by value instead. No task ever buffers a whole column, whatever its
+    cardinality; the driver sees at most bins × bands + FETCH_LIMIT rows a round.
+    Infinite values are counted apart, so they are ranks like any other; only a
+    column without values gives None.
     """
     if not cols:
         return {}
     # ``exprs`` lets a caller refine derived values, e.g. one
     # ``when(group = g, x)`` per group: all groups refine in the same passes.
     x = {c: (exprs[c] if exprs and c in exprs else C.col(c)).cast("double") for c in cols}
-    r0 = df.agg(*[e for i, c in enumerate(cols) for e in
-                  (F.count(x[c]).alias(f"n{i}"), F.min(x[c]).alias(f"lo{i}"), F.max(x[c]).alias(f"hi{i}"))]).first()
-    bands = {}   # band id -> dict(col, lo, hi, below)
-    need = {}    # (col, rank) -> band id
-    for i, c in enumerate(cols):
-        n = int(r0[f"n{i}"])
-        if n == 0:
-            continue
-        b = len(bands)
-        bands[b] = {"col": c, "lo": float(r0[f"lo{i}"]), "hi": float(r0[f"hi{i}"]), "below": 0}
-        for p in probs:
-            k = int(math.floor((n - 1) * p))
-            for rk in {k, min(k + 1, n - 1)}:
-                need[(c, rk)] = b
+    inf = float("inf")
+    facts = df.agg(*[e for i, c in enumerate(cols) for e in (
+        F.count(x[c]).alias(f"n{i}"), F.count_if(x[c] == -inf).alias(f"low{i}"), F.count_if(x[c] == inf).alias(f"high{i}"),
+        F.min(F.when(F.abs(x[c]) < inf, x[c])).alias(f"min{i}"), F.max(F.when(F.abs(x[c]) < inf, x[c])).alias(f"max{i}"))]).first()
     found: dict[tuple, float] = {}
-    for _ in range(max_rounds):
-        live = {b for key, b in need.items() if key not in found}
-        if not live:
-            break
-        live = sorted(live)
-        # in-band row counts for every live band (one pass)
-        cnt = df.agg(*[F.count_if(x[bands[b]["col"]].between(bands[b]["lo"], bands[b]["hi"])).alias(f"b{b}")
-                       for b in live]).first()
-        small = [b for b in live if int(cnt[f"b{b}"]) <= FETCH_LIMIT or bands[b]["lo"] == bands[b]["hi"]]
-        big = [b for b in live if b not in small]
-        if small:
-            items = [F.when(x[bands[b]["col"]].between(bands[b]["lo"], bands[b]["hi"]),
-                            F.struct(F.lit(b).alias("b"), x[bands[b]["col"]].alias("v"))) for b in small]
-            vals = (df.select(F.explode(F.array(*items)).alias("p")).where(F.col("p").isNotNull())
-                    .groupBy("p.b", "p.v").agg(F.count(F.lit(1)).alias("n")).collect())
-            by = {}
-            for r in vals:
-                by.setdefault(r["b"], []).append((r["v"], int(r["n"])))
-            for b in small:
-                run = bands[b]["below"]
-                for v, n in sorted(by.get(b, [])):
-                    for (c, rk), bb in need.items():
-                        if bb == b and run <= rk < run + n:
-                            found[(c, rk)] = v
-                    run += n
-        if big:
-            items = []
-            for b in big:
-                lo, hi = bands[b]["lo"], bands[b]["hi"]
-                xv = x[bands[b]["col"]]
-                bin_ = F.least(F.floor((xv - F.lit(lo)) / F.lit((hi - lo) / REFINE_BINS)), F.lit(REFINE_BINS - 1))
-                items.append(F.when(xv.between(lo, hi), F.struct(F.lit(b).alias("b"), bin_.cast("int").alias("k"),
-                                                                  xv.alias("v"))))
-            hist = (df.select(F.explode(F.array(*items)).alias("p")).where(F.col("p").isNotNull())
-                    .groupBy("p.b", "p.k").agg(F.count(F.lit(1)).alias("n"), F.min("p.v").alias("mn"),
-                                               F.max("p.v").alias("mx")).collect())
-            by = {}
-            for r in hist:
-                by.setdefault(r["b"], []).append((r["k"], int(r["n"]), r["mn"], r["mx"]))
-            for b in big:
-                run = bands[b]["below"]
-                for k, n, mn, mx in sorted(by.get(b, [])):
-                    for (c, rk), bb in list(need.items()):
-                        if bb == b and (c, rk) not in found and run <= rk < run + n:
-                            if mn == mx:
-                                found[(c, rk)] = mn
-                            else:
-                                nb = len(bands)
-                                bands[nb] = {"col": c, "lo": mn, "hi": mx, "below": run}
-                                # ranks of this column that land in the same bin share the new band
-                                same = [key for key, v in need.items() if v == b and key[0] == c and key not in found
-                                        and run <= key[1] < run + n]
-                                for key in same:
-                                    need[key] = nb
-                    run += n
-    out = {}
+    bands = []
+    for i, c in enumerate(cols):
+        n, low, high = (int(facts[f"{k}{i}"]) for k in ("n", "low", "high"))
+        ranks = sorted({f((n - 1) * p) for p in probs for f in (math.floor, math.ceil)}) if n else []
+        found.update({(c, k): -inf if k < low else inf for k in ranks if k < low or k >= n - high})
+        inside = [k for k in ranks if (c, k) not in found]
+        if inside:
+            bands.append({"col": c, "lo": facts[f"min{i}"], "hi": facts[f"max{i}"], "below": low, "n": n - low - high,
+                          "ranks": inside})
+    while bands:  # a bin never holds both ends of its band, so bands shrink
+        bands = [b for b in bands if b["lo"] < b["hi"] or found.update({(b["col"], k): b["lo"] for k in b["ranks"]})]
+        bands = _narrow(df, x, bands, found) if bands else bands
+    out: dict[str, list[float | None]] = {}
     for i, c in enumerate(cols):
-        n = int(r0[f"n{i}"])
-        res = []
-        for p in probs:
-            if n == 0:
-                res.append(None)
-                continue
-            h = (n - 1) * p
-            k = int(math.floor(h))
-            a, b = found.get((c, k)), found.get((c, min(k + 1, n - 1)))
-            res.append(None if a is None or b is None else a + (b - a) * (h - k))
-        out[c] = res
+        last = int(facts[f"n{i}"]) - 1
+        out[c] = [None if last < 0 else _interpolate(found[c, math.floor(last * p)], found[c, math.ceil(last * p)], last * p)
+                  for p in probs]
     return out

@@ -152,11 +152,11 @@ _COLS = {"region": 2, "nation": 3, "customer": 5, "supplier": 4, "part": 6, "ord
 
 
 @register("source_registry", " UNION ALL ".join(
-    f"SELECT '{t}' AS name, 'Tabla' AS type, count(*)::BIGINT AS \"rows\", {n}::BIGINT AS cols, 'ok' AS status "
+    f"SELECT '{t}' AS name, 'CSV' AS type, count(*)::BIGINT AS \"rows\", {n}::BIGINT AS cols, 'Ready' AS status "
     f"FROM {t}" for t, n in sorted(_COLS.items())))
 def q_registry(spark, d):
     _register_views(spark, d)
-    return TB.table_inventory(spark, TABLES)
+    return TB.table_inventory(spark, TABLES).drop("size")
 
 
 @register("records_json", "SELECT to_json(struct_pack(n_nationkey := n_nationkey, n_name := n_name, "

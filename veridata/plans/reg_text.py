@@ -119,6 +119,26 @@ def q_page_tables(spark, d):
     return PG.page_tables(nation_pages(spark, d))
 
 
+@register("page_tables_loose", """
+WITH r AS (SELECT n_regionkey, n_name, CAST(n_nationkey AS VARCHAR) AS k,
+                  row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS row_no FROM nation),
+a AS (SELECT n_regionkey, row_no, k, n_name FROM r
+      UNION ALL SELECT n_regionkey, count(*), 'end', 'end' FROM r GROUP BY 1)
+SELECT n_regionkey::BIGINT AS page_id, 1 AS table_no, row_no::INTEGER AS row_no, c.col_no, c.header,
+       CASE c.col_no WHEN 0 THEN 'all' WHEN 1 THEN k ELSE n_name END AS cell
+FROM a, (VALUES (0, 'scope'), (1, 'n_nationkey'), (2, 'n_name')) c(col_no, header)""")
+def q_page_tables_loose(spark, d):
+    """Nested tables without end tags, with cells that span rows and columns."""
+    nat = table(spark, d, "nation")
+    rows = nat.groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("xs"))
+    cells = F.transform("xs", lambda x: F.concat(F.lit("<td>"), x["n_nationkey"].cast("string"), F.lit("<td>"), x["n_name"]))
+    html = F.concat(F.lit("<table><tr><td>around<td><table><tr><th>scope<th>n_nationkey<th>n_name<tr><td rowspan="),
+                    (F.size("xs") + 1).cast("string"), F.lit(">all"), F.array_join(cells, "<tr>"),
+                    F.lit("<tr><td colspan=2>end</table></table>"))
+    pages = rows.select(F.col("n_regionkey").cast("long").alias("page_id"), F.lit("").alias("url"), html.alias("html"))
+    return PG.page_tables(pages)
+
+
 @register("page_excerpt", "SELECT page_id, substring(html, 1, 1500) AS excerpt, length(html)::BIGINT AS html_chars "
           "FROM pages")
 def q_page_excerpt(spark, d):

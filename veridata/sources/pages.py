@@ -24,6 +24,61 @@ BLOCK_TAGS = {"p", "div", "table", "ul", "ol", "li", "section", "article", "head
 SKIP_TAGS = {"script", "style", "template", "noscript"}
 
 
+MAX_COLSPAN, MAX_ROWSPAN = 1000, 65534  # limits of the HTML standard
+
+
+def _span(attrs, name: str, most: int) -> int:
+    text = (dict(attrs).get(name) or "").strip()
+    return min(max(int(text), 1), most) if text.isdecimal() else 1
+
+
+class _Table:
+    """An open table. A cell ends with the next cell, a row with the next row or section,
+    whether they are closed or not."""
+
+    def __init__(self):
+        self.rows: list[list[tuple]] = []
+        self.in_row, self.cell = False, None
+
+    def open_row(self):
+        self.close_row()
+        self.rows.append([])
+        self.in_row = True
+
+    def open_cell(self, is_header: bool, across: int, down: int):
+        self.close_cell()
+        if not self.in_row:
+            self.open_row()
+        self.cell = (is_header, across, down, [])
+
+    def close_cell(self):
+        if self.cell is not None:
+            is_header, across, down, data = self.cell
+            self.rows[-1].append((is_header, across, down, " ".join("".join(data).split())))
+            self.cell = None
+
+    def close_row(self):
+        self.close_cell()
+        self.in_row = False
+
+    def grid(self) -> list[tuple[bool, list[str]]]:
+        """Rows with cells as (all are headers, texts); spanning cells are repeated in every place."""
+        out, hanging = [], {}  # column -> (rows left, text)
+        for row in filter(None, self.rows):
+            texts: dict[int, str] = {c: text for c, (_, text) in hanging.items()}
+            hanging = {c: (left - 1, text) for c, (left, text) in hanging.items() if left > 1}
+            at = 0
+            for _, across, down, text in row:
+                for _ in range(across):
+                    while at in texts:
+                        at += 1
+                    texts[at] = text
+                    if down > 1:
+                        hanging[at] = (down - 1, text)
+            out.append((all(cell[0] for cell in row), [texts.get(c, "") for c in range(max(texts) + 1)]))
+        return out
+
+
 class _Extractor(HTMLParser):
     """Collects paragraph texts and tables in one pass over a page.
 
@@ -34,13 +89,10 @@ class _Extractor(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.paragraphs: list[str] = []
-        self.tables: list[list[tuple[bool, list[str]]]] = []
         self._p: list[str] | None = None
         self._skip = 0
-        self._tstack: list[list] = []
-        self._row: list[str] | None = None
-        self._row_header = False
-        self._cell: list[str] | None = None
+        self._all: list[_Table] = []   # in the order of their start tags
+        self._open: list[_Table] = []  # innermost last
 
     def _close_p(self):
         if self._p is not None:
@@ -56,13 +108,14 @@ class _Extractor(HTMLParser):
         if tag == "p":
             self._p = []
         elif tag == "table":
-            self._tstack.append([])
-        elif tag == "tr" and self._tstack:
-            self._row, self._row_header = [], True
-        elif tag in ("td", "th") and self._row is not None:
-            self._cell = []
-            if tag == "td":
-                self._row_header = False
+            self._open.append(_Table())
+            self._all.append(self._open[-1])
+        elif self._open and tag == "tr":
+            self._open[-1].open_row()
+        elif self._open and tag in ("thead", "tbody", "tfoot"):
+            self._open[-1].close_row()
+        elif self._open and tag in ("td", "th"):
+            self._open[-1].open_cell(tag == "th", _span(attrs, "colspan", MAX_COLSPAN), _span(attrs, "rowspan", MAX_ROWSPAN))
 
     def handle_endtag(self, tag):
         if tag in SKIP_TAGS:
@@ -70,27 +123,33 @@ class _Extractor(HTMLParser):
             return
         if tag == "p":
             self._close_p()
-        elif tag in ("td", "th") and self._cell is not None and self._row is not None:
-            self._row.append(" ".join("".join(self._cell).split()))
-            self._cell = None
-        elif tag == "tr" and self._row is not None and self._tstack:
-            if self._row:
-                self._tstack[-1].append((self._row_header, self._row))
-            self._row = None
-        elif tag == "table" and self._tstack:
-            self.tables.append(self._tstack.pop())
+        elif self._open and tag in ("td", "th"):
+            self._open[-1].close_cell()
+        elif self._open and tag in ("tr", "thead", "tbody", "tfoot"):
+            self._open[-1].close_row()
+        elif self._open and tag == "table":
+            self._open.pop().close_row()
 
     def handle_data(self, data):
         if self._skip:
             return
         if self._p is not None:
             self._p.append(data)
-        if self._cell is not None:
-            self._cell.append(data)
+        for table in self._open:  # a cell also has the text of the tables in it
+            if table.cell is not None:
+                table.cell[-1].append(data)
 
     def close(self):
         super().close()
         self._close_p()
+        while self._open:
+            self._open.pop().close_row()
+
+    @property
+    def tables(self) -> list[list[tuple[bool, list[str]]]]:
+        """Tables that hold text, in document order."""
+        grids = [t.grid() for t in self._all]
+        return [g for g in grids if any(text for _, texts in g for text in texts)]
 
 
 def _parse(html: str) -> _Extractor:
@@ -115,14 +174,15 @@ def page_text(pages: DataFrame, max_chars: int | None = None) -> DataFrame:
 
 def page_tables(pages: DataFrame) -> DataFrame:
     """Long form of every valid table (≥ 3 data rows, ≥ 2 columns):
-    (page_id, table_no, row_no, col_no, header, cell). ``table_no`` counts
-    valid tables only; the header row (all ``<th>``) names the columns."""
+    (page_id, table_no, row_no, col_no, header, cell). ``table_no`` is the place
+    among all tables of the page that hold text; the header row (all ``<th>``) names
+    the columns. End tags may be missing, nested tables are tables of their own, and
+    cells that span rows or columns are repeated."""
     def run(batches):
         for b in batches:
             out = {"page_id": [], "table_no": [], "row_no": [], "col_no": [], "header": [], "cell": []}
             for pid, h in zip(b["page_id"], b["html"]):
-                k = 0
-                for rows in _parse(h).tables:
+                for k, rows in enumerate(_parse(h).tables):
                     head = next((r for is_h, r in rows if is_h), None)
                     body = [r for is_h, r in rows if not is_h]
                     width = max((len(r) for r in body), default=0)
@@ -137,7 +197,6 @@ def page_tables(pages: DataFrame) -> DataFrame:
                             out["col_no"].append(j)
                             out["header"].append(names[j])
                             out["cell"].append(r[j] if j < len(r) else None)
-                    k += 1
             yield pd.DataFrame(out)
     schema = "page_id long, table_no int, row_no int, col_no int, header string, cell string"
     return pages.select("page_id", "html").mapInPandas(run, schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,38 +82,51 @@ def guard(df: DataFrame, max_rows: int | None = None, max_cols: int | None = Non
     return df, max_rows is not None and n > max_rows
 
 
-def size_text(nbytes: float) -> str:
-    return f"{nbytes / 1024:.1f} KB" if nbytes < 1024 * 1024 else f"{nbytes / (1024 * 1024):.1f} MB"
+# fixed values: kinds of sources by the end, then by the beginning of their names
+SOURCE_ENDS = [(".tsv", "TSV"), (".json", "JSON")]
+SOURCE_STARTS = [("PG:", "SQL"), ("Query:", "SQL"), ("NoSQL:", "NoSQL"), ("Mongo:", "NoSQL"), ("Web:", "Web"),
+                 ("Limpio:", "ETL")]
+SOURCE_DEFAULT, SOURCE_STATUS = "CSV", "Ready"
+
+
+def size_text(nbytes: F.Column) -> F.Column:
+    """Bytes as text: megabytes above one of them, else kilobytes."""
+    mb = F.lit(1024.0 * 1024.0)
+    return F.when(nbytes > mb, F.format_string("%.1f MB", nbytes / mb)).otherwise(
+        F.format_string("%.1f KB", nbytes / F.lit(1024.0)))
 
 
 def source_type(name: str) -> str:
-    low = name.lower()
-    if low.startswith("query:") or low.startswith("query_"):
-        return "SQL"
-    if low.startswith("web:") or low.startswith("web_"):
-        return "Web"
-    if low.startswith("limpio"):
-        return "Limpio"
-    for ext, kind in ((".csv", "CSV"), (".tsv", "TSV"), (".json", "JSON"), (".parquet", "Parquet")):
-        if low.endswith(ext):
-            return kind
-    return "Tabla"
+    kinds = [k for end, k in SOURCE_ENDS if name.endswith(end)] + [k for start, k in SOURCE_STARTS if name.startswith(start)]
+    return (kinds + [SOURCE_DEFAULT])[0]
+
+
+def _cell_bytes(field: T.StructField) -> Column:
+    """About what a cell takes: the bytes of a text, eight for each item of an array, eight for the rest."""
+    x = C.col(field.name)
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(x), F.lit(0)).cast("long")
+    if isinstance(field.dataType, T.ArrayType):
+        return 8 * F.coalesce(F.greatest(F.size(x), F.lit(0)), F.lit(0)).cast("long")
+    return F.lit(8).cast("long")
 
 
 def table_inventory(spark: SparkSession, names: list[str] | None = None) -> DataFrame:
-    """(name, type, rows, cols, status) for registered views, ordered by name.
+    """(name, type, rows, cols, size, status) for registered views, ordered by name.
 
-    One count per view, unioned into one lazy plan (O(views) tiny rows).
+    One aggregate per view, unioned into one lazy plan (O(views) tiny rows).
     """
     names = sorted(names if names is not None else [t.name for t in spark.catalog.listTables()])
     parts = []
     for nm in names:
         d = spark.table(nm)
-        parts.append(d.agg(F.count(F.lit(1)).alias("rows")).select(
+        width = sum((_cell_bytes(f) for f in d.schema.fields), F.lit(0).cast("long"))
+        parts.append(d.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).select(
             F.lit(nm).alias("name"), F.lit(source_type(nm)).alias("type"), "rows",
-            F.lit(len(d.columns)).cast("long").alias("cols"), F.lit("ok").alias("status")))
+            F.lit(len(d.columns)).cast("long").alias("cols"), size_text(F.col("bytes")).alias("size"),
+            F.lit(SOURCE_STATUS).alias("status")))
     if not parts:
-        return spark.createDataFrame([], "name string, type string, rows long, cols long, status string")
+        return spark.createDataFrame([], "name string, type string, rows long, cols long, size string, status string")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

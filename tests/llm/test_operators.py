@@ -417,6 +417,24 @@ def test_recall_and_scores(spark):
     assert hits / total >= 0.9
 
 
+def test_large_buckets_in_blocks(spark):
+    rng = np.random.default_rng(3)
+    hot = [0.5, -1.0, 0.25]
+    rows = [(i, hot if i % 3 == 0 else [float(x) for x in rng.standard_normal(3)]) for i in range(300)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    ids, x = np.arange(300), np.array([r[1] for r in rows])
+    # so wide that all share a few buckets and every query visits all of them
+    options = {"k": 7, "tables": 2, "hashes": 2, "width": 50.0, "probes": 9}
+    whole = sorted(rows_of(ann.search(v, F.col("vec_id") % 4 == 0, **options)))
+    assert sorted(rows_of(ann.search(v, F.col("vec_id") % 4 == 0, most=10, **options))) == whole
+    want = []
+    for q in range(0, 300, 4):
+        score = (x * x[q]).sum(1)
+        order = [i for i in np.lexsort((ids, -score)) if i != q][:7]
+        want += [(q, r + 1, int(i), pytest.approx(score[i])) for r, i in enumerate(order)]
+    assert whole == want
+
+
 def test_nearest_on_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, 2.0]) for i in range(0, 40)] + [(100, [2.0, 4.0]), (101, None), (102, [0.0, 0.0]), (103, [nan, 1.0]), (104, [inf, 1.0]),

@@ -9,8 +9,9 @@ which estimates their order of success. Candidates that meet in a bucket are sco
 exactly on the original vectors, the best of each bucket are merged over buckets and
 tables, and the best of all remain.
 
-Equal vectors are indexed once, with the smallest ids that an answer could need, so a
-vector that a third of the rows share is one candidate.
+Equal vectors are indexed and asked once, with the smallest ids that an answer could need,
+so a vector that a third of the rows share is one candidate and one query. Buckets are
+counted first, and large ones are cut into blocks of queries by points.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ WIDTH = 3.0
 PROBES = 32
 SEED = 11
 BLOCK = 4096
+MOST = 50_000  # queries or points of a bucket that meet in one task
 
 
 def valid(vector):
@@ -70,9 +72,9 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _emit(batches, a, b, scale, width, probes, query):
-    """Rows ``(id, vec)`` -> rows ``(bucket, kind, id, vec)``: of a candidate the bucket in
-    each table, of a query all the buckets that it visits."""
+def _visits(batches, a, b, scale, width, probes, query):
+    """Batches ``(id, vec)`` -> ``(batch, buckets, row numbers)`` for each table: of a
+    candidate its bucket, of a query all the buckets that it visits."""
     tables, dim, hashes = a.shape
     mix = np.random.default_rng(1).integers(1, 1 << 62, hashes, dtype=np.int64) * 2 + 1
     for batch in batches:
@@ -94,13 +96,49 @@ def _emit(batches, a, b, scale, width, probes, query):
             else:
                 source = np.arange(len(x))
             with np.errstate(over="ignore"):
-                key = (slot * mix).sum(1) * tables + t
-            for at in range(0, len(source), 20_000):
-                part = source[at:at + 20_000]
-                rows = batch.take(pa.array(part))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[at:at + 20_000]), pa.array(np.full(len(part), 0 if query else 1, np.int32)),
-                     rows.column(0), rows.column(1)], names=["bucket", "kind", "id", "vec"])
+                yield batch, (slot * mix).sum(1) * tables + t, source
+
+
+def _emit(batches, kind, **how):
+    """Rows ``(id, vec)`` -> rows ``(bucket, kind, id, vec)``, kind 0 for queries."""
+    for batch, key, source in _visits(batches, query=kind == 0, **how):
+        for at in range(0, len(source), 20_000):
+            part = source[at:at + 20_000]
+            rows = batch.take(pa.array(part))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key[at:at + 20_000]), pa.array(np.full(len(part), kind, np.int32)),
+                 rows.column(0), rows.column(1)], names=["bucket", "kind", "id", "vec"])
+
+
+def _tally(batches, kind, **how):
+    """Rows ``(id, vec)`` -> rows ``(bucket, asked, points)``: how many of each visit a bucket."""
+    for _, key, _ in _visits(batches, query=kind == 0, **how):
+        buckets, n = np.unique(key, return_counts=True)
+        counts = [pa.array(n), pa.array(np.zeros(len(n), np.int64))]
+        yield pa.RecordBatch.from_arrays([pa.array(buckets), *counts[::1 if kind == 0 else -1]],
+                                         names=["bucket", "asked", "points"])
+
+
+def in_blocks(emitted: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
+    """``emitted (bucket, kind, id, vec)`` with every bucket of more than ``most`` queries or
+    points cut into blocks: each side is dealt into parts of about ``most`` by a hash of the
+    id, and every part of one side meets every part of the other in a bucket of its own, so
+    no pair of a bucket is lost and no task holds a large one."""
+    large = sizes.where((F.col("asked") > most) | (F.col("points") > most)).select(
+        F.col("bucket").alias("large"), F.ceil(F.col("asked") / most).cast("int").alias("asked_parts"),
+        F.ceil(F.col("points") / most).cast("int").alias("point_parts"))
+    query = F.col("kind") == 0
+    asked, points = (F.greatest(F.coalesce(c, F.lit(1)), F.lit(1)) for c in ("asked_parts", "point_parts"))
+    own = F.pmod(F.xxhash64("id"), F.when(query, asked).otherwise(points))
+    other = F.when(query, points).otherwise(asked)
+    dealt = emitted.join(large, F.col("bucket") == F.col("large"), "left").select(
+        "bucket", "kind", "id", "vec", "large", own.alias("own"),
+        F.explode(F.sequence(F.lit(0), other - 1)).alias("other"))
+    block = F.when(query, F.struct(F.col("own").alias("i"), F.col("other").cast("long").alias("j"))).otherwise(
+        F.struct(F.col("other").cast("long").alias("i"), F.col("own").alias("j")))
+    # buckets whose hashes meet only bring more candidates
+    return dealt.select(F.when(F.col("large").isNull(), F.col("bucket")).otherwise(F.xxhash64("bucket", block))
+                        .alias("bucket"), "kind", "id", "vec")
 
 
 def _best(q, x, ids, k):
@@ -151,17 +189,18 @@ def _meet(batches, k):
 
 
 def search(vectors: DataFrame, queries, k: int = 20, tables: int = TABLES, hashes: int = HASHES,
-           width: float = WIDTH, probes: int = PROBES, seed: int = SEED) -> DataFrame:
+           width: float = WIDTH, probes: int = PROBES, seed: int = SEED, most: int = MOST) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each row of ``vectors (vec_id, embedding)``
     for which the column ``queries`` holds, its ``k`` nearest of the other rows that were
     found, by largest inner product in double precision, ties to the smaller vec_id.
 
     Vectors that are null, zero or hold a null or non-finite component take no part, nor do
-    rows with a null vec_id. Of rows that share a vec_id the smallest vector counts. Vectors of another length than the commonest raise an error; an empty table gives no
-    rows; other columns are ignored.
+    rows with a null vec_id. Of rows that share a vec_id the smallest vector counts. Vectors
+    of different lengths raise an error; an empty table gives no rows; other columns are
+    ignored. ``most`` bounds the queries and the points that one task holds of a bucket.
     """
-    if min(k, tables, hashes, probes) < 1 or width <= 0:
-        raise ValueError("k, tables, hashes, probes and width must be positive")
+    if min(k, tables, hashes, probes, most) < 1 or width <= 0:
+        raise ValueError("k, tables, hashes, probes, most and width must be positive")
     prepare(vectors.sparkSession)
     vec = F.col("embedding").cast("array<double>")
     rows = stage(vectors.where(F.col("vec_id").isNotNull()).withColumn("q", F.coalesce(queries, F.lit(False)))
@@ -172,23 +211,35 @@ def search(vectors: DataFrame, queries, k: int = 20, tables: int = TABLES, hashe
     if low != high:
         raise ValueError(f"vectors have from {low} to {high} components")
     a, b = projections((low or 0) + 1, tables, hashes, seed)
-    scale = (scale or 1.0) * (1 + 1e-12)
+    how = {"a": a, "b": b, "scale": (scale or 1.0) * (1 + 1e-12), "width": width, "probes": probes}
     # of equal vectors an answer names k at most, and the query may be one more
     reps = stage(rows.withColumn("no", F.row_number().over(Window.partitionBy("vec").orderBy("id")))
                  .where(F.col("no") <= k + 1)
                  .groupBy("vec").agg(F.min("id").alias("id"), F.sort_array(F.collect_list("id")).alias("ids")), "reps")
-    schema = "bucket long, kind int, id long, vec array<double>"
-    points = reps.select("id", "vec").mapInArrow(
-        lambda it: _emit(it, a, b, scale, width, probes, False), schema)
-    asked = rows.where("q").select("id", "vec").mapInArrow(
-        lambda it: _emit(it, a, b, scale, width, probes, True), schema)
-    met = (points.union(asked).repartition("bucket").sortWithinPartitions("bucket", "kind")
+    asks = stage(rows.where("q").select(F.col("id").alias("query"), "vec").join(
+        reps.select("vec", F.col("id").alias("rep")), "vec").select("query", "rep"), "queries")
+    points = reps.select("id", "vec")
+    asked = points.join(asks.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "vec")
+    sizes = stage(_each(points, asked, _tally, "bucket long, asked long, points long", how)
+                  .groupBy("bucket").agg(F.sum("asked").alias("asked"), F.sum("points").alias("points")), "buckets")
+    emitted = _each(points, asked, _emit, "bucket long, kind int, id long, vec array<double>", how)
+    met = (in_blocks(emitted, sizes, most).repartition("bucket").sortWithinPartitions("bucket", "kind")
            .mapInArrow(lambda it: _meet(it, k + 1), "query long, rep long, score double"))
     by_query = Window.partitionBy("query")
     best = (met.withColumn("r", F.dense_rank().over(by_query.orderBy(F.col("score").desc(), "rep")))
             .where(F.col("r") <= k + 1).select("query", "rep", "score").distinct())
-    out = (best.join(reps.select(F.col("id").alias("rep"), "ids"), "rep")
-           .select("query", "score", F.explode("ids").alias("vec_id")).where(F.col("vec_id") != F.col("query"))
-           .withColumn("rank", F.row_number().over(by_query.orderBy(F.col("score").desc(), "vec_id")))
-           .where(F.col("rank") <= k))
-    return out.select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    # k + 1 ids for each vector that is asked for: a row leaves itself out
+    near = (best.join(reps.select(F.col("id").alias("rep"), "ids"), "rep")
+            .select("query", "score", F.explode("ids").alias("vec_id"))
+            .withColumn("r", F.row_number().over(by_query.orderBy(F.col("score").desc(), "vec_id")))
+            .where(F.col("r") <= k + 1).groupBy(F.col("query").alias("rep"))
+            .agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score"))).alias("near")))
+    others = F.filter("near", lambda x: x["vec_id"] != F.col("query"))
+    return asks.join(near, "rep").select("query", F.posexplode(F.slice(others, 1, k)).alias("no", "x")).select(
+        F.col("query").alias("query_id"), (F.col("no") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")
+
+
+def _each(points: DataFrame, asked: DataFrame, run, schema: str, how: dict) -> DataFrame:
+    """What ``run`` makes of the points and of the queries."""
+    return points.mapInArrow(lambda it: run(it, 1, **how), schema).union(
+        asked.mapInArrow(lambda it: run(it, 0, **how), schema))

@@ -3,6 +3,7 @@
 import math
 from collections import deque
 
+import pytest
 from pyspark.sql import functions as F
 
 from veridata.functions import compat as C
@@ -157,6 +158,14 @@ def test_flatten_missing_keys_and_arrays(spark):
     assert rows(out) == [("1", "a", None, ["x"]), ("2", None, None, [])]
 
 
+def test_read_json_refuses_mixed_folders(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"a": 1}]')
+    assert files.read_json(spark, str(tmp_path)).count() == 1
+    (tmp_path / "b.json").write_text('{"rows": [{"a": 2}, {"a": 3}]}')
+    with pytest.raises(ValueError, match="not both"):
+        files.read_json(spark, str(tmp_path))
+
+
 def test_read_json_object_and_scalar(spark, tmp_path):
     p = tmp_path / "doc.json"
     p.write_text('{"meta": "x", "empty": [], "rows": [{"b": 2, "a": 1}, {"b": 4, "a": 3}]}')
@@ -316,7 +325,11 @@ def test_eda_bundle_and_report_sections(spark):
     from veridata.plans.report import eda_bundle, report
     df = spark.createDataFrame([(i, float(i % 7), "a" if i % 2 else "b", None if i % 5 == 0 else i * 1.0)
                                 for i in range(40)], "id long, x double, cat string, y double")
-    secs = {r["section"] for r in eda_bundle(df).collect()}
+    df2 = df.union(df.limit(1)).withColumn("at", F.lit("2024-01-02").cast("date"))
+    got = {(r["section"], r["item"]): r["value"] for r in eda_bundle(df2).collect()}
+    assert got[("duplicates", "n")] == "1" and got[("duplicates", "pct")] == "2.44"
+    assert got[("describe", "cat.unique")] == "2" and got[("describe", "at.min")] == "2024-01-02 00:00:00"
+    secs = {s for s, _ in got}
     assert {"overview", "types", "describe", "nulls", "outliers", "correlation", "distribution", "findings"} <= secs
     rep = {(r["section"], r["item"]): r["value"] for r in report(df).collect()}
     assert rep[("dims", "rows")] == "40" and ("quality", "grade") in rep

@@ -43,7 +43,11 @@ def eda_bundle(df: DataFrame) -> DataFrame:
         types = column_types(src)
         rows = ([("overview", k, ov[k]) for k in ("rows", "columns", "null_cells")]
                 + [("types", c, k) for k, cs in types.items() for c in cs])
+        dup = eda.duplicate_rows(src).first()
+        rows += [("duplicates", "n", dup["duplicates"]), ("duplicates", "pct", dup["pct"])]
         parts = [_long(eda.describe_numeric(src), "describe", "column"),
+                 _long(eda.describe_text(src), "describe", "column"),
+                 _long(eda.describe_time(src), "describe", "column"),
                  _long(eda.null_profile(src), "nulls", "column"),
                  _long(eda.outlier_counts(src), "outliers", "column"),
                  _long(eda.correlation(src).select(F.concat_ws("|", "col_a", "col_b").alias("pair"), "r"),

@@ -95,13 +95,15 @@ def read_json(spark: SparkSession, path: str, find_list: bool = True) -> DataFra
     Root list: one row per element. Root object: with ``find_list``, the
     first key (document order) holding a non-empty list of objects is
     exploded into rows; otherwise the object is one row. A scalar root is
-    an error.
+    an error, and so is a folder that mixes files of both shapes.
     """
     txt = spark.read.option("wholetext", True).text(path)
-    kind = txt.select(F.substring(F.ltrim(F.col("value")), 1, 1).alias("c")).first()
-    first = kind["c"] if kind else ""
-    if first not in ("[", "{"):
+    kinds = {r["c"] for r in txt.select(F.substring(F.ltrim(F.col("value")), 1, 1).alias("c")).distinct().collect()}
+    if not kinds or not kinds <= {"[", "{"}:
         raise ValueError("El JSON debe ser una lista de objetos o un objeto.")
+    if len(kinds) > 1:
+        raise ValueError("a folder must hold either root lists or root objects, not both")
+    first = kinds.pop()
     df = spark.read.option("multiLine", True).option("primitivesAsString", False).json(path)
     if first == "[":
         return df

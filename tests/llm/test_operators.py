@@ -349,6 +349,25 @@ def secrets_labels(spark, docs):
     return spark.createDataFrame(rows, "doc_id long, candidate string, label double")
 
 
+def test_secret_names_give_their_evidence(spark):
+    token = "9f8e7d6c5b4a39281706f5e4d3c2b1a0"
+    lines = [(f"API_KEY={token}", token, "api_key=", 1), (f'aws_secret_access_key = "{token}"', token, 'aws_secret_access_key = "', 1),
+             (f'DATABASE_PASSWORD = "{token}"', token, 'database_password = "', 1), (f'client_secret: "{token}"', token, 'client_secret: "', 1),
+             (f'clientSecret: "{token}"', token, 'clientsecret: "', 1), ("password=hunter22x", "hunter22x", "password=", 1),
+             ("db_password: 'S3cretPw9'", "S3cretPw9", "db_password: '", 1), (f"x = {token}==", token + "==", "x = ", 0),
+             (f'{{"token":"abc","sha":"{token}"}}', token, '{"token":"abc","sha":"', 0), ("monkey: abcdefg12", None, None, 0)]
+    docs = spark.createDataFrame([(i, x[0], "a") for i, x in enumerate(lines)], "doc_id long, text string, source string")
+    words = spark.createDataFrame([], "word string")
+    got = {r["doc_id"]: r for r in secrets.with_features(secrets.candidates(docs), words).collect()}
+    for i, (line, candidate, before, keyword) in enumerate(lines):
+        if candidate is None:
+            assert i not in got
+            continue
+        r = got[i]
+        assert (r["candidate"], r["before"], r["keyword"], r["assigned"]) == (candidate, before, keyword, 1)
+        assert line[r["start"]:r["start"] + len(candidate)] == candidate
+
+
 def test_secrets_on_odd_rows(spark):
     docs = documents(spark, odd_rows() + [(8, "key: " + "aB3" * 5000 + " and 1234567890123456 x", None, None, 1)] * 2)
     got = secrets.scan(docs.withColumn("candidate", F.lit("clash")))

@@ -1,7 +1,8 @@
 """Secret scans with a random forest that removes false findings.
 
 Candidates are long runs of key characters that hold a digit, mixed case or very many
-characters. Features: length, transitions between kinds of characters, digit share,
+characters, and shorter ones that a keyword assigns; a name in front of '=' is no part of
+its value. Features: length, transitions between kinds of characters, digit share,
 coverage by dictionary words (the words that occur often in all texts), the path and the
 neighbouring words. The forest is trained on labelled findings. Everything is built from
 DataFrame functions and MLlib; lines are split and filtered before words are looked at.
@@ -18,17 +19,33 @@ from pyspark.sql import functions as F
 
 from .common import prepare, stage
 
-KEY = "A-Za-z0-9+/_="
-RUN = f"[{KEY}-]{{16,}}"
+BARE = "[A-Za-z0-9+/_-]"
+KEY = "[A-Za-z0-9+/_=-]"
 MIN_WORDS = 5
 LONGEST = 12
 MAX_FINDINGS = 20_000
 NEAR = 2
 
+WITHIN = 256  # characters of a line that `before` is taken from
+
 # Words that announce a secret, and paths that hold examples.
-KEYWORDS = r"(?i)\b(access|api[_-]?key|auth|bearer|credential|key|passwd|password|private|pwd|secret|token)s?\b"
+ANNOUNCE = "(?:access|api[_-]?key|auth|bearer|credential|key|passwd|password|private|pwd|secret|token)"
+JOINED = "(?:credential|passwd|password|secret|token|(?:access|api|auth|private|secret)key)"  # also at the end of clientSecret
+KEYWORDS = rf"(?i)(?:(?<!\p{{L}}){ANNOUNCE}|{JOINED})s?(?!\p{{L}})"
 EXAMPLE_PATH = r"(?i)(doc|example|fixture|mock|sample|test)"
 
+# A name with a keyword and what stands between it and its value.
+NAMED = rf"(?i:(?:(?<![A-Za-z]){ANNOUNCE}|{JOINED})s?(?![A-Za-z])[A-Za-z0-9_-]{{0,32}})"
+SIGN = "[\"'`\\])]{0,2}\\s{0,8}(?:=>|:=|={1,3}|:)\\s{0,8}[\"'`]?"
+LONG, SHORT = f"{BARE}{KEY}{{15,}}", f"{BARE}{KEY}{{7,14}}(?!{KEY})"
+# A run starts after another character or after '='. A name goes off it if a value follows; a
+# name of 16 characters is a run of its own.
+RUN = (f"(?:(?<!{KEY})|(?<==))(?:{BARE}{{16,}}(?==+{LONG})|(?!{BARE}+=+{LONG})(?!{BARE}*?{NAMED}=+{BARE}{KEY}{{7}}){LONG}"
+       f"|(?<=[=:>]\\s{{0,8}}[\"'`]?)(?={SHORT})(?<={NAMED}{SIGN}){SHORT})")
+LINES = f"{KEY}{{16,}}|{NAMED}{SIGN}{BARE}{KEY}{{7}}"
+# What a line has assigned before: the end of a value that is closed.
+CLOSED = "(?s)^.*[=:]>?\\s*(?:\"[^\"]*\"|'[^']*'|`[^`]*`|[^\\s\"'`,;&]+[,;&])|^.*=[^\\s\"'`=]+\\s"
+
 
 def plausible(candidate: Column) -> Column:
     """Holds a digit, or both cases past its first letter, or 24 characters."""
@@ -38,23 +55,30 @@ def plausible(candidate: Column) -> Column:
 
 def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     """``(doc_id, path, line_no, start, candidate, before)`` for every candidate of ``docs``:
-    ``start`` counts the characters of the line in front of it, ``before`` is its last words
-    there, back to the candidate before it at most."""
+    ``start`` counts the characters of the line in front of it, ``before`` is the last words
+    of these, of ``WITHIN`` characters at most."""
     lines = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{path}`").cast("string").alias("path"),
                          F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "line"))
-             .where(F.col("line").rlike(RUN)))
+             .where(F.col("line").rlike(LINES)))
     # a line is cut at its runs; the lengths of runs and of gaps add up to the starts
     runs, gaps = F.regexp_extract_all("line", F.lit(f"({RUN})"), 1), F.split("line", RUN)
     zipped = F.slice(F.arrays_zip(gaps.alias("gap"), runs.alias("run")), 1, F.size(runs))
-    first = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("at"))
-    starts = F.aggregate(F.col("z"), first, lambda acc, x: F.struct(
-        F.concat(acc["starts"], F.array(acc["at"] + F.length(x["gap"]))).alias("starts"),
-        (acc["at"] + F.length(x["gap"]) + F.length(x["run"])).alias("at")))["starts"]
+    first = F.struct(F.array().cast("array<struct<start:int,near:string>>").alias("places"), F.lit(0).alias("at"),
+                     F.lit("").alias("near"))
+
+    def step(acc, x):
+        near = F.right(F.concat(acc["near"], x["gap"]), F.lit(WITHIN))
+        start = acc["at"] + F.length(x["gap"])
+        return F.struct(F.concat(acc["places"], F.array(F.struct(start.alias("start"), near.alias("near")))).alias("places"),
+                        (start + F.length(x["run"])).alias("at"),
+                        F.right(F.concat(near, x["run"]), F.lit(WITHIN)).alias("near"))
+
+    places = F.aggregate(F.col("z"), first, step)["places"]
     each = (lines.select("doc_id", "path", "line_no", zipped.alias("z"))
-            .select("doc_id", "path", "line_no", F.explode(F.arrays_zip(F.col("z"), starts.alias("start"))).alias("c"))
-            .select("doc_id", "path", "line_no", F.col("c.start").alias("start"), F.col("c.z.run").alias("candidate"),
-                    F.col("c.z.gap").alias("gap")))
-    words = F.split(F.lower("gap"), r"\s+")
+            .select("doc_id", "path", "line_no", F.explode(F.arrays_zip(F.col("z"), places.alias("place"))).alias("c"))
+            .select("doc_id", "path", "line_no", F.col("c.place.start").alias("start"), F.col("c.z.run").alias("candidate"),
+                    F.col("c.place.near").alias("near")))
+    words = F.split(F.lower("near"), r"\s+")
     return each.where(plausible(F.col("candidate"))).select(
         "doc_id", "path", "line_no", "start", "candidate",
         F.concat_ws(" ", F.slice(words, F.greatest(F.lit(1), F.size(words) - NEAR), NEAR + 1)).alias("before"))
@@ -96,12 +120,13 @@ def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
     change = F.lit("(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[a-z])(?=[A-Z])|(?<=[^A-Za-z0-9])(?=[A-Za-z0-9])")
     covered = coverage(found.select("candidate").distinct(), words)
     last = F.try_element_at(F.filter(F.split(before, r"[^\p{L}]+"), lambda w: w != ""), F.lit(-1))
+    own = F.regexp_replace(before, CLOSED, "")  # a keyword counts for the value that it assigns
     values = {
         "size": size, "transitions": F.regexp_count(c, change) / size, "digits": F.regexp_count(c, F.lit("[0-9]")) / size,
         "uppers": F.regexp_count(c, F.lit("[A-Z]")) / size, "hex": c.rlike("^([0-9a-f]+|[0-9A-F]+)$").cast("int"),
         "covered": F.coalesce("coverage", F.lit(0.0)), "example": path.rlike(EXAMPLE_PATH).cast("int"),
-        "path_no": F.pmod(F.xxhash64(path), F.lit(64)), "keyword": before.rlike(KEYWORDS).cast("int"),
-        "assigned": before.rlike(r"[=:]\s*[\"'`]?$").cast("int"), "quoted": before.rlike("[\"'`]$").cast("int"),
+        "path_no": F.pmod(F.xxhash64(path), F.lit(64)), "keyword": own.rlike(KEYWORDS).cast("int"),
+        "assigned": before.rlike(r"[=:]>?\s*[\"'`]?$").cast("int"), "quoted": before.rlike("[\"'`]$").cast("int"),
         "word_no": F.when(last.isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(last), F.lit(63)))}
     return found.join(covered, "candidate", "left").select(
         *[F.col(x) for x in found.columns], *[values[f].cast("double").alias(f) for f in FEATURES])

@@ -381,6 +381,26 @@ def test_coverage_by_dictionary_words(spark):
     assert dict(rows_of(secrets.coverage(found, words))) == {"gardenhouse12345x": pytest.approx(11 / 17), "qqqqzzzz1234567890": 0}
 
 
+def test_dictionary_is_a_share_of_distinct_texts(spark):
+    token = "abcdef" + "0123456789" * 3
+    rows = [(i, f"garden number{i % 7} key {token} the same copy") for i in [1] * 9]
+    rows += [(i, f"garden w{chr(97 + i % 26)}{chr(97 + i // 26)}x house getUserName{i}0123456789 {token}") for i in range(100)]
+    docs = spark.createDataFrame(rows + [(999, None)], "doc_id long, text string")
+    # the copies are one text, the token and the name with digits are candidates
+    assert {r["word"] for r in secrets.dictionary(docs, 0.5).collect()} == {"garden", "house"}
+    assert {r["word"] for r in secrets.dictionary(docs, 0.0).collect()} == {"garden", "house"}
+    camel = spark.createDataFrame([(1, "getUserName authentication"), (2, "the getUserName authentication")], "doc_id long, text string")
+    assert {r["word"] for r in secrets.dictionary(camel).collect()} == {"get", "user", "name", "authentication"}
+
+
+def test_coverage_of_whole_names(spark):
+    found = spark.createDataFrame([("getUserAccountName1",), ("authenticationProvider",), ("HTTPServerGardenHouse",)], "candidate string")
+    words = spark.createDataFrame([(w,) for w in ("get", "user", "account", "name", "authentication", "provider", "http", "server",
+                                                  "gardenh", "garden", "house")], "word string")
+    assert dict(rows_of(secrets.coverage(found, words))) == {
+        "getUserAccountName1": pytest.approx(18 / 19), "authenticationProvider": 1, "HTTPServerGardenHouse": 1}
+
+
 def test_licences(spark):
     rng = random.Random(6)
     filler = lambda: " ".join("".join(rng.choices("aeioustrnl", k=6)) for _ in range(20))

@@ -3,7 +3,7 @@
 Candidates are long runs of key characters that hold a digit, mixed case or very many
 characters, and shorter ones that a keyword assigns; a name in front of '=' is no part of
 its value. Features: length, transitions between kinds of characters, digit share,
-coverage by dictionary words (the words that occur often in all texts), the path and the
+coverage by dictionary words (those that a share of all texts holds), the path and the
 neighbouring words. The forest is trained on labelled findings. Everything is built from
 DataFrame functions and MLlib; lines are split and filtered before words are looked at.
 """
@@ -21,11 +21,10 @@ from .common import prepare, stage
 
 BARE = "[A-Za-z0-9+/_-]"
 KEY = "[A-Za-z0-9+/_=-]"
-MIN_WORDS = 5
-LONGEST = 12
+MIN_SHARE = 0.0002  # of all distinct texts, two of them at least
+LONGEST = 24
 MAX_FINDINGS = 20_000
 NEAR = 2
-
 WITHIN = 256  # characters of a line that `before` is taken from
 
 # Words that announce a secret, and paths that hold examples.
@@ -45,6 +44,9 @@ RUN = (f"(?:(?<!{KEY})|(?<==))(?:{BARE}{{16,}}(?==+{LONG})|(?!{BARE}+=+{LONG})(?
 LINES = f"{KEY}{{16,}}|{NAMED}{SIGN}{BARE}{KEY}{{7}}"
 # What a line has assigned before: the end of a value that is closed.
 CLOSED = "(?s)^.*[=:]>?\\s*(?:\"[^\"]*\"|'[^']*'|`[^`]*`|[^\\s\"'`,;&]+[,;&])|^.*=[^\\s\"'`=]+\\s"
+# The candidates among the runs, and where a name in camel case parts.
+HIDDEN = f"(?:(?<!{KEY})|(?<==))(?={KEY}{{24}}|{KEY}*[0-9]|(?={KEY}*[a-z]){KEY}+[A-Z]){RUN}"
+CASE = r"(?<=\p{Ll})(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})"
 
 
 def plausible(candidate: Column) -> Column:
@@ -84,28 +86,39 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
         F.concat_ws(" ", F.slice(words, F.greatest(F.lit(1), F.size(words) - NEAR), NEAR + 1)).alias("before"))
 
 
-def dictionary(docs: DataFrame, min_words: int = MIN_WORDS, longest: int = LONGEST) -> DataFrame:
-    """Distinct words of 3 to ``longest`` letters that occur ``min_words`` times or more in all texts."""
-    return (docs.select(F.explode(F.split(F.lower(F.col("text").cast("string")), r"[^\p{L}]+")).alias("word"))
-            .where(F.length("word").between(3, longest))
-            .groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_words).select("word"))
+def dictionary(docs: DataFrame, min_share: float = MIN_SHARE, longest: int = LONGEST) -> DataFrame:
+    """Distinct words of 3 to ``longest`` letters, parted at case changes, that ``min_share``
+    of the distinct texts and two of them at least hold outside of candidates."""
+    text = F.col("text").cast("string")
+    rest = F.split(F.regexp_replace(F.regexp_replace(text, HIDDEN, " "), CASE, " "), r"[^\p{L}]+")
+    each = F.array_distinct(F.transform(F.filter(rest, lambda w: F.length(w).between(3, longest)), F.lower))
+    # copies of a text count once; the empty word counts the texts
+    held = docs.where(text.isNotNull()).select(F.xxhash64(text).alias("text"), F.explode(F.concat(each, F.array(F.lit("")))).alias("word"))
+    counts = stage(held.distinct().groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR word = ''"), "words")
+    least = counts.where("word = ''").select(F.greatest(F.lit(2.0), F.col("n") * min_share).alias("least"))
+    return counts.where("word <> ''").crossJoin(F.broadcast(least)).where("n >= least").select("word")
 
 
 def coverage(found: DataFrame, words: DataFrame, longest: int = LONGEST) -> DataFrame:
     """``(candidate, coverage)`` for distinct ``found (candidate)``: the share of its
-    characters that lie in dictionary words at the beginnings and ends of its letter runs."""
-    runs = found.select("candidate", F.explode(F.regexp_extract_all(F.lower("candidate"), F.lit(r"(\p{L}{3,})"), 1)).alias("run"))
-    sizes = F.sequence(F.lit(3), F.least(F.lit(longest), F.length("run")))
-    pieces = runs.select("run").distinct().select("run", F.explode(F.concat(
-        F.transform(sizes, lambda n: F.struct(F.lit(0).alias("end"), F.substr("run", F.lit(1), n).alias("word"))),
-        F.transform(sizes, lambda n: F.struct(F.lit(1).alias("end"), F.substr("run", F.length("run") - n + 1, n).alias("word"))),
-    )).alias("p")).select("run", "p.end", "p.word")
-    size = F.length("word")
-    best = pieces.join(words, "word").groupBy("run").agg(
-        F.max(F.when(F.col("end") == 0, size).otherwise(0)).alias("head"),
-        F.max(F.when(F.col("end") == 1, size).otherwise(0)).alias("tail"))
-    letters = F.when(F.col("head").isNull(), 0).otherwise(F.least(F.length("run"), F.col("head") + F.col("tail")))
-    covered = runs.join(best, "run", "left").groupBy("candidate").agg(F.sum(letters).alias("letters"))
+    characters that lie in dictionary words anywhere in its letter runs, which part at case
+    changes."""
+    parts = F.regexp_extract_all(F.lower(F.regexp_replace("candidate", CASE, " ")), F.lit(r"(\p{L}{3,})"), 1)
+    runs = found.select("candidate", F.explode(parts).alias("run"))
+    size = F.length("run")
+    pieces = (runs.select("run").distinct()
+              .select("run", F.explode(F.sequence(F.lit(1), size - 2)).alias("at"))
+              .select("run", "at", F.explode(F.sequence(F.lit(3), F.least(F.lit(longest), size - F.col("at") + 1))).alias("n"))
+              .select("run", "at", F.substr("run", F.col("at"), F.col("n")).alias("word")))
+    # the longest word at each place; the letters of overlapping words count once
+    best = (pieces.join(words, "word").groupBy("run", "at").agg(F.max(F.length("word")).alias("n"))
+            .groupBy("run").agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("places")))
+    first = F.struct(F.lit(1).alias("end"), F.lit(0).alias("letters"))
+    letters = F.aggregate("places", first, lambda acc, x: F.struct(
+        F.greatest(acc["end"], x["at"] + x["n"]).alias("end"),
+        (acc["letters"] + F.greatest(F.lit(0), x["at"] + x["n"] - F.greatest(acc["end"], x["at"]))).alias("letters")))["letters"]
+    covered = (runs.join(best.select("run", letters.alias("letters")), "run", "left")
+               .groupBy("candidate").agg(F.sum(F.coalesce("letters", F.lit(0))).alias("letters")))
     return covered.select("candidate", (F.col("letters") / F.length("candidate")).alias("coverage"))
 
 
@@ -154,7 +167,7 @@ def train(labelled: DataFrame, max_findings: int = MAX_FINDINGS, trees: int = 20
 
 
 def scan(docs: DataFrame, path: str = "source", findings: DataFrame | None = None, threshold: float = 0.5,
-         max_findings: int = MAX_FINDINGS, min_words: int = MIN_WORDS) -> DataFrame:
+         max_findings: int = MAX_FINDINGS, min_share: float = MIN_SHARE) -> DataFrame:
     """``(doc_id, line_no, start, candidate, before, probability, is_secret)`` for every
     candidate of ``docs (doc_id, text, <path>)``.
 
@@ -167,7 +180,7 @@ def scan(docs: DataFrame, path: str = "source", findings: DataFrame | None = Non
     """
     prepare(docs.sparkSession)
     found = stage(candidates(docs, path), "candidates")
-    features = stage(with_features(found, dictionary(docs, min_words)), "secret-features")
+    features = stage(with_features(found, dictionary(docs, min_share)), "secret-features")
     if findings is None:
         labelled = likely_labels(features)
     else:

@@ -456,6 +456,32 @@ def test_recall_and_scores(spark):
     assert hits / total >= 0.9
 
 
+def test_best_of_tiny_norms():
+    x = np.array([[1.0, 0.0], [3.0, 0.0], [2.0, 0.0], [3.0, 0.0]]) * 1e-9
+    best, score = ann._best(x[:1], x, np.arange(4), 3)
+    assert best.tolist() == [[1, 3, 2]] and score[0] == pytest.approx([3e-18, 3e-18, 2e-18], rel=1e-9)
+
+
+@pytest.mark.parametrize("norms", ["one long", "log-normal"])
+def test_recall_on_uneven_norms(spark, norms):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((600, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x *= np.where(np.arange(600) == 7, 100.0, 1.0)[:, None] if norms == "one long" else rng.lognormal(0, 1.5, (600, 1))
+    v = spark.createDataFrame([(i, [float(c) for c in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    # narrow and few probes: many queries meet too few candidates by their buckets alone
+    for options in ({}, {"width": 0.3, "probes": 1, "tables": 1}):
+        by = defaultdict(set)
+        for r in ann.search(v, F.col("vec_id") % 6 == 0, **options).collect():
+            by[r["query_id"]].add(r["vec_id"])
+        shares = []
+        for q in range(0, 600, 6):
+            order = [i for i in np.argsort(-(x @ x[q]), kind="stable") if i != q][:20]
+            assert len(by[q]) == 20
+            shares.append(len(by[q] & set(order)) / 20)
+        assert np.mean(shares) >= 0.9 and min(shares) >= 0.5
+
+
 def test_large_buckets_in_blocks(spark):
     rng = np.random.default_rng(3)
     hot = [0.5, -1.0, 0.25]

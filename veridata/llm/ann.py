@@ -1,13 +1,15 @@
 """Nearest neighbours by largest inner product with multiprobe p-stable hashing.
 
-Vectors are scaled by the largest norm and get one more component that brings each to norm
-one; queries are brought to norm one. Then a larger inner product is a smaller Euclidean
+Vectors are dealt into ranges of norms, each up to twice the one below, and every range is an
+index of its own. Vectors are scaled by the largest norm of their range and get one more
+component that brings each to norm one; queries are brought to norm one and ask every range. Then a larger inner product is a smaller Euclidean
 distance, and the Gaussian (2-stable) hashes ``floor((a . x + b) / w)`` apply. Every table
 joins ``hashes`` of them to a bucket. A query visits its own bucket and the perturbed
 buckets next to it in the order of the sum of squared distances to the crossed borders,
 which estimates their order of success. Candidates that meet in a bucket are scored
 exactly on the original vectors, the best of each bucket are merged over buckets and
-tables, and the best of all remain.
+tables, and the best of all remain. A query that ends with fewer than it could have is scored
+against all vectors, in blocks.
 
 Equal vectors are indexed and asked once, with the smallest ids that an answer could need,
 so a vector that a third of the rows share is one candidate and one query. Buckets are
@@ -32,6 +34,7 @@ WIDTH = 3.0
 PROBES = 32
 SEED = 11
 BLOCK = 4096
+RANGE = 0x5851F42D4C957F2D  # parts the buckets of two ranges of norms
 MOST = 50_000  # queries or points of a bucket that meet in one task
 
 
@@ -72,9 +75,15 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _visits(batches, a, b, scale, width, probes, query):
+def norm_range(norm: np.ndarray) -> np.ndarray:
+    """Norms over the largest -> 0 above one half, -1 above one quarter and so on."""
+    part, exponent = np.frexp(norm)
+    return exponent - (part == 0.5)
+
+
+def _visits(batches, a, b, scale, ranges, width, probes, query):
     """Batches ``(id, vec)`` -> ``(batch, buckets, row numbers)`` for each table: of a
-    candidate its bucket, of a query all the buckets that it visits."""
+    candidate its bucket, of a query all the buckets that it visits in each of ``ranges``."""
     tables, dim, hashes = a.shape
     mix = np.random.default_rng(1).integers(1, 1 << 62, hashes, dtype=np.int64) * 2 + 1
     for batch in batches:
@@ -85,6 +94,8 @@ def _visits(batches, a, b, scale, width, probes, query):
             unit = np.pad(x / np.linalg.norm(x, axis=1, keepdims=True), ((0, 0), (0, 1)))
         else:
             unit = x / scale
+            level = norm_range(np.sqrt((unit * unit).sum(1)))
+            unit = unit / np.exp2(level)[:, None]
             unit = np.concatenate([unit, np.sqrt(np.maximum(0, 1 - (unit * unit).sum(1)))[:, None]], axis=1)
         for t in range(tables):
             y = unit @ a[t] / width + b[t]
@@ -96,7 +107,12 @@ def _visits(batches, a, b, scale, width, probes, query):
             else:
                 source = np.arange(len(x))
             with np.errstate(over="ignore"):
-                yield batch, (slot * mix).sum(1) * tables + t, source
+                key = (slot * mix).sum(1) * tables + t
+                if query:
+                    for one in ranges:
+                        yield batch, key + np.int64(one) * RANGE, source
+                else:
+                    yield batch, key + level.astype(np.int64) * RANGE, source
 
 
 def _emit(batches, kind, **how):
@@ -145,7 +161,11 @@ def _best(q, x, ids, k):
     """Of candidates ``x`` the ``k`` best for each query: exact scores, summed alike everywhere."""
     order = np.argsort(ids)
     ids, x = ids[order], x[order]
-    near = np.round(q @ x.T, 12)  # last bits aside, so that ties go to the smaller id
+    # last bits aside, so that ties go to the smaller id: of each score, and of the norms where it is nothing next to them
+    near = q @ x.T
+    near[np.abs(near) < 1e-13 * np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)] = 0
+    digits, exponent = np.frexp(near)
+    near = np.ldexp(np.round(digits, 12), exponent)
     pick = np.argsort(-near, axis=1, kind="stable")[:, :k]
     return ids[pick], (q[:, None, :] * x[pick]).sum(-1)
 
@@ -211,7 +231,9 @@ def search(vectors: DataFrame, queries, k: int = 20, tables: int = TABLES, hashe
     if low != high:
         raise ValueError(f"vectors have from {low} to {high} components")
     a, b = projections((low or 0) + 1, tables, hashes, seed)
-    how = {"a": a, "b": b, "scale": (scale or 1.0) * (1 + 1e-12), "width": width, "probes": probes}
+    scale = (scale or 1.0) * (1 + 1e-12)
+    levels = rows.select("vec").mapInArrow(lambda it: _levels(it, scale), "level int").distinct().collect()
+    how = {"a": a, "b": b, "scale": scale, "ranges": sorted(r[0] for r in levels), "width": width, "probes": probes}
     # of equal vectors an answer names k at most, and the query may be one more
     reps = stage(rows.withColumn("no", F.row_number().over(Window.partitionBy("vec").orderBy("id")))
                  .where(F.col("no") <= k + 1)
@@ -226,8 +248,25 @@ def search(vectors: DataFrame, queries, k: int = 20, tables: int = TABLES, hashe
     met = (in_blocks(emitted, sizes, most).repartition("bucket").sortWithinPartitions("bucket", "kind")
            .mapInArrow(lambda it: _meet(it, k + 1), "query long, rep long, score double"))
     by_query = Window.partitionBy("query")
-    best = (met.withColumn("r", F.dense_rank().over(by_query.orderBy(F.col("score").desc(), "rep")))
-            .where(F.col("r") <= k + 1).select("query", "rep", "score").distinct())
+    least = min(k + 1, rows.count())
+
+    def top(met):
+        return (met.withColumn("r", F.dense_rank().over(by_query.orderBy(F.col("score").desc(), "rep")))
+                .where(F.col("r") <= k + 1).select("query", "rep", "score").distinct())
+
+    best = stage(top(met), "met")
+    # the ids that a query has found, itself among them or not: fewer than k + 1 are short
+    named = reps.select(F.col("id").alias("rep"), F.size("ids").alias("n"))
+    enough = best.join(named, "rep").groupBy("query").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    short = stage(asked.join(enough, F.col("id") == F.col("query"), "left_anti"), "short")
+    missing = short.count()
+    if missing:
+        both = points.select(F.lit(0).cast("long").alias("bucket"), F.lit(1).alias("kind"), "id", "vec").union(
+            short.select(F.lit(0).cast("long"), F.lit(0), "id", "vec"))
+        whole = rows.sparkSession.createDataFrame([(0, missing, points.count())], "bucket long, asked long, points long")
+        exact = (in_blocks(both, whole, most).repartition("bucket").sortWithinPartitions("bucket", "kind")
+                 .mapInArrow(lambda it: _meet(it, k + 1), "query long, rep long, score double"))
+        best = best.join(short.select(F.col("id").alias("query")), "query", "left_anti").union(top(exact))
     # k + 1 ids for each vector that is asked for: a row leaves itself out
     near = (best.join(reps.select(F.col("id").alias("rep"), "ids"), "rep")
             .select("query", "score", F.explode("ids").alias("vec_id"))
@@ -239,6 +278,15 @@ def search(vectors: DataFrame, queries, k: int = 20, tables: int = TABLES, hashe
         F.col("query").alias("query_id"), (F.col("no") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")
 
 
+def _levels(batches, scale):
+    """Rows ``(vec)`` -> the ranges of norms among them."""
+    for batch in batches:
+        if batch.num_rows:
+            unit = _matrix(batch.column(0)) / scale
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(norm_range(np.sqrt((unit * unit).sum(1)))).astype(np.int32))],
+                                             names=["level"])
+
+
 def _each(points: DataFrame, asked: DataFrame, run, schema: str, how: dict) -> DataFrame:
     """What ``run`` makes of the points and of the queries."""
     return points.mapInArrow(lambda it: run(it, 1, **how), schema).union(

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, licences, linededup, packing, secrets, sharding, simhash, toxicity, urlfilter
+from . import ann, decontaminate, filteraudit, licences, linededup, packing, secrets, sharding, simhash, toxicity, urlfilter
 from .common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -95,6 +95,51 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source, order of the five filters and step in it."""
+    return filteraudit.audit(table(spark, sf_dir, "documents").select("doc_id", "text", "source"),
+                             table(spark, sf_dir, "labels"))
+
+
+OP13_SQL = """
+WITH docs AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+marked AS (
+  SELECT doc_id, part,
+         (len(words) < 50)::INT + 2 * (100 * len(list_distinct(words)) < 65 * len(words))::INT
+         + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text))::INT
+         + 8 * regexp_matches(text, '[#$%&*|]')::INT
+         + 16 * (doc_id > min(doc_id) OVER (PARTITION BY text))::INT AS mask FROM docs),
+flags AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+facts AS (
+  SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic
+  FROM marked LEFT JOIN flags USING (doc_id) GROUP BY part, mask),
+letters(c, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders AS (
+  SELECT a.c || b.c || d.c || e.c || f.c AS filter_order, [a.bit, b.bit, d.bit, e.bit, f.bit] AS bits
+  FROM letters a, letters b, letters d, letters e, letters f
+  WHERE a.bit + b.bit + d.bit + e.bit + f.bit = 31 AND (a.bit | b.bit | d.bit | e.bit | f.bit) = 31),
+steps AS (
+  SELECT filter_order, s AS step, bits[s] AS bit, CAST(coalesce(list_sum(bits[1:s - 1]), 0) AS INT) AS done
+  FROM orders, range(1, 6) AS r(s)),
+counted AS (
+  SELECT part, filter_order, step, bit,
+         coalesce(sum(n) FILTER (WHERE mask & (done | bit) = 0), 0) AS kept,
+         coalesce(sum(n) FILTER (WHERE mask & done = 0 AND mask & bit <> 0), 0) AS removed,
+         coalesce(sum(n) FILTER (WHERE mask & done <> 0 AND mask & bit <> 0), 0) AS redundant,
+         coalesce(sum(n) FILTER (WHERE mask = bit), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (WHERE mask & done = 0 AND mask & bit <> 0), 0) AS good_lost,
+         coalesce(sum(toxic) FILTER (WHERE mask & done = 0 AND mask & bit <> 0), 0) AS toxic_lost
+  FROM facts, steps GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM counted
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of ``corpus_pipeline`` one after another."""
     import corpus_pipeline
@@ -103,5 +148,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
     op1_line_dedup, op2_toxicity, op3_decontamination, op4_url_filter, op5_secret_scan, op6_licence_scan, op7_nearest,
-    op8_packing, op9_simhash, op10_sharding, pipeline)}
-ORACLE: dict[str, str] = {"op1_line_dedup": OP1_SQL}
+    op8_packing, op9_simhash, op10_sharding, op13_filter_audit, pipeline)}
+ORACLE: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op13_filter_audit": OP13_SQL}

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, filteraudit, licences, linededup, packing, secrets, sharding, simhash, toxicity, urlfilter
+from . import (ann, decontaminate, filteraudit, licences, linededup, packing, secrets, sharding, simhash, spelling,
+               toxicity, urlfilter)
 from .common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -95,6 +96,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents with its form, its root and its number of near words."""
+    return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every source, order of the five filters and step in it."""
     return filteraudit.audit(table(spark, sf_dir, "documents").select("doc_id", "text", "source"),
@@ -148,5 +154,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
     op1_line_dedup, op2_toxicity, op3_decontamination, op4_url_filter, op5_secret_scan, op6_licence_scan, op7_nearest,
-    op8_packing, op9_simhash, op10_sharding, op13_filter_audit, pipeline)}
+    op8_packing, op9_simhash, op10_sharding, op12_spelling, op13_filter_audit, pipeline)}
 ORACLE: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op13_filter_audit": OP13_SQL}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (ann, decontaminate, filteraudit, licences, linededup, packing, secrets, sharding, simhash, spelling,
+from . import (ann, decontaminate, filteraudit, licences, linededup, packing, repeats, secrets, sharding, simhash, spelling,
                toxicity, urlfilter)
 from .common import table
 
@@ -96,6 +96,13 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of strings of 400 bytes that begin elsewhere too."""
+    cut = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+                      F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word of the documents with its form, its root and its number of near words."""
     return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -154,5 +161,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
     op1_line_dedup, op2_toxicity, op3_decontamination, op4_url_filter, op5_secret_scan, op6_licence_scan, op7_nearest,
-    op8_packing, op9_simhash, op10_sharding, op12_spelling, op13_filter_audit, pipeline)}
+    op8_packing, op9_simhash, op10_sharding, op11_repeats, op12_spelling, op13_filter_audit, pipeline)}
 ORACLE: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op13_filter_audit": OP13_SQL}

@@ -277,8 +277,9 @@ def judged(rows: DataFrame, length: int, most: int) -> DataFrame:
     context repeats, ``send`` where its bytes must be compared with others'."""
     parsed = rows.select("k", "check", "text").mapInArrow(
         lambda it: _parse(it, length), "core long, context long, k long, at long")
-    cores = (parsed.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("low"), F.max("context").alias("high"))
-             .where("n > 1").select("core", (F.col("low") != F.col("high")).alias("mixed")))
+    # written first, as the next join can only split a hot core if no aggregation is part of it
+    cores = stage(parsed.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("low"), F.max("context").alias("high"))
+                  .where("n > 1").select("core", (F.col("low") != F.col("high")).alias("mixed")), "cores")
     again = stage(parsed.join(cores, "core"), "repeated-cores")
     mixed = again.where("mixed")
     place = F.xxhash64("k", "at")
@@ -317,7 +318,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, most: int = MOST) -> D
     texts = rows.mapInArrow(_packed, "k long, check long, doc_id long, z binary")
     found = judged(rows, length, most)
     check = F.pmod("at", F.lit(CHECK)).alias("check")
-    sent = found.where("send").groupBy("k", check).agg(F.collect_list(F.struct("at", "core", "hot")).alias("wanted"))
+    sent = stage(found.where("send").groupBy("k", check).agg(F.collect_list(F.struct("at", "core", "hot")).alias("wanted")), "sent")
     asked = texts.select("k", "check", "z").join(sent, ["k", "check"]).select("k", "check", "z", "wanted")
     edges = (asked.mapInArrow(lambda it: _contexts(it, length, False), "core long, k long, at long, context binary")
              .repartition("core").sortWithinPartitions("core")
@@ -331,6 +332,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, most: int = MOST) -> D
                         "hot-strings")
         twice = strings.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("x", "y")
         ranges = ranges.union(strings.join(twice, ["x", "y"]).select("k", "check", "begin", (F.col("begin") + length).alias("end")))
-    cuts = ranges.groupBy("k", "check").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
+    cuts = stage(ranges.groupBy("k", "check").agg(F.collect_list(F.struct("begin", "end")).alias("ranges")), "cuts")
     return texts.join(cuts, ["k", "check"], "left").select("doc_id", "z", "ranges").mapInArrow(
         _cut, "doc_id long, n_bytes long, spans array<struct<begin: bigint, end: bigint>>, kept binary")

@@ -548,12 +548,38 @@ def test_packing_round_trip(spark):
     assert {r["doc_id"] for r in got} == set(want) and check_packing(got, want, 1024) < 0.01
 
 
-def test_cut_texts_encode_like_whole_ones():
-    encoder = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
-    texts = ["", " ", "a", " a  b", "a b\nc\n\nd \n e\t f", "x\0y z", "don't 'll 12 34.5!! ß\u00a0é \u2003z", "a" * 300 + " b", "\nq r\n", "a\x1cb \x85c"]
-    for _ in range(2):  # new and known words
-        for text, got in zip(texts, encoder.encode(texts)):
-            assert np.frombuffer(got, "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+def odd_texts():
+    rng = random.Random(3)
+    marks = ["<|endoftext|>", " ", "  ", "\n", "\t", "\0", "\u00a0", "\u2003", "\x1c", "\x85", "'ll", "'S", "12", "٣", "ß", "e\u0301", "中文",
+             "\U0001F600", "!?", "word", "Wörd", "<|endof", "text|>"]
+    return ["", "a b\nc\n\nd \n e\t f", "x\0y z", "don't 'll 12 34.5!! ß\u00a0é \u2003z", "a" * 300 + " b", "\nq r\n", "a\x1cb \x85c",
+            "<|endoftext|>", " a <|endoftext|>\n<|endoftext|><|endoftext|> b", "z" * 200_000 + " " * 5000 + "\n" * 999] + [
+        "".join(rng.choices(marks, k=rng.randint(1, 30))) for _ in range(3000)]
+
+
+def test_ids_are_those_of_the_tokenizer():
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, plain = packing.Encoder(path), Tokenizer.from_file(path)
+    texts = odd_texts()
+    assert encoder.ranked is not None
+    for text, got in zip(texts, encoder.encode(texts)):
+        assert np.frombuffer(got, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    other = public_tokenizers.path("word_bpe_49k.json")
+    encoder, plain = packing.Encoder(other), Tokenizer.from_file(other)
+    assert encoder.ranked is None
+    for text, got in zip(texts, encoder.encode(texts[:200])):
+        assert np.frombuffer(got, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_of_special_tokens(spark):
+    from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = dict(enumerate(odd_texts()))
+    docs = documents(spark, [(d, t, None, None, None) for d, t in texts.items()])
+    got = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()
+    check_packing(got, {d: tokenizer.encode(t, add_special_tokens=False).ids + [0] for d, t in texts.items()}, 1024)
+    assert any(50256 in r["ids"] for r in got)
 
 
 def test_packing_on_odd_rows(spark):

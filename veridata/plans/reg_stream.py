@@ -68,16 +68,51 @@ def q_throttle_paths(spark, d):
     return out.select("event_id", "admitted", "retry_after")
 
 
-@register("throttle_stream", _BATCH_SQL)
-def q_throttle_stream(spark, d):
-    """The events file replayed as a stream (availableNow), decisions written
-    to a Parquet sink under the shared checkpoint folder, then read back."""
-    schema = table(spark, d, "events").schema
+def _replayed(spark, d, files: int):
+    """The events as a stream of ``files`` files, one a micro-batch, dealt by a hash of their ids
+    and not by time, with a closing row behind them."""
+    events = table(spark, d, "events")
     run = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    out = TH.throttle_stream(stream, window_s=DAY, limits={"g": LIMIT}, watermark="1 day")
+    for i in range(files):
+        part = events if files == 1 else events.where(F.pmod(F.xxhash64("event_id"), F.lit(files)) == i)
+        part.coalesce(1).write.mode("append").parquet(f"{run}/in")
+    TH.closing_row(events, after_s=1000 * DAY).coalesce(1).write.mode("append").parquet(f"{run}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{run}/in")
+    return stream, run
+
+
+def _drained(spark, out, run):
     q = (out.writeStream.format("parquet").option("path", f"{run}/out")
          .option("checkpointLocation", f"{run}/ckpt").outputMode("append")
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(f"{run}/out").select("event_id", "admitted", "retry_after")
+
+
+@register("throttle_stream", _BATCH_SQL)
+def q_throttle_stream(spark, d):
+    """The events file replayed as a stream (availableNow), decisions written
+    to a Parquet sink under the shared checkpoint folder, then read back."""
+    stream, run = _replayed(spark, d, 1)
+    return _drained(spark, TH.throttle_stream(stream, window_s=DAY, limits={"g": LIMIT}, watermark="1 day"), run)
+
+
+@register("throttle_stream_disorder", _BATCH_SQL)
+def q_throttle_stream_disorder(spark, d):
+    """The same in three files that each cover the whole time: every event waits for its order."""
+    stream, run = _replayed(spark, d, 3)
+    return _drained(spark, TH.throttle_stream(stream, window_s=DAY, limits={"g": LIMIT}, watermark="400 days"), run)
+
+
+# one key with a third of all events, one a second and never idle
+HOT_SQL = "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN -1 ELSE user_id END AS user_id, " \
+          "CASE WHEN event_id % 3 = 0 THEN TIMESTAMP '2024-01-01' + INTERVAL 1 SECOND * {seconds} ELSE ts END AS ts FROM {source}"
+
+
+@register("throttle_hot_key", _BATCH_SQL.replace(
+    "FROM events", "FROM (" + HOT_SQL.format(seconds="(event_id // 3)", source="events") + ")").replace(str(DAY * 1_000_000), str(60 * TH.US)))
+def q_throttle_hot_key(spark, d):
+    """A key of continuous traffic in chunks of 200 events, a 60-second window."""
+    sql = HOT_SQL.format(seconds="(event_id DIV 3)", source="{events}")
+    return TH.throttle(spark.sql(sql, events=table(spark, d, "events")), window_s=60, limits={"g": LIMIT},
+                       chunk_events=200).select("event_id", "admitted", "retry_after")

@@ -7,32 +7,41 @@ seconds until the oldest of them leaves, plus one. Rejected events never
 count, so a plain window-frame count is not equivalent: this is a sequential
 state machine per key, whose state is a ring of ``limit`` accepted times.
 
-Batch plan: each key is cut at idle gaps longer than the window (the ring is
-provably void there). The gaps are found from the first and last time of each
-(key, window-long bucket), pre-aggregated before their shuffle, so no task sorts
-the raw events of a whole key. Then ``repartition(key, segment)`` +
-``sortWithinPartitions`` + ``mapInPandas``: each task streams its sorted
-partition and keeps one ring. Stream plan: ``applyInPandasWithState`` with the
-same step; the state is the ring, and an event-time timeout purges idle keys
-(ST3) once the watermark passes. Events of an exempt class (null) are admitted
-by a projection and never reach the state.
+Batch plan. Each key is cut at idle gaps longer than the window (the ring is provably
+void there). The gaps are found from the first and last time of each (key, window-long
+bucket), pre-aggregated before their shuffle, so no task sorts the raw events of a whole
+key. A segment of more events than ``chunk_events`` (a key that is never idle) is cut again
+at bucket borders and replayed by speculation, see ``replay``. Then one pass decides:
+``repartition(key, segment, chunk)`` + ``sortWithinPartitions`` + ``mapInPandas``, where
+each task streams its sorted partition and keeps one ring.
+
+Stream plan: ``applyInPandasWithState`` with the same step. Events wait in the key's state
+until the watermark has passed them and are decided in (ts, event_id) order, so the order of
+arrival does not matter; the state is the ring and the events that wait, and an event-time
+timeout releases these and purges idle keys (ST3). Events of an exempt class (null) are
+admitted by a projection and never reach the state.
 """
 
 from __future__ import annotations
 
 from collections import deque
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from ..functions.scratch import stage
+
 # fixed values (reference defaults: per-minute budgets)
 WINDOW_S = 60
 GENERAL_LIMIT = 120
 HEAVY_LIMIT = 15
 US = 1_000_000
 
+CHUNK_EVENTS = 200_000  # events of a key without idle gaps that are replayed in one piece
+
 OUT_SCHEMA = "key string, event_id long, ts_us long, cost_class string, admitted boolean, retry_after long"
 
 
@@ -72,58 +81,221 @@ def _decided(pdf: pd.DataFrame, decisions: list[tuple[bool, int | None]]) -> pd.
     return out
 
 
-def idle_segments(ev: DataFrame, window_us: int) -> DataFrame:
-    """``ev`` with ``seg``, the bucket in which the current run of its key began.
+def bucket_plan(ev: DataFrame, window_us: int, chunk_events: int = CHUNK_EVENTS) -> DataFrame:
+    """One row per key and window-long bucket: ``seg``, the bucket in which the current run of
+    its key began, and the ``chunk`` of that run, of ``chunks`` in all.
 
-    Buckets are one window long, so a gap longer than the window always lies
-    between two buckets of a key: the largest time of one and the smallest of
-    the next show it. After such a gap no accepted time is within the window, so
-    segments are independent. The window function runs over buckets, not events.
+    A gap longer than the window always lies between two buckets of a key: the largest time of
+    one and the smallest of the next show it. After such a gap no accepted time is within the
+    window, so segments are independent. Chunks are runs of whole buckets, a new one from each
+    bucket on before which another ``chunk_events`` lie; ``last`` marks the last bucket of a chunk
+    that another follows. The window functions run over buckets, not events.
     """
-    bucketed = ev.withColumn("bucket", F.col("ts_us") - F.pmod("ts_us", F.lit(window_us)))
-    buckets = bucketed.groupBy("key", "bucket").agg(F.min("ts_us").alias("lo"), F.max("ts_us").alias("hi"))
+    buckets = _bucketed(ev, window_us).groupBy("key", "bucket").agg(
+        F.min("ts_us").alias("lo"), F.max("ts_us").alias("hi"), F.count(F.lit(1)).alias("n"))
     in_time = Window.partitionBy("key").orderBy("bucket")
     idle = F.col("lo") - F.lag("hi").over(in_time)
     runs = (buckets.withColumn("begin", F.when(idle.isNull() | (idle > window_us), F.col("bucket")))
-            .select("key", "bucket", F.last("begin", ignorenulls=True).over(in_time).alias("seg")))
-    return bucketed.join(runs, ["key", "bucket"]).select(*ev.columns, "seg")
+            .withColumn("seg", F.last("begin", ignorenulls=True).over(in_time)))
+    in_run = Window.partitionBy("key", "seg").orderBy("bucket")
+    before = F.coalesce(F.sum("n").over(in_run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = runs.withColumn("place", F.floor(before / chunk_events))
+    cut = cut.withColumn("chunk", F.dense_rank().over(Window.partitionBy("key", "seg").orderBy("place")) - 1)
+    return cut.select(
+        "key", "bucket", "seg", "chunk", (F.max("chunk").over(Window.partitionBy("key", "seg")) + 1).alias("chunks"),
+        (F.lead("chunk").over(in_run) > F.col("chunk")).alias("last"))
+
 
+def _bucketed(ev: DataFrame, window_us: int) -> DataFrame:
+    return ev.withColumn("bucket", F.col("ts_us") - F.pmod("ts_us", F.lit(window_us)))
 
-def throttle(df: DataFrame, key: str = "user_id", ts: str = "ts", id_col: str = "event_id",
-             window_s: int = WINDOW_S, limits: dict[str, int] | None = None,
-             cost_class: str | None = None, partitions: int | None = None,
-             split_idle: bool = True) -> DataFrame:
+
+def idle_segments(ev: DataFrame, window_us: int) -> DataFrame:
+    """``ev`` with ``seg``, the bucket in which the current run of its key began."""
+    runs = bucket_plan(ev, window_us).select("key", "bucket", "seg")
+    return _bucketed(ev, window_us).join(runs, ["key", "bucket"]).select(*ev.columns, "seg")
+
+
+def _runs(batches, *columns: str):
+    """Rows of pandas batches as tuples, for row-by-row replay."""
+    for b in batches:
+        yield from zip(*(b[c] for c in columns))
+
+
+def _inside(times, begin: int, window_us: int) -> list[int]:
+    """Those accepted times that an event at ``begin`` or later can still see."""
+    return [int(t) for t in times if t >= begin - window_us]
+
+
+STATES = "key string, seg long, chunk int, cost_class string, begin long, entry array<long>, exit array<long>"
+
+
+def _speculate(batches, limits: dict, window_us: int):
+    """Rows of chunks, each with the bucket before it -> the ring that this bucket alone gives at
+    the chunk's begin, and the ring at its end."""
+    out, current, now = [], None, None
+    for key, seg, chunk, prior, ts, cls in _runs(batches, "key", "seg", "chunk", "prior", "ts_us", "cost_class"):
+        if (key, seg, chunk) != current:
+            if now:
+                out.append((*now, list(accepted)))
+            current, now, accepted = (key, seg, chunk), None, ring(limits, cls)
+        if not prior and now is None:
+            now = (key, seg, chunk, cls, int(ts), _inside(accepted, ts, window_us))
+        step(accepted, int(ts), window_us)
+        if len(out) >= 1000:
+            yield _states(out)
+            out = []
+    if now:
+        out.append((*now, list(accepted)))
+    if out:
+        yield _states(out)
+
+
+def _states(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in STATES.split(", ")])
+
+
+def _mend(batches, limits: dict, window_us: int):
+    """Chunks of the second half of a group, each behind a header with its known entry, the first
+    with the exit of the half before: replayed from there until the ring agrees with a
+    header, the new states are given."""
+    out, group, chunk, accepted, active, now = [], None, None, None, False, None
+    for key, seg, of, no, header, ts, cls, known in _runs(
+            batches, "key", "seg", "half", "chunk", "header", "ts_us", "cost_class", "known"):
+        if header:
+            if now:
+                out.append((*now, list(accepted)))
+                now = None
+            if (key, seg, of) != group:
+                group, active, accepted = (key, seg, of), True, ring(limits, cls, _inside(known, ts, window_us))
+            elif active:
+                active = _inside(accepted, ts, window_us) != list(known)
+            if active:
+                now = (key, seg, no, cls, int(ts), _inside(accepted, ts, window_us))
+        elif active:
+            step(accepted, int(ts), window_us)
+        if len(out) >= 1000:
+            yield _states(out)
+            out = []
+    if now:
+        out.append((*now, list(accepted)))
+    if out:
+        yield _states(out)
+
+
+@dataclass
+class Replay:
+    """Decisions of ``replay``, the chunks that were replayed by speculation, the rounds that
+    mended them and how many were replayed again in these."""
+
+    data: DataFrame
+    chunks: int = 0
+    rounds: int = 0
+    replayed: int = 0
+
+
+def _entries(hot: DataFrame, limits: dict, window_us: int, most: int) -> tuple[DataFrame, int, int]:
+    """The state of every chunk of the segments that have more than one, right at the end: every
+    chunk is replayed from the ring that the bucket before it gives. Then neighbours are
+    compared pairwise, in groups of 2, 4, 8 ... chunks: where the exit of a group's first half is
+    not the entry that its second half took, the second half is replayed until it agrees
+    with what is known. So the rounds are at most the logarithm of the chunks, whatever the
+    traffic, and where rings agree at once no event is read again."""
+    of = ["key", "seg", "chunk"]
+    own = hot.select(*of, F.lit(False).alias("prior"), "ts_us", "event_id", "cost_class")
+    prior = hot.where("last").select("key", "seg", (F.col("chunk") + 1).alias("chunk"), F.lit(True).alias("prior"), "ts_us",
+                                     "event_id", "cost_class")
+    states = stage(own.union(prior).repartition(*of).sortWithinPartitions(*of, "ts_us", "event_id").mapInPandas(
+        lambda it: _speculate(it, limits, window_us), STATES), "throttle-states")
+    rounds = replayed = 0
+    half = 1
+    while half < most:
+        group = F.floor(F.col("chunk") / (2 * half)).cast("int")
+        came = F.lag("exit").over(Window.partitionBy("key", "seg").orderBy("chunk"))
+        begun = states.withColumn("came", came).where(F.col("chunk") % (2 * half) == half)
+        differ = stage(begun.where(F.filter("came", lambda t: t >= F.col("begin") - window_us) != F.col("entry"))
+                       .select("key", "seg", group.alias("half"), "came"), "throttle-differ")
+        if differ.limit(1).count():
+            rounds += 1
+            second = F.col("chunk") % (2 * half) >= half
+            at = ["key", "seg", "half"]
+            heads = states.where(second).withColumn("half", group).join(differ, at).select(
+                *at, "chunk", F.lit(True).alias("header"), F.col("begin").alias("ts_us"), F.lit(None).cast("long").alias("event_id"),
+                "cost_class", F.when(F.col("chunk") % (2 * half) == half, F.col("came")).otherwise(F.col("entry")).alias("known"))
+            events = hot.where(second).withColumn("half", group).join(differ.select(*at), at, "left_semi").select(
+                *at, "chunk", F.lit(False).alias("header"), "ts_us", "event_id", "cost_class",
+                F.lit(None).cast("array<long>").alias("known"))
+            mended = stage(heads.union(events).repartition(*at)
+                           .sortWithinPartitions(*at, "chunk", F.desc("header"), "ts_us", "event_id")
+                           .mapInPandas(lambda it: _mend(it, limits, window_us), STATES), "throttle-mended")
+            replayed += mended.count()
+            states = stage(states.join(mended.select(*of), of, "left_anti").union(mended), "throttle-states")
+        half *= 2
+    return states, rounds, replayed
+
+
+def _decide(batches, limits: dict, window_us: int):
+    """Rows sorted by key, segment and chunk, a chunk with a known entry behind a header that
+    holds it -> decisions."""
+    current, accepted = None, deque()
+    for b in batches:
+        decisions = []
+        for key, seg, chunk, header, ts, cls, known in zip(b["key"], b["seg"], b["chunk"], b["header"], b["ts_us"], b["cost_class"],
+                                                           b["known"]):
+            if header:
+                current, accepted = (key, seg, chunk), ring(limits, cls, [int(t) for t in known])
+                continue
+            if (key, seg, chunk) != current:
+                current, accepted = (key, seg, chunk), ring(limits, cls)
+            decisions.append(step(accepted, int(ts), window_us))
+        yield _decided(b[~b["header"].astype(bool)], decisions)
+
+
+def replay(df: DataFrame, key: str = "user_id", ts: str = "ts", id_col: str = "event_id",
+           window_s: int = WINDOW_S, limits: dict[str, int] | None = None,
+           cost_class: str | None = None, partitions: int | None = None,
+           split_idle: bool = True, chunk_events: int = CHUNK_EVENTS) -> Replay:
     """Batch admission for every event: (key, event_id, ts_us, cost_class, admitted, retry_after).
 
-    With ``split_idle`` a hot key is cut at its idle gaps (see ``idle_segments``)
-    so its segments spread over tasks. Events without a time raise an error.
+    With ``split_idle`` a hot key is cut at its idle gaps, and where it has none into chunks of
+    about ``chunk_events`` (see ``bucket_plan`` and ``_entries``), so it spreads over tasks.
+    The result is the same for any ``chunk_events``. Events without a time raise an error.
     """
+    if chunk_events < 1:
+        raise ValueError("chunk_events must be at least 1")
     limits = limits or {"g": GENERAL_LIMIT, "h": HEAVY_LIMIT}
     window_us = int(window_s * US)
     ev = _prepare(df, key, ts, id_col, cost_class)
     ev = ev.withColumn("ts_us", F.coalesce("ts_us", F.raise_error(F.lit("event without a time")).cast("long")))
     limited = ev.where(F.col("cost_class").isNotNull())
+    of = ["key", "seg", "chunk"]
+    known, header = F.lit(None).cast("array<long>").alias("known"), F.lit(False).alias("header")
+    chunks = rounds = replayed = 0
     if split_idle:
-        limited = idle_segments(limited, window_us)
+        plan = stage(bucket_plan(limited, window_us, chunk_events), "throttle-buckets")
+        marked = _bucketed(limited, window_us).join(plan, ["key", "bucket"])
+        most = plan.agg(F.max("chunks")).first()[0] or 0
+    else:
+        marked, most = limited.withColumn("seg", F.lit(0).cast("long")).withColumn("chunk", F.lit(0)), 0
+    if most > 1:
+        hot = stage(marked.where("chunks > 1").select(*of, "ts_us", "event_id", "cost_class", "last"), "throttle-hot")
+        states, rounds, replayed = _entries(hot, limits, window_us, most)
+        chunks = states.count()
+        heads = states.select(*of, F.lit(True).alias("header"), F.col("begin").alias("ts_us"), F.lit(None).cast("long").alias("event_id"),
+                              "cost_class", F.col("entry").alias("known"))
+        rows = marked.select(*of, header, "ts_us", "event_id", "cost_class", known).union(heads)
     else:
-        limited = limited.withColumn("seg", F.lit(0).cast("long"))
-    by = ["key", "seg"]
+        rows = marked.select(*of, header, "ts_us", "event_id", "cost_class", known)
     # without a given number of partitions AQE chooses it
-    spread = limited.repartition(partitions, *by) if partitions else limited.repartition(*by)
-    ordered = spread.sortWithinPartitions(*by, "ts_us", "event_id")
+    spread = rows.repartition(partitions, *of) if partitions else rows.repartition(*of)
+    out = spread.sortWithinPartitions(*of, F.desc("header"), "ts_us", "event_id").mapInPandas(
+        lambda it: _decide(it, limits, window_us), OUT_SCHEMA)
+    return Replay(out.unionByName(_exempt(ev)) if cost_class else out, chunks, rounds, replayed)
 
-    def run(batches):
-        current, accepted = None, deque()
-        for b in batches:
-            decisions = []
-            for k, seg, now, cls in zip(b["key"], b["seg"], b["ts_us"], b["cost_class"]):
-                if (k, seg) != current:
-                    current, accepted = (k, seg), ring(limits, cls)
-                decisions.append(step(accepted, int(now), window_us))
-            yield _decided(b, decisions)
 
-    out = ordered.mapInPandas(run, OUT_SCHEMA)
-    return out.unionByName(_exempt(ev)) if cost_class else out
+def throttle(df: DataFrame, *args, **how) -> DataFrame:
+    """The decisions of ``replay``, which names the parameters."""
+    return replay(df, *args, **how).data
 
 
 def cost_class_of(path: F.Column, heavy_prefixes: list[str], exempt_prefixes: list[str]) -> F.Column:
@@ -138,18 +310,23 @@ def cost_class_of(path: F.Column, heavy_prefixes: list[str], exempt_prefixes: li
 
 
 # ── Structured Streaming ────────────────────────────────────────────────────
-STATE_SCHEMA = "accepted array<long>"
+STATE_SCHEMA = "accepted array<long>, ts array<long>, ids array<long>, cost_class string"
 
 
 def throttle_stream(stream: DataFrame, key: str = "user_id", ts: str = "ts", id_col: str = "event_id",
                     window_s: int = WINDOW_S, limits: dict[str, int] | None = None,
                     cost_class: str | None = None, watermark: str | None = None) -> DataFrame:
-    """Streaming form: same decisions for events that arrive in time order.
+    """Streaming form: the decisions of the batch, however the events are ordered on arrival.
 
-    Events behind the watermark are dropped by Spark (our stated policy). Each
-    key's state times out ``window`` after its newest accepted time. One key's
-    events of one micro-batch are sorted in one worker, so the source's batch
-    size (``maxFilesPerTrigger`` and the like) bounds its memory.
+    An event waits in its key's state until the watermark has passed its time: Spark drops what
+    arrives behind the watermark (our stated policy), so nothing can come before it any more. It
+    is then decided in (ts, event_id) order, at the next event of its key or by an event-time
+    timeout. A key holds the events of one watermark delay and one micro-batch, which the
+    source's batch size bounds, and its state goes ``window`` after its newest accepted time.
+
+    Decisions come one watermark delay late. Before the first event Spark's watermark is the epoch,
+    so times up to 1970-01-01 count as late. A row without an id is no event but moves the
+    watermark: one at the end of a finite stream, ``closing_row``, releases all.
     """
     limits = limits or {"g": GENERAL_LIMIT, "h": HEAVY_LIMIT}
     window_us = int(window_s * US)
@@ -158,19 +335,42 @@ def throttle_stream(stream: DataFrame, key: str = "user_id", ts: str = "ts", id_
                .withWatermark("_t", watermark or f"{int(window_s)} seconds"))
 
     def fn(k, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        chunks = [p for p in pdfs if len(p)]
-        if not chunks:
+        times, waiting, ids, cls = state.get if state.exists else ([], [], [], None)
+        now_ms = state.getCurrentWatermarkMs()
+        rows = list(zip(waiting, ids))
+        if not state.hasTimedOut:
+            for p in pdfs:
+                events = p[p["event_id"].notna()]
+                rows += zip(events["ts_us"].tolist(), events["event_id"].astype("int64").tolist())
+                cls = cls or next(iter(events["cost_class"]), None)
+        if not rows and not len(times):
+            if state.exists:
+                state.remove()
             return
-        pdf = pd.concat(chunks).sort_values(["ts_us", "event_id"])
-        accepted = ring(limits, pdf["cost_class"].iloc[0], state.get[0] if state.exists else ())
-        decisions = [step(accepted, int(now), window_us) for now in pdf["ts_us"]]
-        state.update((list(accepted),))
-        state.setTimeoutTimestamp(max(int(accepted[-1] // 1000 + window_s * 1000), state.getCurrentWatermarkMs() + 1))
-        yield _decided(pdf, decisions)
+        rows.sort()
+        due = sum(t <= now_ms * 1000 for t, _ in rows)
+        accepted = ring(limits, cls, times)
+        decisions = [step(accepted, int(t), window_us) for t, _ in rows[:due]]
+        left = rows[due:]
+        goes = int(left[0][0] // 1000) if left else int(accepted[-1] // 1000 + window_s * 1000)
+        if not left and goes < now_ms:
+            state.remove()
+        else:
+            state.update((list(accepted), [t for t, _ in left], [i for _, i in left], cls))
+            state.setTimeoutTimestamp(max(goes, now_ms + 1))
+        if due:
+            pdf = pd.DataFrame(rows[:due], columns=["ts_us", "event_id"]).assign(key=k[0], cost_class=cls)
+            yield _decided(pdf, decisions)
 
     out = limited.groupBy("key").applyInPandasWithState(
         fn, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
-    return out.unionByName(_exempt(ev)) if cost_class else out
+    return out.unionByName(_exempt(ev.where("event_id is not null"))) if cost_class else out
+
+
+def closing_row(events: DataFrame, ts: str = "ts", id_col: str = "event_id", after_s: int = 2 * 86_400) -> DataFrame:
+    """One row like ``events``, without an id, ``after_s`` seconds behind their last time: as the
+    last input of a finite stream it moves a watermark of a shorter delay past all events."""
+    kinds = {f.name: f.dataType for f in events.schema.fields}
+    last = events.agg((F.max(F.col(ts).cast("timestamp")) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(after_s))).alias("t"))
+    return last.select(*[F.col("t").cast(kinds[c]).alias(c) if c == ts else F.lit(None).cast(kinds[c]).alias(c)
+                         for c in events.columns])

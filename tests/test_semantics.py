@@ -254,7 +254,7 @@ def test_refined_quantiles_equal_exact_percentile_on_skew(spark, monkeypatch):
     data = [(5.0,)] * 400 + [(float(i) * 0.37,) for i in range(800)]
     df = spark.createDataFrame(data, "x double").repartition(4)
     monkeypatch.setattr(stats, "FETCH_LIMIT", 50)  # force several refinement rounds
-    got = stats.refine_quantiles(df, ["x"], [0.1, 0.25, 0.5, 0.75, 0.99])["x"]
+    got = stats.exact_quantiles(df, ["x"], [0.1, 0.25, 0.5, 0.75, 0.99])["x"]
     want = list(df.agg(F.percentile("x", F.array(*[F.lit(p) for p in [0.1, 0.25, 0.5, 0.75, 0.99]]))).first()[0])
     assert all(abs(a - b) < 1e-9 for a, b in zip(got, want))
 
@@ -296,12 +296,12 @@ def test_simple_ols_predictions(spark):
         pass
 
 
-def test_box_exact_path_beyond_cardinality_bound(spark, monkeypatch):
+def test_box_is_the_same_when_brackets_are_narrowed(spark, monkeypatch):
     from veridata.operators import charts
     df = spark.createDataFrame([("a" if i % 3 else "b", float(i) * 1.5) for i in range(300)], "g string, v double")
     want = {r["grp"]: tuple(r)[1:] for r in charts.box(df, "v", by="g").collect()}
-    monkeypatch.setattr(C, "EXACT_PERCENTILE_MAX_DISTINCT", 5)  # force the refinement path
     monkeypatch.setattr(stats, "FETCH_LIMIT", 20)
+    monkeypatch.setattr(stats, "SKETCH_ERROR", 0.2)
     got = {r["grp"]: tuple(r)[1:] for r in charts.box(df, "v", by="g").collect()}
     assert got == want
 
@@ -377,16 +377,17 @@ def test_mean_ties_do_not_depend_on_partitions(spark):
 
 
 # ── quantiles with infinities, splits, tables, inventory, text ──────────────
-def test_quantiles_agree_on_both_sides_of_the_bound(spark, monkeypatch):
+def test_quantiles_agree_with_percentile_and_when_narrowed(spark, monkeypatch):
     values = [float(i) * 0.5 for i in range(500)] + [float("inf")] * 3 + [float("-inf"), 1e308, -1e308, 5e-324]
     df = spark.createDataFrame([(v,) for v in values], "x double").repartition(3)
     probs = [0.0, 0.001, 0.25, 0.5, 0.75, 0.995, 1.0]
-    direct = stats.quantiles(df, ["x"], probs)["x"]
-    monkeypatch.setattr(C, "EXACT_PERCENTILE_MAX_DISTINCT", 5)
+    direct = list(df.agg(F.percentile("x", F.array(*[F.lit(p) for p in probs]))).first()[0])
+    assert stats.quantiles(df, ["x"], probs)["x"] == direct
     monkeypatch.setattr(stats, "FETCH_LIMIT", 40)
-    refined = stats.quantiles(df, ["x"], probs, cardinality={"x": 1000})["x"]
+    monkeypatch.setattr(stats, "SKETCH_ERROR", 0.3)
+    refined = stats.quantiles(df, ["x"], probs)["x"]
     assert refined == direct and refined[0] == float("-inf") and refined[-1] == float("inf")
-    assert stats.refine_quantiles(df.where("false"), ["x"], [0.5])["x"] == [None]
+    assert stats.exact_quantiles(df.where("false"), ["x"], [0.5])["x"] == [None]
 
 
 def test_stratified_split_keeps_each_class_share(spark):

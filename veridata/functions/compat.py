@@ -18,9 +18,6 @@ NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-n
 COERCE_RATIO = 0.9
 # Tukey fence multiplier.
 IQR_K = 1.5
-# Above this many distinct values an exact percentile would buffer too much
-# in one task; such columns use a high-accuracy sketch instead.
-EXACT_PERCENTILE_MAX_DISTINCT = 1_000_000
 APPROX_PERCENTILE_ACCURACY = 100_000
 
 # Plain decimal / scientific numbers, optionally signed and padded; plus

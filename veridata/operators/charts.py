@@ -65,22 +65,12 @@ def box(df: DataFrame, c: str, by: str | None = None, groups: int = BOX_GROUPS)
     else:
         base = df.select(F.lit(c).alias("grp"), x.alias("x"))
     base = C.nan_to_null(base).where(F.col("x").isNotNull())
-    n_rows = base.count()
-    card = stats.cardinality_bounds(base, ["x"], n_rows)["x"]
-    arr = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    if card <= C.EXACT_PERCENTILE_MAX_DISTINCT:
-        q = base.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.percentile(F.col("x"), arr).alias("q"))
-        q = q.select("grp", "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
-    else:
-        # too many distinct values for one buffer: exact refinement, one
-        # derived column per box (at most 12), all refined together
-        names = [r["grp"] for r in base.select("grp").distinct().collect()]
-        exprs = {f"g{i}": F.when(F.col("grp") == g, F.col("x")) for i, g in enumerate(names)}
-        rq = stats.refine_quantiles(base, list(exprs), [0.25, 0.5, 0.75], exprs=exprs)
-        counts = {r["grp"]: int(r["n"]) for r in base.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).collect()}
-        q = df.sparkSession.createDataFrame(
-            [(g, counts[g], *rq[f"g{i}"]) for i, g in enumerate(names)],
-            "grp string, n long, q1 double, median double, q3 double")
+    # one derived column per box (at most 12), all in the same two scans
+    counts = {r["grp"]: int(r["n"]) for r in base.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).collect()}
+    exprs = {f"g{i}": F.when(F.col("grp") == g, F.col("x")) for i, g in enumerate(counts)}
+    quartiles = stats.exact_quantiles(base, list(exprs), [0.25, 0.5, 0.75], exprs=exprs)
+    q = df.sparkSession.createDataFrame([(g, counts[g], *quartiles[f"g{i}"]) for i, g in enumerate(counts)],
+                                        "grp string, n long, q1 double, median double, q3 double")
     fence = q.select("grp", "n", "q1", "median", "q3",
                      (F.col("q1") - C.IQR_K * (F.col("q3") - F.col("q1"))).alias("lo"),
                      (F.col("q3") + C.IQR_K * (F.col("q3") - F.col("q1"))).alias("hi"))

@@ -64,8 +64,7 @@ def describe_numeric(df: DataFrame, exact: bool = True) -> DataFrame:
     if not num:
         return _spark(df).createDataFrame([], schema)
     r = df.agg(F.count(F.lit(1)).alias("_rows"), *aggs).first()
-    card = stats.cardinality_bounds(df, num, int(r["_rows"])) if exact else None
-    q = stats.quantiles(df, num, [0.25, 0.5, 0.75], exact=exact, cardinality=card)
+    q = stats.quantiles(df, num, [0.25, 0.5, 0.75], exact=exact)
     pos = {c: k for k, c in enumerate(df.columns)}
     rows = [(pos[c], c, int(r[f"n{i}"]), r[f"a{i}"], r[f"s{i}"], r[f"lo{i}"], *q[c], r[f"hi{i}"])
             for i, c in enumerate(num)]
@@ -105,8 +104,7 @@ def describe_time(df: DataFrame) -> DataFrame:
                  F.min(us[c]).alias(f"lo{i}"), F.max(us[c]).alias(f"hi{i}")]
     r = df.agg(F.count(F.lit(1)).alias("_rows"), *aggs).first()
     micro = df.select([us[c].alias(c) for c in tcols])
-    q = stats.quantiles(micro, tcols, [0.25, 0.5, 0.75],
-                        cardinality=stats.cardinality_bounds(micro, tcols, int(r["_rows"])))
+    q = stats.quantiles(micro, tcols, [0.25, 0.5, 0.75])
     def fl(v):
         return None if v is None else float(v)
     pos = {c: k for k, c in enumerate(df.columns)}
@@ -263,27 +261,26 @@ def top_correlations(df: DataFrame, n: int = 5) -> DataFrame:
 # ── AG10 / AG11 ─────────────────────────────────────────────────────────────
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows that repeat an earlier row (nulls equal) and their percent."""
-    g = df.groupBy(*[C.col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
-    s = g.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),
-              F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("n"))
-    return s.select(F.col("n").cast("long").alias("duplicates"),
+    n, dup = stats.duplicate_rows(df)
+    s = _spark(df).createDataFrame([(dup, n)], "n long, rows long")
+    return s.select(F.col("n").alias("duplicates"),
                     F.when(F.col("rows") > 0, C.rnd(F.col("n") / F.col("rows") * 100, 2))
                     .otherwise(F.lit(0.0)).alias("pct"))
 
 
+FEW_VALUES = 255
+
+
 def cardinality(df: DataFrame, exact: bool = True) -> DataFrame:
-    """Distinct non-null values per column."""
+    """Distinct non-null values per column. Columns of few values are settled without a
+    shuffle (``stats.bounded_distinct``); only the cells of the others are shuffled, typed."""
     cols = df.columns
-    pos = _lit_columns(df, cols)
     if exact:
-        d = stats.value_counts_long(df, cols).groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct"))
+        n = stats.bounded_distinct(df, cols, FEW_VALUES)
+        n |= stats.distinct_counts(df, [c for c in cols if n[c] > FEW_VALUES])
     else:
-        one = df.agg(*[F.approx_count_distinct(C.col(c)).alias(f"_c{i}") for i, c in enumerate(cols)])
-        names = F.create_map(*[x for i, c in enumerate(cols) for x in (F.lit(f"_c{i}"), F.lit(c))])
-        d = (one.unpivot([], [f"_c{i}" for i in range(len(cols))], "_k", "n_distinct")
-             .select(names[F.col("_k")].alias("column"), "n_distinct"))
-    return (F.broadcast(pos).join(d, "column", "left")
-            .select("position", "column", F.coalesce("n_distinct", F.lit(0)).cast("long").alias("n_distinct")))
+        n = stats.distinct_counts(df, cols, exact=False)
+    return _spark(df).createDataFrame([(i, c, n[c]) for i, c in enumerate(cols)], "position int, column string, n_distinct long")
 
 
 # ── AG12 – AG18 ─────────────────────────────────────────────────────────────

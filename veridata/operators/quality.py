@@ -141,8 +141,7 @@ def _identifier(df: DataFrame, f: dict):
     whole = [c for c in df.columns if not f["nulls"][c]]
     if f["rows"] < 2 or not whole:
         return []
-    distinct = stats.distinct_counts(df, whole)
-    return [_note("id", name=c) for c in whole if distinct[c] == f["rows"]][:1]
+    return [_note("id", name=c) for c in stats.unique_columns(df, whole)[:1]]
 
 
 def _strongest(pairs: list):
@@ -154,7 +153,7 @@ def _strongest(pairs: list):
 
 def _most_outliers(df: DataFrame, f: dict):
     numeric = C.numeric_columns(df)
-    quartiles = stats.quantiles(df, numeric, [0.25, 0.75], cardinality=f["hll"])
+    quartiles = stats.quantiles(df, numeric, [0.25, 0.75])
     counts = stats.outlier_counts(df, stats.fences(quartiles, skip_zero_iqr=False))
     ranked = sorted((c for c in numeric if counts.get(c)), key=lambda c: -counts[c])
     return [_note("outliers", name=c, n=counts[c], pct=_share(counts[c], f["rows"], 1)) for c in ranked[:1]]

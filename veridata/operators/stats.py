@@ -7,12 +7,14 @@ driver; the data itself never leaves the executors.
 from __future__ import annotations
 
 import math
+import sys
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import compat as C
+from ..functions.scratch import stage
 
 
 def _safe(i: int) -> str:
@@ -78,44 +80,18 @@ def grouped_values(df: DataFrame, cols: list[str]) -> DataFrame:
     return ex.groupBy(F.col("p.c").alias("c"), F.col("p.v").alias("v")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def distinct_and_quantiles(df: DataFrame, cols: list[str], qcols: list[str], probs: list[float],
-                           hll: dict[str, int], mode_cols: list[str] | None = None,
-                           want: dict | None = None) -> tuple[dict[str, int], dict[str, list]]:
-    """Exact distinct counts for ``cols`` and quantiles for ``qcols`` from ONE shuffle.
-
-    The grouped (column, value, n) rows feed ``percentile(value, probs, n)``
-    per column — but only for columns whose HLL cardinality is under the
-    exact bound; the others go through ``refine_quantiles``.
-    """
+def distinct_and_modes(df: DataFrame, cols: list[str], mode_cols: list[str]) -> tuple[dict[str, int], dict[str, object]]:
+    """Exact distinct counts for ``cols`` and the most frequent value of ``mode_cols`` (tie →
+    smallest; None without values) from one ``groupBy(column, value)`` shuffle."""
     if not cols:
         return {}, {}
-    exact_q = {c for c in qcols if hll.get(c, 0) <= C.EXACT_PERCENTILE_MAX_DISTINCT}
-    idx = {c: i for i, c in enumerate(cols)}
-    g = grouped_values(df, cols)
-    val = F.coalesce(F.col("v.d"), F.col("v.l").cast("double"))
-    qmask = F.col("c").isin([idx[c] for c in exact_q]) if exact_q else F.lit(False)
-    arr = F.array(*[F.lit(float(p)) for p in probs])
-    aggs = [F.count(F.lit(1)).alias("d"), F.percentile(F.when(qmask, val), arr, F.col("n")).alias("q")]
-    if mode_cols:
-        # most frequent value, tie → smallest; a constant-size streaming buffer
-        aggs.append(F.min(F.struct((-F.col("n")).alias("neg"), F.col("v").alias("v"))).alias("m"))
-    agg = g.groupBy("c").agg(*aggs)
-    got = {r["c"]: r for r in agg.collect()}
-    if mode_cols is not None and want is not None:
-        fields = {f.name: f.dataType for f in df.schema.fields}
-        for c in mode_cols:
-            r = got.get(idx[c])
-            want[c] = _typed_value(r["m"]["v"], fields[c]) if r is not None and r["m"] is not None else None
-    distinct = {c: int(got[i]["d"]) if i in got else 0 for c, i in idx.items()}
-    q = {}
-    for c in qcols:
-        if c in exact_q:
-            r = got.get(idx[c])
-            q[c] = list(r["q"]) if r is not None and r["q"] is not None else [None] * len(probs)
-    rest = [c for c in qcols if c not in exact_q]
-    if rest:
-        q.update(refine_quantiles(df, rest, probs))
-    return distinct, q
+    # the mode is a minimum: a constant-size streaming buffer
+    got = {r["c"]: r for r in grouped_values(df, cols).groupBy("c").agg(
+        F.count(F.lit(1)).alias("d"), F.min(F.struct((-F.col("n")).alias("neg"), F.col("v").alias("v"))).alias("m")).collect()}
+    fields = {f.name: f.dataType for f in df.schema.fields}
+    at = {c: got.get(i) for i, c in enumerate(cols)}
+    return ({c: int(r["d"]) if r else 0 for c, r in at.items()},
+            {c: _typed_value(at[c]["m"]["v"], fields[c]) if at[c] else None for c in mode_cols})
 
 
 def _typed_value(v, dt: T.DataType):
@@ -172,12 +148,7 @@ def is_constant(df: DataFrame, cols: list[str] | None = None) -> tuple[dict[str,
 
 def column_facts(df: DataFrame) -> dict:
     """One scan: rows, nulls and constancy per column, plus the mean of
-    numeric columns (the inputs of fill and quantile plans).
-
-    ``hll`` bounds each column's distinct count. distinct ≤ rows, so when
-    the row count is under the exact-percentile bound no sketch is needed;
-    otherwise a second scan computes HyperLogLog estimates.
-    """
+    numeric columns (the inputs of fill plans)."""
     cols = df.columns
     num = set(C.numeric_columns(df))
     aggs = [F.count(F.lit(1)).alias("_n")]
@@ -192,17 +163,85 @@ def column_facts(df: DataFrame) -> dict:
         "nulls": {c: n - int(row[f"nn{i}"]) for i, c in enumerate(cols)},
         "const": {c: int(row[f"nn{i}"]) == 0 or bool(row[f"eq{i}"]) for i, c in enumerate(cols)},
         "mean": {c: row[f"avg{i}"] for i, c in enumerate(cols) if c in num},
-        "hll": cardinality_bounds(df, cols, n),
     }
 
 
-def cardinality_bounds(df: DataFrame, cols: list[str], n: int) -> dict[str, int]:
-    """Upper bounds of distinct counts: the row count when it is under the
-    exact-percentile bound, else HyperLogLog estimates (one extra scan)."""
-    if n <= C.EXACT_PERCENTILE_MAX_DISTINCT or not cols:
-        return {c: n for c in cols}
-    row = df.agg(*[F.approx_count_distinct(C.col(c)).alias(_safe(i)) for i, c in enumerate(cols)]).first()
-    return {c: int(row[_safe(i)]) for i, c in enumerate(cols)}
+def _as_text(f: T.StructField) -> F.Column:
+    """A value as text that is never empty; equal values (0.0 and -0.0) give equal text."""
+    x = C.col(f.name)
+    if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+        x = x + F.lit(0.0)
+    return F.concat(F.lit("="), x.cast("string"))
+
+
+def bounded_distinct(df: DataFrame, cols: list[str], most: int) -> dict[str, int]:
+    """Distinct non-null values per column, exact up to ``most``; ``most + 1`` means more.
+
+    One scan merges a set of the smallest value hashes per column (a theta sketch of at least
+    ``most + 1`` entries: it is exact as long as it holds all). More hashes are more values.
+    Where there are at most ``most``, a second scan of just these columns gathers the few
+    values themselves, so two values of one hash still count as two. Nothing is exploded or
+    shuffled by value.
+    """
+    if not cols:
+        return {}
+    fields = {f.name: f for f in df.schema.fields}
+    entries = max(4, (most + 1 - 1).bit_length())
+    row = df.agg(*[F.theta_sketch_estimate(F.theta_sketch_agg(_hashed(_as_text(fields[c])), entries)).alias(_safe(i))
+                   for i, c in enumerate(cols)]).first()
+    few = [c for i, c in enumerate(cols) if int(row[_safe(i)]) <= most]
+    out = {c: most + 1 for c in cols}
+    if few:
+        row = df.agg(*[F.size(F.collect_set(_as_text(fields[c]))).alias(_safe(i)) for i, c in enumerate(few)]).first()
+        out.update({c: min(int(row[_safe(i)]), most + 1) for i, c in enumerate(few)})
+    return out
+
+
+def _hashed(value: F.Column) -> F.Column:
+    """What the sketches of ``bounded_distinct`` hash."""
+    return value
+
+
+SAMPLE = 10_000
+
+
+def _value_hash(f: T.StructField) -> F.Column:
+    return F.xxhash64(typed_key(f))
+
+
+def unique_columns(df: DataFrame, cols: list[str]) -> list[str]:
+    """Those of the columns (without nulls) in which no value repeats.
+
+    A value that repeats within any ``SAMPLE`` rows settles most columns. The others are
+    counted by 64-bit hashes of their values: no repeated hash, no repeated value. Only
+    rows whose hash does repeat are compared by value.
+    """
+    fields = {f.name: f for f in df.schema.fields}
+    left = list(cols)
+    if left:
+        some = df.select([C.col(c) for c in left]).limit(SAMPLE)
+        row = some.agg(F.count(F.lit(1)).alias("n"), *[F.size(F.collect_set(_value_hash(fields[c]))).alias(_safe(i))
+                                                      for i, c in enumerate(left)]).first()
+        # equal hashes of two values are only taken for a repeat where the values are equal too
+        again = [c for i, c in enumerate(left) if row[_safe(i)] < row["n"]]
+        if again:
+            row = some.agg(F.count(F.lit(1)).alias("n"), *[F.size(F.collect_set(typed_key(fields[c]))).alias(_safe(i))
+                                                          for i, c in enumerate(again)]).first()
+            left = [c for c in left if c not in {c for i, c in enumerate(again) if row[_safe(i)] < row["n"]}]
+    if not left:
+        return []
+    items = F.array(*[F.struct(F.lit(i).alias("c"), _value_hash(fields[c]).alias("h")) for i, c in enumerate(left)])
+    met = (df.select(F.explode(items).alias("p")).groupBy("p.c", "p.h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    twice = {r["c"] for r in met.select("c").distinct().collect()}
+    out = []
+    for i, c in enumerate(left):
+        if i in twice:
+            hashes = met.where(F.col("c") == i).select("h")
+            rows = df.select(C.col(c).alias("v"), _value_hash(fields[c]).alias("h")).join(hashes, "h", "left_semi")
+            if rows.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+                continue
+        out.append(c)
+    return out
 
 
 def modes(df: DataFrame, cols: list[str]) -> dict[str, str | None]:
@@ -221,37 +260,17 @@ def modes(df: DataFrame, cols: list[str]) -> dict[str, str | None]:
     return {c: got.get(c) for c in cols}
 
 
-def quantiles(df: DataFrame, cols: list[str], probs: list[float], exact: bool = True,
-              cardinality: dict[str, int] | None = None) -> dict[str, list[float | None]]:
-    """Linear-interpolation quantiles (pandas' default) for numeric columns.
-
-    Spark's exact ``percentile`` buffers one entry per *distinct* value, so it
-    is used only for columns whose distinct count is checked to be below
-    ``EXACT_PERCENTILE_MAX_DISTINCT``; larger columns go through
-    ``refine_quantiles`` (exact, bounded memory). ``exact=False`` uses the
-    ``percentile_approx`` sketch.
-    """
+def quantiles(df: DataFrame, cols: list[str], probs: list[float], exact: bool = True) -> dict[str, list[float | None]]:
+    """Linear-interpolation quantiles (pandas' default) for numeric columns, exact by
+    ``exact_quantiles``; ``exact=False`` uses the ``percentile_approx`` sketch."""
     if not cols:
         return {}
-    if exact and cardinality is None:
-        cardinality = cardinality_bounds(df, cols, df.count())
+    if exact:
+        return exact_quantiles(df, cols, probs)
     arr = F.array(*[F.lit(float(p)) for p in probs])
-    direct = [c for c in cols if not exact or cardinality.get(c, 0) <= C.EXACT_PERCENTILE_MAX_DISTINCT]
-    out = {}
-    if direct:
-        aggs = []
-        for i, c in enumerate(direct):
-            x = C.col(c).cast("double")
-            aggs.append(F.percentile(x, arr).alias(_safe(i)) if exact else
-                        F.percentile_approx(x, arr, C.APPROX_PERCENTILE_ACCURACY).alias(_safe(i)))
-        row = df.agg(*aggs).first()
-        for i, c in enumerate(direct):
-            v = row[_safe(i)]
-            out[c] = [float(x) for x in v] if v is not None else [None] * len(probs)
-    rest = [c for c in cols if c not in direct]
-    if rest:
-        out.update(refine_quantiles(df, rest, probs))
-    return out
+    row = df.agg(*[F.percentile_approx(C.col(c).cast("double"), arr, C.APPROX_PERCENTILE_ACCURACY).alias(_safe(i))
+                   for i, c in enumerate(cols)]).first()
+    return {c: [None] * len(probs) if row[_safe(i)] is None else [float(x) for x in row[_safe(i)]] for i, c in enumerate(cols)}
 
 
 def fences(q: dict[str, list[float | None]], skip_zero_iqr: bool) -> dict[str, tuple[float, float]]:
@@ -281,22 +300,72 @@ def outlier_counts(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> dic
     return {c: int(row[_safe(i)]) for i, c in enumerate(cols)}
 
 
+# ── duplicate rows ──────────────────────────────────────────────────────────
+FEW_PRINTS = 500_000  # repeated fingerprints that are broadcast; more go through a join
+
+
+def fingerprint(df: DataFrame) -> F.Column:
+    """128 bits of a row: null or not and the value of every column, twice."""
+    values = [x for f in df.schema.fields for x in (C.col(f.name).isNull(), C.col(f.name) + F.lit(0.0)
+              if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else C.col(f.name))]
+    return F.struct(F.xxhash64(*values).alias("a"), F.xxhash64(F.lit("again"), *values).alias("b"))
+
+
+def repeated_prints(df: DataFrame) -> tuple[DataFrame, int, int]:
+    """Fingerprints that more than one row has, how many there are, and the count of rows. Only
+    fingerprints and counts are shuffled, whatever the width of the rows."""
+    prints = df.select(fingerprint(df).alias("print")).groupBy("print").agg(F.count(F.lit(1)).alias("n"))
+    kept = stage(prints.groupBy((F.col("n") > 1).alias("again"), F.when(F.col("n") > 1, F.col("print")).alias("print"))
+                 .agg(F.sum("n").alias("n")), "row-prints")
+    row = kept.agg(F.count("print").alias("m"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    return kept.where("again").select("print"), int(row["m"]), int(row["n"])
+
+
+def _with_prints(df: DataFrame, again: DataFrame, m: int, how: str) -> DataFrame:
+    marked = df.withColumn(_PRINT, fingerprint(df))
+    side = again.withColumnRenamed("print", _PRINT)
+    return marked.join(F.broadcast(side) if m <= FEW_PRINTS else side, _PRINT, how).drop(_PRINT)
+
+
+_PRINT = "_row_print"
+
+
+def _grouped_repeats(df: DataFrame) -> tuple[DataFrame | None, int]:
+    """``groupBy(all columns)`` counts of the rows whose fingerprint repeats (None without any),
+    and the count of all rows."""
+    again, m, n = repeated_prints(df)
+    if not m:
+        return None, n
+    met = _with_prints(df, again, m, "left_semi")
+    return met.groupBy(*[C.col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n")), n
+
+
 def duplicate_rows(df: DataFrame) -> tuple[int, int]:
     """(rows, rows that repeat an earlier row); nulls compare equal.
 
-    ``groupBy(all columns)`` with partial aggregation: every group emits
-    ``n - 1`` and the sum is taken, so no group is ever materialised.
+    Fingerprints first, verified after: rows whose 128-bit fingerprint is unique are never
+    shuffled; those that share one are grouped by all of their columns, with partial
+    aggregation: every group emits ``n - 1`` and the sum is taken.
     """
     if not df.columns:
         n = df.count()
         return n, max(n - 1, 0)
-    g = df.groupBy(*[C.col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
-    row = g.agg(F.sum("_n").alias("n"), F.sum(F.col("_n") - 1).alias("d")).first()
-    return int(row["n"] or 0), int(row["d"] or 0)
+    g, n = _grouped_repeats(df)
+    return n, int(g.agg(F.sum(F.col("_n") - 1)).first()[0] or 0) if g is not None else 0
+
+
+def distinct_rows(df: DataFrame) -> DataFrame:
+    """One of each group of equal rows; rows of a unique fingerprint are not shuffled."""
+    again, m, _ = repeated_prints(df)
+    if not m:
+        return df
+    return _with_prints(df, again, m, "left_anti").unionByName(_with_prints(df, again, m, "left_semi").dropDuplicates())
 
 
 # ── exact quantiles for columns of any cardinality ──────────────────────────
-REFINE_BINS = 1024
+SKETCH_K = 8192
+SKETCH_ERROR = 0.003  # of a rank, several times what a sketch of that size makes
+BINS = 1024
 FETCH_LIMIT = 200_000
 
 
@@ -306,70 +375,138 @@ def _interpolate(a: float, b: float, position: float) -> float:
     return a if low == high or a == b else (high - position) * a + (position - low) * b
 
 
-def _narrow(df: DataFrame, x: dict, bands: list[dict], found: dict) -> list[dict]:
-    """One pass over the rows inside the bands. A band of few values is counted by value,
-    another by ``REFINE_BINS`` bins; each rank is read off or goes on in its bin."""
+def _brackets(df: DataFrame, x: dict, probs: list[float]) -> dict:
+    """One scan: of every column the count of values and of infinite ones, the extremes, and by a
+    KLL sketch an interval of values for every probability."""
+    inf, largest = float("inf"), F.lit(sys.float_info.max)
+    ranks = F.array(*[F.lit(min(1.0, max(0.0, p + e))) for p in probs for e in (-SKETCH_ERROR, SKETCH_ERROR)])
+    aggs = []
+    for i, v in enumerate(x.values()):
+        finite = F.when(F.abs(v) < inf, v)
+        # infinite values take part in the ranks as the largest finite ones
+        sketch = F.kll_sketch_agg_double(F.when(~F.isnan(v), F.greatest(F.least(v, largest), -largest)), SKETCH_K)
+        aggs += [F.count(v).alias(f"n{i}"), F.count_if(v == -inf).alias(f"low{i}"), F.count_if(v == inf).alias(f"high{i}"),
+                 F.min(finite).alias(f"min{i}"), F.max(finite).alias(f"max{i}"),
+                 F.when(F.count(finite) > 0, F.kll_sketch_get_quantile_double(sketch, ranks)).alias(f"q{i}")]
+    row = df.agg(*aggs).first()
+    out = {}
+    for i, c in enumerate(x):
+        out[c] = {k: row[f"{k}{i}"] for k in ("n", "low", "high", "min", "max")}
+        spans: list[list[float]] = []
+        q = row[f"q{i}"] or []
+        if q and row[f"n{i}"] * SKETCH_ERROR < 1:
+            q = [row[f"min{i}"], row[f"max{i}"]]  # few values: all are inside
+        for lo, hi in sorted(zip(q[::2], q[1::2])):
+            if spans and lo <= spans[-1][1]:
+                spans[-1][1] = max(spans[-1][1], hi)
+            else:
+                spans.append([lo, hi])
+        out[c]["spans"] = spans
+    return out
+
+
+def _narrow(rows: DataFrame, bands: list[dict], found: dict) -> list[dict]:
+    """One pass over ``rows (c, v, n)``, values of column number c with their counts. A band of few
+    rows is read by value, another by ``BINS`` bins; each rank is read off or goes on in its bin."""
     fetch = FETCH_LIMIT // len(bands)
     items = []
     for i, band in enumerate(bands):
-        v, lo, hi = x[band["col"]], band["lo"], band["hi"]
+        v, lo, hi = F.col("v"), band["lo"], band["hi"]
         half = 0.5 if math.isinf(hi - lo) else 1.0  # the width may be beyond the largest double
-        place = (v * F.lit(half) - F.lit(lo * half)) / F.lit(hi * half - lo * half) * F.lit(float(REFINE_BINS))
-        key = v if band["n"] <= fetch else F.least(F.floor(place), F.lit(REFINE_BINS - 1)).cast("double")
-        items.append(F.when(v.between(lo, hi), F.struct(F.lit(i).alias("band"), key.alias("key"), v.alias("v"))))
-    rows = (df.select(F.explode(F.array(*items)).alias("p")).where(F.col("p").isNotNull())
-            .groupBy("p.band", "p.key").agg(F.count(F.lit(1)).alias("n"), F.min("p.v").alias("lo"), F.max("p.v").alias("hi"))
-            .collect())
+        place = (v * F.lit(half) - F.lit(lo * half)) / F.lit(hi * half - lo * half) * F.lit(float(BINS))
+        key = v if band["rows"] <= fetch else F.least(F.floor(place), F.lit(BINS - 1)).cast("double")
+        items.append(F.when((F.col("c") == band["c"]) & v.between(lo, hi),
+                            F.struct(F.lit(i).alias("band"), key.alias("key"), v.alias("v"))))
+    got = (rows.select("n", F.explode(F.array(*items)).alias("p")).where(F.col("p").isNotNull())
+           .groupBy("p.band", "p.key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"), F.min("p.v").alias("lo"),
+                                           F.max("p.v").alias("hi")).collect())
     out, run = [], [band["below"] for band in bands]
-    for r in sorted(rows, key=lambda r: (r["band"], r["key"])):
+    for r in sorted(got, key=lambda r: (r["band"], r["key"])):
         band, below = bands[r["band"]], run[r["band"]]
         run[r["band"]] = below + r["n"]
         ranks = [k for k in band["ranks"] if below <= k < below + r["n"]]
         if ranks and r["lo"] == r["hi"]:
-            found.update({(band["col"], k): r["lo"] for k in ranks})
+            found.update({(band["c"], k): r["lo"] for k in ranks})
         elif ranks:
-            out.append({"col": band["col"], "lo": r["lo"], "hi": r["hi"], "below": below, "n": r["n"], "ranks": ranks})
+            out.append({"c": band["c"], "lo": r["lo"], "hi": r["hi"], "below": below, "rows": r["rows"], "ranks": ranks})
     return out
 
 
-def refine_quantiles(df: DataFrame, cols: list[str], probs: list[float],
-                     exprs: dict | None = None) -> dict[str, list[float | None]]:
-    """Exact linear-interpolation quantiles by histogram refinement.
+def _settle(rows: DataFrame, bands: list[dict], found: dict) -> None:
+    """Read all ranks of the bands off ``rows (c, v, n)``; a bin never holds both ends of its band,
+    so bands shrink."""
+    while bands:
+        bands = [b for b in bands if b["lo"] < b["hi"] or found.update({(b["c"], k): b["lo"] for k in b["ranks"]})]
+        bands = _narrow(rows, bands, found) if bands else bands
+
+
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
+                    exprs: dict | None = None) -> dict[str, list[float | None]]:
+    """Exact linear-interpolation quantiles of any number of columns in two scans.
+
+    The first scan merges one KLL sketch a column, which brackets the value of every
+    probability. The second counts the values between the brackets and, by value, those
+    inside; it is one aggregation, combined before its shuffle, so a value that a third
+    of the rows share is one row, and what it writes is a small share of the distinct values.
+    From there the ranks are read off; a bracket that still holds more than its share of
+    ``FETCH_LIMIT`` rows is narrowed by histograms of these rows. Should a rank lie outside
+    its bracket, the gap it lies in is narrowed on all rows. No task ever holds a column.
+    Infinite values are ranks like any other; only a column without values gives None.
 
-    For the needed ranks value bands [lo, hi] are kept with the count of values
-    below them. Each round is ONE aggregation over the rows inside the bands: a
-    1,024-bin histogram (count, min, max) per band, which shrinks to the bins that
-    hold its ranks; a band that holds at most its share of ``FETCH_LIMIT`` values
-    is counted by value instead. No task ever buffers a whole column, whatever its
-    cardinality; the driver sees at most bins × bands + FETCH_LIMIT rows a round.
-    Infinite values are counted apart, so they are ranks like any other; only a
-    column without values gives None.
+    ``exprs`` lets a caller ask for derived values, e.g. one ``when(group = g, x)`` per group.
     """
     if not cols:
         return {}
-    # ``exprs`` lets a caller refine derived values, e.g. one
-    # ``when(group = g, x)`` per group: all groups refine in the same passes.
     x = {c: (exprs[c] if exprs and c in exprs else C.col(c)).cast("double") for c in cols}
-    inf = float("inf")
-    facts = df.agg(*[e for i, c in enumerate(cols) for e in (
-        F.count(x[c]).alias(f"n{i}"), F.count_if(x[c] == -inf).alias(f"low{i}"), F.count_if(x[c] == inf).alias(f"high{i}"),
-        F.min(F.when(F.abs(x[c]) < inf, x[c])).alias(f"min{i}"), F.max(F.when(F.abs(x[c]) < inf, x[c])).alias(f"max{i}"))]).first()
+    facts = _brackets(df, x, probs)
     found: dict[tuple, float] = {}
-    bands = []
+    wanted, items = {}, []
     for i, c in enumerate(cols):
-        n, low, high = (int(facts[f"{k}{i}"]) for k in ("n", "low", "high"))
-        ranks = sorted({f((n - 1) * p) for p in probs for f in (math.floor, math.ceil)}) if n else []
-        found.update({(c, k): -inf if k < low else inf for k in ranks if k < low or k >= n - high})
-        inside = [k for k in ranks if (c, k) not in found]
-        if inside:
-            bands.append({"col": c, "lo": facts[f"min{i}"], "hi": facts[f"max{i}"], "below": low, "n": n - low - high,
-                          "ranks": inside})
-    while bands:  # a bin never holds both ends of its band, so bands shrink
-        bands = [b for b in bands if b["lo"] < b["hi"] or found.update({(b["col"], k): b["lo"] for k in b["ranks"]})]
-        bands = _narrow(df, x, bands, found) if bands else bands
+        f = facts[c]
+        last = f["n"] - 1
+        ranks = sorted({r(last * p) for p in probs for r in (math.floor, math.ceil)}) if f["n"] else []
+        found.update({(i, k): -float("inf") if k < f["low"] else float("inf") for k in ranks
+                      if k < f["low"] or k >= f["n"] - f["high"]})
+        found.update({(i, k): f["min"] for k in ranks if (i, k) not in found and f["min"] == f["max"]})
+        wanted[i] = [k for k in ranks if (i, k) not in found]
+        if wanted[i]:
+            v = x[c] + F.lit(0.0)  # -0.0 and 0.0 are one value
+            slot, inside = F.lit(2 * len(f["spans"])), F.lit(False)
+            for j, (lo, hi) in reversed(list(enumerate(f["spans"]))):
+                slot = F.when(v < F.lit(lo), 2 * j).when(v <= F.lit(hi), 2 * j + 1).otherwise(slot)
+                inside = inside | v.between(F.lit(lo), F.lit(hi))
+            items.append(F.when(v.isNotNull() & ~F.isnan(v), F.struct(
+                F.lit(i).alias("c"), slot.cast("int").alias("slot"), F.when(inside, v).alias("v"))))
+    if items:
+        # an array of one item needs no explode
+        points = df.select(items[0].alias("p")) if len(items) == 1 else df.select(F.explode(F.array(*items)).alias("p"))
+        rows = stage(points.where(F.col("p").isNotNull()).groupBy("p.c", "p.slot", "p.v").agg(F.count(F.lit(1)).alias("n")),
+                     "quantile-brackets")
+        slots = rows.groupBy("c", "slot").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"), F.min("v").alias("lo"),
+                                              F.max("v").alias("hi")).collect()
+        bands, outside = [], []
+        for i in wanted:
+            below = 0
+            for r in sorted((r for r in slots if r["c"] == i), key=lambda r: r["slot"]):
+                ranks = [k for k in wanted[i] if below <= k < below + r["n"]]
+                f = facts[cols[i]]
+                if ranks and r["slot"] % 2:
+                    bands.append({"c": i, "lo": r["lo"], "hi": r["hi"], "below": below, "rows": r["rows"], "ranks": ranks})
+                elif ranks:  # the sketch was further off than it should be
+                    j = r["slot"] // 2
+                    lo = math.nextafter(f["spans"][j - 1][1], float("inf")) if j else f["min"]
+                    hi = math.nextafter(f["spans"][j][0], -float("inf")) if j < len(f["spans"]) else f["max"]
+                    outside.append({"c": i, "lo": lo, "hi": hi, "below": max(below, f["low"]) if not j else below, "rows": r["n"],
+                                    "ranks": ranks})
+                below += r["n"]
+        _settle(rows.where("v is not null"), bands, found)
+        if outside:
+            whole = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("c"), (x[c] + F.lit(0.0)).alias("v"))
+                                                  for i, c in enumerate(cols)])).alias("p")).select("p.c", "p.v", F.lit(1).alias("n"))
+            _settle(whole, outside, found)
     out: dict[str, list[float | None]] = {}
     for i, c in enumerate(cols):
-        last = int(facts[f"n{i}"]) - 1
-        out[c] = [None if last < 0 else _interpolate(found[c, math.floor(last * p)], found[c, math.ceil(last * p)], last * p)
+        last = int(facts[c]["n"]) - 1
+        out[c] = [None if last < 0 else _interpolate(found[i, math.floor(last * p)], found[i, math.ceil(last * p)], last * p)
                   for p in probs]
     return out

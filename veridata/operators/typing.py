@@ -1,5 +1,5 @@
 """TY1: classify columns into dates, numbers (booleans included), categories
-and free text. One exact distinct-count shuffle over the text columns."""
+and free text. Distinct values of the text columns are counted up to the threshold."""
 
 from __future__ import annotations
 
@@ -18,7 +18,8 @@ def column_types(df: DataFrame, exact: bool = True) -> dict[str, list[str]]:
     out = {"numericas": [], "categoricas": [], "fechas": [], "texto_libre": []}
     txt = C.text_columns(df)
     n = df.count() if txt else 0
-    card = stats.distinct_counts(df, txt, exact=exact) if txt else {}
+    # the threshold is FREE_TEXT_MAX at most, so counting may stop above it
+    card = {} if not txt else stats.bounded_distinct(df, txt, FREE_TEXT_MAX) if exact else stats.distinct_counts(df, txt, False)
     for f in df.schema.fields:
         if C.is_time(f.dataType):
             out["fechas"].append(f.name)

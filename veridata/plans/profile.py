@@ -60,17 +60,10 @@ def profile(df: DataFrame, exact: bool = True, digits: int = 6) -> DataFrame:
                      F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}")]
     r1 = df.agg(*aggs).first()
     n = int(r1["_n"])
-    if exact:
-        hll = stats.cardinality_bounds(df, num, n)
-    else:
-        hll = {c: int(r1[f"hll{i}"]) for i, c in enumerate(cols)}
 
-    # pass 2 (+3): one shuffle gives exact distinct counts and quartiles
-    if exact:
-        distinct, q = stats.distinct_and_quantiles(df, cols, num, [0.25, 0.5, 0.75], hll)
-    else:
-        distinct = {c: hll[c] for c in cols}
-        q = stats.quantiles(df, num, [0.25, 0.5, 0.75], exact=False)
+    # one shuffle gives exact distinct counts, two scans the quartiles
+    distinct = stats.distinct_counts(df, cols) if exact else {c: int(r1[f"hll{i}"]) for i, c in enumerate(cols)}
+    q = stats.quantiles(df, num, [0.25, 0.5, 0.75], exact=exact)
 
     # pass 4
     outl = stats.outlier_counts(df, stats.fences(q, skip_zero_iqr=False))

@@ -35,16 +35,11 @@ def describe_table(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 
 def candidate_keys(df: DataFrame) -> DataFrame:
-    """Columns with no nulls and all values distinct (files declare no keys).
-
-    Distinctness is checked with one ``groupBy(column, value)`` shuffle for
-    all columns together.
-    """
+    """Columns with no nulls and all values distinct (files declare no keys), see
+    ``stats.unique_columns``."""
     n, nn = stats.non_null_counts(df)
-    full = [c for c in df.columns if nn[c] == n and n > 0]
-    d = stats.distinct_counts(df, full) if full else {}
-    keys = [(i, c) for i, c in enumerate(df.columns) if c in full and d[c] == n]
-    return df.sparkSession.createDataFrame(keys, "position int, column string")
+    keys = set(stats.unique_columns(df, [c for c in df.columns if nn[c] == n and n > 0]))
+    return df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(df.columns) if c in keys], "position int, column string")
 
 
 def count_rows(df: DataFrame) -> DataFrame:

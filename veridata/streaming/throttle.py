@@ -316,7 +316,9 @@ STATE_SCHEMA = "accepted array<long>, ts array<long>, ids array<long>, cost_clas
 def throttle_stream(stream: DataFrame, key: str = "user_id", ts: str = "ts", id_col: str = "event_id",
                     window_s: int = WINDOW_S, limits: dict[str, int] | None = None,
                     cost_class: str | None = None, watermark: str | None = None) -> DataFrame:
-    """Streaming form: the decisions of the batch, however the events are ordered on arrival.
+    """Streaming form: with a ``watermark`` (a delay) the decisions of the batch, however the events
+    are ordered on arrival within it. Without one events are taken to arrive in time order and
+    are decided in their micro-batch.
 
     An event waits in its key's state until the watermark has passed its time: Spark drops what
     arrives behind the watermark (our stated policy), so nothing can come before it any more. It
@@ -348,7 +350,7 @@ def throttle_stream(stream: DataFrame, key: str = "user_id", ts: str = "ts", id_
                 state.remove()
             return
         rows.sort()
-        due = sum(t <= now_ms * 1000 for t, _ in rows)
+        due = sum(t <= now_ms * 1000 for t, _ in rows) if watermark else len(rows)
         accepted = ring(limits, cls, times)
         decisions = [step(accepted, int(t), window_us) for t, _ in rows[:due]]
         left = rows[due:]

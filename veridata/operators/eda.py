@@ -11,12 +11,13 @@ from __future__ import annotations
 import math
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import compat as C
-from . import stats
+from . import gram, stats
 
 DIGITS = 6
 
@@ -179,8 +180,12 @@ def category_distributions(df: DataFrame, categorical: list[str] | None = None)
     return stats.value_counts_long(df, categorical)
 
 
+# numeric columns up to which each pair is an aggregate of its own
+WIDE = 32
+
+
 # ── AG8 / AG9 / CH5 ─────────────────────────────────────────────────────────
-def correlation(df: DataFrame, digits: int = 3) -> DataFrame:
+def correlation(df: DataFrame, digits: int = 3, blocks: bool | None = None) -> DataFrame:
     """Pearson r over pairwise-complete rows, long form (a, b, r) with i < j.
 
     Two scans, no shuffle. Pass 1: count, mean (the shift), min/max
@@ -188,13 +193,16 @@ def correlation(df: DataFrame, digits: int = 3) -> DataFrame:
     codegen-friendly aggregates. Columns without nulls share their
     per-column sums; only pairs involving a column with nulls get their own
     masked sums. Shifting by the mean keeps the sums well conditioned.
-    Zero variance reports 0.
+    Zero variance reports 0. Above ``WIDE`` columns the sums of all pairs come from
+    products of column blocks instead (``gram.correlations``); ``blocks`` asks for one way.
     """
     df = C.nan_to_null(df)
     num = C.numeric_columns(df)
     schema = "i int, j int, col_a string, col_b string, r double"
     if len(num) < 2:
         return _spark(df).createDataFrame([], schema)
+    if blocks or blocks is None and len(num) > WIDE:
+        return _wide_correlation(df, num, digits)
     x = {c: C.col(c).cast("double") for c in num}
     p1 = []
     for k, c in enumerate(num):
@@ -239,6 +247,18 @@ def correlation(df: DataFrame, digits: int = 3) -> DataFrame:
     return out.withColumn("r", C.rnd(F.coalesce(F.col("r"), F.lit(0.0)), digits))
 
 
+def _wide_correlation(df: DataFrame, num: list[str], digits: int) -> DataFrame:
+    rows = df.select(F.array(*[C.col(c).cast("double") for c in num]).alias("x"))
+    _, (count, total, low, high, infinite) = gram.column_facts(rows, len(num))
+    keep = [k for k in range(len(num)) if count[k] and low[k] != high[k]]
+    if len(keep) < 2:
+        return _spark(df).createDataFrame([], "i int, j int, col_a string, col_b string, r double")
+    # a column with infinite values has no correlation; as a gap it leaves the others as they are
+    shift = [math.nan if infinite[k] else total[k] / count[k] for k in keep]
+    out = gram.correlations(rows, keep, np.array(shift), [num[k] for k in keep])
+    return out.withColumn("r", C.rnd("r", digits))
+
+
 def correlation_matrix_long(df: DataFrame) -> DataFrame:
     """Heat-map input: the full square (diagonal 1 and both triangles)."""
     pairs = correlation(df)

@@ -130,6 +130,19 @@ def q_corr(spark, d):
     return eda.correlation(table(spark, d, "lineitem")).select("col_a", "col_b", "r")
 
 
+def _corr_nulls_sql() -> str:
+    cols = [c for c, t in G.DIRTY if t in G.NUMERIC]
+    return G.union([
+        f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(CASE WHEN corr({a}, {b}) IS NULL OR isnan(corr({a}, {b})) THEN 0 "
+        f"ELSE corr({a}, {b}) END, 3) + 0.0 AS r FROM dirty" for i, a in enumerate(cols) for b in cols[i + 1:]])
+
+
+@register("eda_corr_nulls", dirty_cte(_corr_nulls_sql()))
+def q_corr_nulls(spark, d):
+    """Columns with gaps, by block products."""
+    return eda.correlation(dirty(spark, d), blocks=True).select("col_a", "col_b", "r")
+
+
 @register("eda_corr_top", "SELECT rank, col_a, col_b, r FROM (SELECT *, row_number() OVER "
           "(ORDER BY abs(r) DESC, i, j) AS rank FROM (" + _corr_sql() + ")) WHERE rank <= 5")
 def q_corr_top(spark, d):

@@ -46,6 +46,26 @@ def q_ml_linear(spark, d):
     return _result(spark, res)
 
 
+# Least-norm coefficients of y on x and all levels of a two-level category: the levels share
+# the difference that an ordinary fit of one level gives, with opposite signs.
+_LEAST_NORM_SQL = """
+WITH t AS (SELECT l_extendedprice AS y, l_quantity AS x, (l_linestatus = 'O')::INT::DOUBLE AS o FROM lineitem
+           WHERE l_extendedprice IS NOT NULL AND l_quantity IS NOT NULL AND l_linestatus IS NOT NULL),
+m AS (SELECT avg(y) AS my, avg(x) AS mx, avg(o) AS mo, var_pop(x) AS vx, var_pop(o) AS vo, covar_pop(x, o) AS xo,
+             covar_pop(x, y) AS xy, covar_pop(o, y) AS oy FROM t),
+b AS (SELECT *, (xy * vo - oy * xo) / (vx * vo - xo * xo) AS bx, (oy * vx - xy * xo) / (vx * vo - xo * xo) AS bo FROM m)
+SELECT 'intercept' AS name, round(my - bx * mx - bo * mo + bo / 2, 3) AS value FROM b
+UNION ALL SELECT 'l_quantity', round(bx, 3) FROM b
+UNION ALL SELECT 'l_linestatus_F', round(-bo / 2, 3) FROM b
+UNION ALL SELECT 'l_linestatus_O', round(bo / 2, 3) FROM b"""
+
+
+@register("ml_least_norm", _LEAST_NORM_SQL)
+def q_ml_least_norm(spark, d):
+    out = M.least_squares(table(spark, d, "lineitem"), ["l_quantity", "l_linestatus"], "l_extendedprice")
+    return out.select("name", C.rnd("value", 3).alias("value"))
+
+
 @register("ml_logistic")
 def q_ml_logistic(spark, d):
     res = M.train(table(spark, d, "lineitem"), "logistic",

@@ -31,7 +31,7 @@ def test_bounded_distinct_is_exact_up_to_the_bound(spark, n):
 
 
 def test_values_of_one_hash_count_apart(spark, monkeypatch):
-    monkeypatch.setattr(stats, "_hashed", lambda value: F.substring(value, 1, 2))  # "=1" for 1, 10, 11 ...
+    monkeypatch.setattr(stats, "_hashed", lambda value: F.substring(value, 1, 1))  # "1" for 1, 10, 11 ...
     assert stats.bounded_distinct(few(spark, 30), ["s"], 50) == {"s": 30}
     assert stats.bounded_distinct(few(spark, 60), ["s"], 50) == {"s": 51}
 

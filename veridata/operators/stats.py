@@ -9,12 +9,15 @@ from __future__ import annotations
 import math
 import sys
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import compat as C
 from ..functions.scratch import stage
+from . import gram
 
 
 def _safe(i: int) -> str:
@@ -166,12 +169,16 @@ def column_facts(df: DataFrame) -> dict:
     }
 
 
-def _as_text(f: T.StructField) -> F.Column:
-    """A value as text that is never empty; equal values (0.0 and -0.0) give equal text."""
+def _plain(f: T.StructField) -> F.Column:
+    """A value in a plain type; equal values (0.0 and -0.0) are equal there too."""
     x = C.col(f.name)
+    if isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)):
+        return x.cast("long")
     if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
-        x = x + F.lit(0.0)
-    return F.concat(F.lit("="), x.cast("string"))
+        return x.cast("double") + F.lit(0.0)
+    if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return F.unix_micros(x.cast("timestamp"))
+    return x.cast("string")
 
 
 def bounded_distinct(df: DataFrame, cols: list[str], most: int) -> dict[str, int]:
@@ -187,21 +194,28 @@ def bounded_distinct(df: DataFrame, cols: list[str], most: int) -> dict[str, int
         return {}
     fields = {f.name: f for f in df.schema.fields}
     entries = max(4, (most + 1 - 1).bit_length())
-    row = df.agg(*[F.theta_sketch_estimate(F.theta_sketch_agg(_hashed(_as_text(fields[c])), entries)).alias(_safe(i))
+    row = df.agg(*[F.theta_sketch_estimate(F.theta_sketch_agg(_sketched(fields[c]), entries)).alias(_safe(i))
                    for i, c in enumerate(cols)]).first()
     few = [c for i, c in enumerate(cols) if int(row[_safe(i)]) <= most]
     out = {c: most + 1 for c in cols}
     if few:
-        row = df.agg(*[F.size(F.collect_set(_as_text(fields[c]))).alias(_safe(i)) for i, c in enumerate(few)]).first()
+        row = df.agg(*[F.size(F.collect_set(_plain(fields[c]))).alias(_safe(i)) for i, c in enumerate(few)]).first()
         out.update({c: min(int(row[_safe(i)]), most + 1) for i, c in enumerate(few)})
     return out
 
 
 def _hashed(value: F.Column) -> F.Column:
-    """What the sketches of ``bounded_distinct`` hash."""
+    """What the sketches of ``bounded_distinct`` hash; as they skip the empty text, it is given
+    another one (which may be a value too: the second scan tells them apart)."""
     return value
 
 
+def _sketched(f: T.StructField) -> F.Column:
+    value = _plain(f)
+    plain = not isinstance(f.dataType, (*C.NUMERIC_TYPES, T.BooleanType, *C.TIME_TYPES)) or isinstance(f.dataType, T.DecimalType)
+    return _hashed(F.when(value == "", "\0").otherwise(value) if plain else value)
+
+
 SAMPLE = 10_000
 
 
@@ -440,14 +454,40 @@ def _settle(rows: DataFrame, bands: list[dict], found: dict) -> None:
         bands = _narrow(rows, bands, found) if bands else bands
 
 
+def _between(batches, spans: list[np.ndarray], numbers: list[int]):
+    """Rows ``(x)`` -> rows ``(c, slot, v, n)``: for every column the values inside its spans with
+    their counts, a batch at a time, and how many lie between spans (v null) at the end. Span j
+    is slot 2 j + 1, the gap before it 2 j."""
+    edges = [np.stack([s[:, 0], np.nextafter(s[:, 1], np.inf)], axis=1).ravel() for s in spans]
+    gaps = [np.zeros(len(e) + 1, np.int64) for e in edges]
+    names = ["c", "slot", "v", "n"]
+    for batch in batches:
+        for at in range(0, batch.num_rows, 65_536):
+            x = gram.matrix(batch.column(0).slice(at, 65_536))
+            for k, no in enumerate(numbers):
+                v = x[:, k][~np.isnan(x[:, k])] + 0.0  # -0.0 and 0.0 are one value
+                slot = np.searchsorted(edges[k], v, side="right")
+                gaps[k] += np.bincount(slot, minlength=len(gaps[k]))
+                inside = slot % 2 == 1
+                values, first, n = np.unique(v[inside], return_index=True, return_counts=True)
+                if len(values):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(values), no, np.int32)), pa.array(slot[inside][first].astype(np.int32)), pa.array(values),
+                         pa.array(n)], names=names)
+    for k, no in enumerate(numbers):
+        slots = np.flatnonzero((gaps[k] > 0) & (np.arange(len(gaps[k])) % 2 == 0)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slots), no, np.int32)), pa.array(slots),
+                                          pa.array([None] * len(slots), pa.float64()), pa.array(gaps[k][slots])], names=names)
+
+
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
                     exprs: dict | None = None) -> dict[str, list[float | None]]:
     """Exact linear-interpolation quantiles of any number of columns in two scans.
 
     The first scan merges one KLL sketch a column, which brackets the value of every
     probability. The second counts the values between the brackets and, by value, those
-    inside; it is one aggregation, combined before its shuffle, so a value that a third
-    of the rows share is one row, and what it writes is a small share of the distinct values.
+    inside, combined before their shuffle, so a value that a third of the rows share is one
+    row, and what is written is a small share of the distinct values.
     From there the ranks are read off; a bracket that still holds more than its share of
     ``FETCH_LIMIT`` rows is narrowed by histograms of these rows. Should a rank lie outside
     its bracket, the gap it lies in is narrowed on all rows. No task ever holds a column.
@@ -460,7 +500,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
     x = {c: (exprs[c] if exprs and c in exprs else C.col(c)).cast("double") for c in cols}
     facts = _brackets(df, x, probs)
     found: dict[tuple, float] = {}
-    wanted, items = {}, []
+    wanted, edges = {}, {}
     for i, c in enumerate(cols):
         f = facts[c]
         last = f["n"] - 1
@@ -470,18 +510,11 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
         found.update({(i, k): f["min"] for k in ranks if (i, k) not in found and f["min"] == f["max"]})
         wanted[i] = [k for k in ranks if (i, k) not in found]
         if wanted[i]:
-            v = x[c] + F.lit(0.0)  # -0.0 and 0.0 are one value
-            slot, inside = F.lit(2 * len(f["spans"])), F.lit(False)
-            for j, (lo, hi) in reversed(list(enumerate(f["spans"]))):
-                slot = F.when(v < F.lit(lo), 2 * j).when(v <= F.lit(hi), 2 * j + 1).otherwise(slot)
-                inside = inside | v.between(F.lit(lo), F.lit(hi))
-            items.append(F.when(v.isNotNull() & ~F.isnan(v), F.struct(
-                F.lit(i).alias("c"), slot.cast("int").alias("slot"), F.when(inside, v).alias("v"))))
-    if items:
-        # an array of one item needs no explode
-        points = df.select(items[0].alias("p")) if len(items) == 1 else df.select(F.explode(F.array(*items)).alias("p"))
-        rows = stage(points.where(F.col("p").isNotNull()).groupBy("p.c", "p.slot", "p.v").agg(F.count(F.lit(1)).alias("n")),
-                     "quantile-brackets")
+            edges[i] = np.array(f["spans"])
+    if edges:
+        held = df.select(F.array(*[x[cols[i]] for i in edges]).alias("x"))
+        rows = stage(held.mapInArrow(lambda it: _between(it, list(edges.values()), list(edges)), "c int, slot int, v double, n long")
+                     .groupBy("c", "slot", "v").agg(F.sum("n").alias("n")), "quantile-brackets")
         slots = rows.groupBy("c", "slot").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"), F.min("v").alias("lo"),
                                               F.max("v").alias("hi")).collect()
         bands, outside = [], []

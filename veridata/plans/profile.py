@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import compat as C
+from ..functions.spread import shared
 from ..operators import stats
 
 PROFILE_SCHEMA = T.StructType([
@@ -43,7 +44,11 @@ ROUNDED = ["mean", "std", "min", "q1", "median", "q3", "max"]
 
 
 def profile(df: DataFrame, exact: bool = True, digits: int = 6) -> DataFrame:
-    df = C.nan_to_null(df)
+    with shared(C.nan_to_null(df)) as rows:
+        return _profile(rows, exact, digits)
+
+
+def _profile(df: DataFrame, exact: bool, digits: int) -> DataFrame:
     fields = df.schema.fields
     cols = [f.name for f in fields]
     num = [f.name for f in fields if C.is_numeric(f.dataType)]

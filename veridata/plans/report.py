@@ -6,11 +6,11 @@ results are combined here.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import compat as C
+from ..functions.spread import shared
 
 from ..operators import clean as CL
 from ..operators import eda, models, quality
@@ -37,8 +37,7 @@ def eda_bundle(df: DataFrame) -> DataFrame:
     """The EDA tab: every section reads the same input, so it is persisted
     once (MEMORY_AND_DISK) and released after the small results are taken."""
     spark = df.sparkSession
-    src = C.nan_to_null(df).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    with shared(C.nan_to_null(df), always=True) as src:
         ov = eda.overview(src).first()
         types = column_types(src)
         rows = ([("overview", k, ov[k]) for k in ("rows", "columns", "null_cells")]
@@ -58,8 +57,6 @@ def eda_bundle(df: DataFrame) -> DataFrame:
         for p in parts:
             rows += [tuple(r) for r in p.collect()]
         return _rows(spark, rows)
-    finally:
-        src.unpersist()
 
 
 def report(df: DataFrame) -> DataFrame:
@@ -68,8 +65,7 @@ def report(df: DataFrame) -> DataFrame:
     reads it; each section's small result is collected, then the input is
     released and the rows are returned as a new frame."""
     spark = df.sparkSession
-    src = C.nan_to_null(df).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    with shared(C.nan_to_null(df), always=True) as src:
         cl = CL.clean(src)
         # step 3 of the default cleaning tests exactly what "mistyped" tests
         facts = quality._facts(src, [c for c in C.text_columns(src) if c in (cl.kinds or {})])
@@ -96,5 +92,3 @@ def report(df: DataFrame) -> DataFrame:
         for res in models.auto_model(src):
             rows += [("model", f"{res.model}.{m}", v) for m, v in res.metrics]
         return _rows(spark, rows)
-    finally:
-        src.unpersist()

@@ -272,9 +272,11 @@ def replay(df: DataFrame, key: str = "user_id", ts: str = "ts", id_col: str = "e
     known, header = F.lit(None).cast("array<long>").alias("known"), F.lit(False).alias("header")
     chunks = rounds = replayed = 0
     if split_idle:
-        plan = stage(bucket_plan(limited, window_us, chunk_events), "throttle-buckets")
+        plan, most = bucket_plan(limited, window_us, chunk_events), 0
+        if limited.count() > chunk_events:  # else no key has more than one chunk
+            plan = stage(plan, "throttle-buckets")
+            most = plan.agg(F.max("chunks")).first()[0] or 0
         marked = _bucketed(limited, window_us).join(plan, ["key", "bucket"])
-        most = plan.agg(F.max("chunks")).first()[0] or 0
     else:
         marked, most = limited.withColumn("seg", F.lit(0).cast("long")).withColumn("chunk", F.lit(0)), 0
     if most > 1:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import functions as F
@@ -17,10 +16,7 @@ from .views import TABLES, table
 
 def _scratch(spark) -> str:
     """A fresh folder under the session's shared checkpoint directory."""
-    base = ensure_checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[5:]
-    return os.path.join(base, "scratch-" + uuid.uuid4().hex)
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
 
 
 def _register_views(spark, d):
@@ -140,10 +136,10 @@ def q_preview(spark, d):
     return TB.preview(table(spark, d, "lineitem"), 10)
 
 
-@register("intake_guard", "SELECT * FROM lineitem")
+@register("intake_guard", "SELECT *, (SELECT count(*) FROM lineitem) > 50000 AS over_limit FROM lineitem")
 def q_guard(spark, d):
-    df, _ = TB.guard(table(spark, d, "lineitem"), max_rows=50_000, max_cols=1_000)
-    return df
+    df, over = TB.guard(table(spark, d, "lineitem"), max_rows=50_000, max_cols=1_000)
+    return df.withColumn("over_limit", F.lit(over))
 
 
 _COLS = {"region": 2, "nation": 3, "customer": 5, "supplier": 4, "part": 6, "orders": 6, "lineitem": 11,

@@ -91,6 +91,50 @@ def q_sentiment(spark, d):
     return TX.sentiment(docs, train)
 
 
+_RELIABILITY_SQL = """
+SELECT bin, n, round(m, 6) AS mean_score, round(s, 6) AS share, round(abs(m - s), 6) AS gap FROM (
+  SELECT CAST(least(floor(p * 10), 9) AS INT) AS bin, count(*) AS n, avg(p) AS m, avg(l) AS s
+  FROM (SELECT l_discount * 10 AS p, CASE WHEN l_tax * 100 < l_discount * 80 THEN 1.0 ELSE 0.0 END AS l FROM lineitem
+        WHERE l_discount * 10 <= 1) GROUP BY 1)"""
+
+
+@register("score_reliability", _RELIABILITY_SQL)
+def q_reliability(spark, d):
+    """Reliability bins of a score against what happened."""
+    p = F.col("l_discount") * 10
+    rows = table(spark, d, "lineitem").where(p <= 1).select(
+        p.alias("score"), F.when(F.col("l_tax") * 100 < F.col("l_discount") * 80, 1.0).otherwise(0.0).alias("label"))
+    return TX.reliability(rows)
+
+
+@register("sentiment_reliability")
+def q_sentiment_reliability(spark, d):
+    """How the calibrated scores of documents that the model has not seen match their labels."""
+    train = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    return TX.reliability(TX.fit_sentiment(train).out_of_fold)
+
+
+_TAGS_SQL = """
+SELECT c_custkey // 10 AS doc_id, 'B-' || CASE c_custkey % 5 WHEN 0 THEN 'PER' WHEN 1 THEN 'ORG' WHEN 2 THEN 'ORG' WHEN 3 THEN 'LOC'
+       ELSE 'EVT' END AS tag, c_name AS word, c_custkey % 7 / 8.0 AS score FROM {customer}"""
+
+
+@register("entity_groups", "WITH t AS (" + _TAGS_SQL.format(customer="customer") + """),
+best AS (SELECT doc_id, substr(tag, 3) AS type, word AS form, max(score) AS score FROM t GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, type ORDER BY score DESC, form) AS rank FROM best),
+kept AS (SELECT * FROM ranked WHERE rank <= 15),
+sizes AS (SELECT doc_id, type, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, type) AS group_no FROM kept
+          GROUP BY doc_id, type)
+SELECT doc_id, CAST(group_no AS INT) AS group_no, CASE type WHEN 'PER' THEN 'Personas' WHEN 'ORG' THEN 'Organizaciones'
+       WHEN 'LOC' THEN 'Lugares' WHEN 'MISC' THEN 'Misceláneo' ELSE type END AS label, CAST(rank AS INT) AS rank, form,
+       CAST(score AS DOUBLE) AS score
+FROM kept JOIN sizes USING (doc_id, type)""")
+def q_entity_groups(spark, d):
+    """Tags of the customers' names, ten a document, as a tagger would give them."""
+    sql = _TAGS_SQL.replace("//", "DIV").replace("% 7 / 8.0", "% 7 / 8D")
+    return TX.entity_groups(spark.sql(sql, customer=table(spark, d, "customer")))
+
+
 # ── pages ───────────────────────────────────────────────────────────────────
 @register("page_text")
 def q_page_text(spark, d):

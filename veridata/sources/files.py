@@ -7,7 +7,6 @@ then applied by a single ``select``: the scan stays split across tasks.
 
 from __future__ import annotations
 
-import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,28 +68,40 @@ def infer_types(df: DataFrame) -> DataFrame:
     return df.select(out)
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",", multi_line: bool = False) -> DataFrame:
-    """``multi_line`` reads line breaks inside quotes; each file is then one task,
-    since a file cannot be split where a quote may be open."""
+def breaks_in_quotes(spark: SparkSession, path: str) -> bool:
+    """Whether a line holds an odd number of quotes: then a value goes on in the next line."""
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    return spark.read.text(path).where(quotes % 2 == 1).limit(1).count() > 0
+
+
+def read_csv(spark: SparkSession, path: str, sep: str = ",", multi_line: bool | None = None) -> DataFrame:
+    """``multi_line`` reads line breaks inside quotes; each file is then one task, since a file
+    cannot be split where a quote may be open. By default it is used where the files need it
+    (see ``breaks_in_quotes``), so no row breaks silently."""
+    if multi_line is None:
+        multi_line = breaks_in_quotes(spark, path)
     raw = (spark.read.option("header", True).option("sep", sep).option("inferSchema", False)
            .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
            .option("mode", "PERMISSIVE").csv(path))
     return infer_types(null_tokens_to_null(raw))
 
 
-def read_tsv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def read_tsv(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
     return read_csv(spark, path, "\t", multi_line)
 
 
-def _key_order(spark: SparkSession, path: str) -> list[str]:
-    """Top-level keys of a JSON object file in document order (Spark sorts them)."""
+def _key_order(spark: SparkSession, path: str, key: str | None = None) -> list[str]:
+    """Keys of the JSON objects of all files, or of the first object of their list ``key``, in
+    document order (Spark sorts them): those of the first file, then new ones of the next."""
     txt = spark.read.option("wholetext", True).text(path)
-    row = txt.select(F.json_object_keys(F.col("value")).alias("k")).first()
-    return list(row["k"] or []) if row else []
+    value = F.col("value") if key is None else F.get_json_object("value", f"$['{key}'][0]")
+    keys = txt.select(F.col("_metadata.file_path").alias("f"), F.posexplode(F.json_object_keys(value)).alias("i", "k"))
+    first = keys.groupBy("k").agg(F.min(F.struct("f", "i")).alias("at")).orderBy("at").collect()
+    return [r["k"] for r in first]
 
 
 def read_json(spark: SparkSession, path: str, find_list: bool = True) -> DataFrame:
-    """JSON document → rows.
+    """JSON documents, one a file → rows. Keys are those of all files.
 
     Root list: one row per element. Root object: with ``find_list``, the
     first key (document order) holding a non-empty list of objects is
@@ -115,20 +126,12 @@ def read_json(spark: SparkSession, path: str, find_list: bool = True) -> DataFra
                     isinstance(f.dataType.elementType, T.StructType):
                 inner = df.select(F.explode(C.col(k)).alias("_r")).select("_r.*")
                 if inner.limit(1).count():
-                    order = _inner_key_order(spark, path, k)
+                    order = _key_order(spark, path, k)
                     return inner.select([C.col(c) for c in order if c in inner.columns] +
                                         [C.col(c) for c in inner.columns if c not in order])
     return df.select([C.col(c) for c in keys if c in df.columns])
 
 
-def _inner_key_order(spark: SparkSession, path: str, key: str) -> list[str]:
-    txt = spark.read.option("wholetext", True).text(path)
-    first = txt.select(F.get_json_object("value", f"$.{key}[0]").alias("o")).first()
-    if not first or first["o"] is None:
-        return []
-    return list(json.loads(first["o"]).keys())
-
-
 def read_any(spark: SparkSession, path: str) -> DataFrame:
     ext = os.path.splitext(path)[1].lower()
     if ext == ".csv":

@@ -197,11 +197,36 @@ def page_tables(pages: DataFrame) -> DataFrame:
                             out["col_no"].append(j)
                             out["header"].append(names[j])
                             out["cell"].append(r[j] if j < len(r) else None)
-            yield pd.DataFrame(out)
+            if out["page_id"]:
+                yield pd.DataFrame(out)
     schema = "page_id long, table_no int, row_no int, col_no int, header string, cell string"
     return pages.select("page_id", "html").mapInPandas(run, schema)
 
 
+def first_table(pages: DataFrame, page_id: int) -> tuple[int, DataFrame] | None:
+    """(number, rows) of a page's first valid table, a column per header; None without one."""
+    cells = page_tables(pages.where(F.col("page_id") == page_id))
+    heads = cells.where("row_no = 0").groupBy("table_no").agg(
+        F.sort_array(F.collect_list(F.struct("col_no", "header"))).alias("h")).orderBy("table_no").first()
+    if heads is None:
+        return None
+    names, no = [h["header"] for h in heads["h"]], heads["table_no"]
+    wide = cells.where(F.col("table_no") == no).groupBy("row_no").pivot("col_no", list(range(len(names)))).agg(F.first("cell"))
+    return no, wide.orderBy("row_no").drop("row_no").toDF(*[
+        n if names[:i].count(n) == 0 else f"{n}_{names[:i].count(n) + 1}" for i, n in enumerate(names)])
+
+
+def save_first_table(pages: DataFrame, page_id: int) -> str | None:
+    """Keep a page's first valid table as the view ``Web:<page>_t<number>``; its name."""
+    from .tables import save_view
+    found = first_table(pages, page_id)
+    if found is None:
+        return None
+    url = pages.where(F.col("page_id") == page_id).select("url").first()["url"] or ""
+    base = url.split("?")[0].rsplit("/", 1)[-1] or "web_data"
+    return save_view(found[1], f"Web:{base}_t{found[0]}")
+
+
 def table_counts(long_tables: DataFrame) -> DataFrame:
     """(page_id, table_no, rows, cols) from the long form."""
     return long_tables.groupBy("page_id", "table_no").agg(

@@ -96,6 +96,9 @@ def source_type(name: str) -> str:
     return (kinds + [SOURCE_DEFAULT])[0]
 
 
+OTHER_NODES = r"\b(Filter|Join|Aggregate|Limit|Generate|Union|Sample|Window|Distinct|LocalRelation|Range|LogicalRDD)\b"
+
+
 def _cell_bytes(field: T.StructField) -> Column:
     """About what a cell takes: the bytes of a text, eight for each item of an array, eight for the rest."""
     x = C.col(field.name)
@@ -106,17 +109,32 @@ def _cell_bytes(field: T.StructField) -> Column:
     return F.lit(8).cast("long")
 
 
+def _file_facts(d: DataFrame) -> DataFrame | None:
+    """``(rows, bytes)`` of a view that reads files and nothing else: a count, for which no column
+    is read, and the lengths of the files. None where rows are filtered, joined or made."""
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    files = [] if re.search(OTHER_NODES, plan) else d.inputFiles()
+    if not files:
+        return None
+    sizes = d.sparkSession.read.format("binaryFile").load(files).agg(F.sum("length").alias("bytes"))
+    return d.agg(F.count(F.lit(1)).alias("rows")).join(sizes)  # one row each
+
+
 def table_inventory(spark: SparkSession, names: list[str] | None = None) -> DataFrame:
     """(name, type, rows, cols, size, status) for registered views, ordered by name.
 
-    One aggregate per view, unioned into one lazy plan (O(views) tiny rows).
+    Views over files are read off their metadata; the cells of others are measured. One
+    aggregate per view, unioned into one lazy plan (O(views) tiny rows).
     """
     names = sorted(names if names is not None else [t.name for t in spark.catalog.listTables()])
     parts = []
     for nm in names:
-        d = spark.table(nm)
-        width = sum((_cell_bytes(f) for f in d.schema.fields), F.lit(0).cast("long"))
-        parts.append(d.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).select(
+        d = spark.table(f"`{nm}`")
+        facts = _file_facts(d)
+        if facts is None:
+            width = sum((_cell_bytes(f) for f in d.schema.fields), F.lit(0).cast("long"))
+            facts = d.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes"))
+        parts.append(facts.select(
             F.lit(nm).alias("name"), F.lit(source_type(nm)).alias("type"), "rows",
             F.lit(len(d.columns)).cast("long").alias("cols"), size_text(F.col("bytes")).alias("size"),
             F.lit(SOURCE_STATUS).alias("status")))
@@ -128,6 +146,24 @@ def table_inventory(spark: SparkSession, names: list[str] | None = None) -> Data
     return out
 
 
+def save_view(df: DataFrame, name: str) -> str:
+    """Register ``df`` as a view under ``name``, with ``_2``, ``_3`` ... behind it if that is taken."""
+    spark = df.sparkSession
+    taken, free, i = {t.name.lower() for t in spark.catalog.listTables()}, name, 1
+    while free.lower() in taken:
+        i += 1
+        free = f"{name}_{i}"
+    df.createOrReplaceTempView(f"`{free}`")
+    return free
+
+
+def save_clean(df: DataFrame, base: str, options: dict | None = None):
+    """Clean ``df`` and keep the result as the view ``Limpio:<base>``: (view name, result)."""
+    from ..operators.clean import clean
+    result = clean(df, options)
+    return save_view(result.data, f"Limpio:{base}"), result
+
+
 def _cells_to_text(df: DataFrame) -> DataFrame:
     """Non-scalar cells (struct/array/map) become JSON text, as a UI would show."""
     out = []

@@ -648,6 +648,46 @@ def test_maps_and_edits(spark, tmp_path):
     assert sorted(rows_of(sharding.read_map(spark, path))) == grown and sorted(rows_of(sharding.read_map(spark, path, 0))) == old
 
 
+def test_rows_alike_are_spread(spark):
+    for hot in (7, None):  # a third of all rows are one id and one text
+        rows = [(hot if i % 3 == 0 else i, "one row again and again" if i % 3 == 0 else f"text number {i}", None, None, 1) for i in range(12_000)]
+        got = sharding.assign(documents(spark, rows).repartition(3)).collect()
+        load = check_sharding(got, 8)
+        mean = sum(load.values()) / 8
+        assert all(abs(x - mean) < 0.02 * mean for x in load.values())
+        assert max(Counter(r["virtual_slot"] for r in got).values()) < 30
+
+
+def test_the_stored_map_is_read_and_edited(spark, tmp_path):
+    rng = random.Random(5)
+    path = str(tmp_path / "map")
+    docs = documents(spark, [(i, "w" * rng.randint(1, 400) + str(i), None, None, 1) for i in range(4000)])
+    first = {r["doc_id"]: r["shard"] for r in sharding.assign(docs, 4, 512, path).collect()}
+    assert sharding.versions(spark, path) == [0, 1]  # the even map, and its edit for these bytes
+    again = {r["doc_id"]: r["shard"] for r in sharding.assign(docs, 4, 512, path).collect()}
+    assert again == first and sharding.versions(spark, path) == [0, 1]  # nothing to edit
+    old = sharding.stored_rows(spark, path, 1)
+    assert 0 < sum(shard != slot % 4 for slot, shard, _ in old) < 200
+    # growth: one version moves slots into the new shard alone, as grow does
+    grown = {r["doc_id"]: r["shard"] for r in sharding.assign(docs, 5, 512, path).collect()}
+    weights = sharding.slot_bytes(sharding.to_slots(docs, 5, 512), 512)
+    assert sharding.stored_rows(spark, path, 2) == sharding.grow(old, weights, 4)
+    assert sum(a != grown[d] for d, a in first.items()) < 0.3 * 4000 and set(grown.values()) == set(range(5))
+    # other rows: few slots move, and the written shards follow the same map
+    more = docs.union(documents(spark, [(9000 + i, "z" * 900 + str(i % 40), None, None, 1) for i in range(300)]))
+    sharding.write_shards(more, str(tmp_path / "out"), 5, 512, map_path=path)
+    last = sharding.versions(spark, path)[-1]
+    moved = sum(a[1] != b[1] for a, b in zip(sharding.stored_rows(spark, path, last - 1), sharding.stored_rows(spark, path, last)))
+    assert last > 2 and moved < 100
+    back = {r["doc_id"]: r["shard"] for r in spark.read.parquet(str(tmp_path / "out")).select("doc_id", "shard").collect()}
+    placed = {r["doc_id"]: r["shard"] for r in sharding.assign(more, 5, 512, path).collect()}
+    assert back.keys() == placed.keys() and sharding.versions(spark, path)[-1] == last
+    hot = {d for d in back if d >= 9000}
+    assert all(back[d] == placed[d] for d in back if d not in hot)
+    with pytest.raises(ValueError):
+        sharding.assign(docs, 4, 512, path)
+
+
 def test_sharding_on_odd_rows(spark, tmp_path):
     docs = documents(spark, odd_rows()).withColumn("virtual_slot", F.lit("clash"))
     got = sharding.assign(docs, 2, 64).collect()

@@ -31,7 +31,7 @@ from .common import prepare, stage
 
 GROUPS = 26
 DEEPEST = 8  # counts in the shuffle key at most
-MOST = 50_000  # points of a bucket that meet in one task
+MOST = 20_000  # points of a bucket that meet in one task
 CHUNK = 60_000  # rows that one search takes
 FRONTIER = 400_000  # node pairs of the search that are expanded at once
 PAIRS = 400_000  # word pairs that are verified at once

@@ -114,14 +114,21 @@ SELECT event_id, user_id, ts, coalesce(value, fv) AS value, coalesce(event_type,
 
 
 for _num, _cat, _key in [("median", "mode", "clean_fill_median"), ("mean", "mode", "clean_fill_mean"),
-                         ("zero", "mode", "clean_fill_zero"), ("median", "mode", "clean_fill_mode"),
-                         ("median", "unknown", "clean_fill_unknown")]:
+                         ("zero", "mode", "clean_fill_zero"), ("median", "unknown", "clean_fill_unknown")]:
     def _fn(spark, d, _num=_num, _cat=_cat):
         return CL.clean(dirty(spark, d), _only(null_strategy="fill", null_fill_numeric=_num,
                                                null_fill_categorical=_cat)).data
     register(_key, _fill_sql(_num, _cat))(_fn)
 
 
+@register("clean_fill_mode", dirty_cte("""
+SELECT event_id, coalesce(event_type, (SELECT event_type FROM dirty WHERE event_type IS NOT NULL GROUP BY 1
+                                       ORDER BY count(*) DESC, event_type LIMIT 1)) AS event_type FROM dirty"""))
+def q_clean_fill_mode(spark, d):
+    """The mode alone: a frame without a number to fill."""
+    return CL.clean(dirty(spark, d).select("event_id", "event_type"), _only(null_strategy="fill", null_fill_categorical="mode")).data
+
+
 @register("clean_drop_rows", dirty_cte(f"SELECT * FROM dirty WHERE " + " AND ".join(
     f"{c.strip()} IS NOT NULL" for c in _ALL.split(","))))
 def q_clean_drop_rows(spark, d):

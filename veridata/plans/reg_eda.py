@@ -80,11 +80,11 @@ def q_nulls(spark, d):
 
 
 @register("eda_outlier_values",
-          "WITH f AS (SELECT quantile_cont(l_extendedprice, 0.25) AS a, quantile_cont(l_extendedprice, 0.75) AS b "
-          "FROM lineitem) SELECT l_extendedprice AS value FROM lineitem, f "
-          "WHERE l_extendedprice < a - 1.5 * (b - a) OR l_extendedprice > b + 1.5 * (b - a)")
+          "WITH f AS (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b "
+          "FROM events) SELECT value FROM events, f "
+          "WHERE value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a)")
 def q_outlier_values(spark, d):
-    return eda.outliers(table(spark, d, "lineitem"), "l_extendedprice")
+    return eda.outliers(table(spark, d, "events"), "value")
 
 
 @register("eda_outlier_counts", "SELECT *, round(outliers * 100.0 / (SELECT count(*) FROM lineitem), 1) AS pct "

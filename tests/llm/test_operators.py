@@ -233,21 +233,68 @@ def test_matches_brute_force(spark):
                 part[at:at + 1] = rng.choice([[], ["x"], [part[at], "y"]])
             text.insert(5, "".join(part))
         docs.append((d, " ".join(text)))
-    options = {"q": 5, "window": 40, "step": 10, "edit_rate": 0.1}
-    want = set()
+    options = {"q": 5, "window": 40, "edit_rate": 0.1}
+    want = {}
     for d, text in docs:
         for i, item in items:
             t, p = decontaminate.normal(text), decontaminate.normal(item)
-            if len(p) >= 5 and any(sellers(p[s:s + n], t) <= decontaminate.budget(n, 0.1, 5) for s, n in decontaminate.windows(len(p), 40, 10)):
-                want.add((d, i))
+            n = min(40, len(p))
+            best = min((sellers(p[s:s + n], t), s) for s in range(len(p) - n + 1))
+            if n >= 5 and best[0] <= min(n // 10, (n - 5) // 5):
+                want[d, i] = best
     got = decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"),
                                 spark.createDataFrame(items, "item_id long, text string"), **options)
-    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want and 10 < len(want) < 40
+    assert {(r["doc_id"], r["item_id"]): (r["edits"], r["window_start"]) for r in got.collect()} == want and 10 < len(want) < 40
     blocks = decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"),
                                    spark.createDataFrame(items, "item_id long, text string"), block_chars=100, **options)
     assert sorted(rows_of(blocks)) == sorted(rows_of(got))
 
 
+def test_long_items_in_pieces(spark, monkeypatch):
+    rng = random.Random(4)
+    item = "".join(rng.choices("abcdefgh", k=700))
+    docs = spark.createDataFrame([(s, "x" * 20 + item[s:s + 100] + "y" * 20) for s in range(0, 601, 60)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    whole = sorted(rows_of(decontaminate.matches(docs, bench)))
+    assert [r[:3] + r[5:] for r in whole] == [(s, 1, s, 0) for s in range(0, 601, 60)]
+    monkeypatch.setattr(decontaminate, "ITEM_PIECE", 150)
+    assert sorted(rows_of(decontaminate.matches(docs, bench, block_chars=200))) == whole
+
+
+def test_passages_at_every_place():
+    """Passages of 100 to 116 characters with up to 8 edits, from every place of a long item."""
+    rng = random.Random(5)
+    item = decontaminate.normal(" ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 8))) for _ in range(90)))
+    index = decontaminate.Index([(1, item)], 8, 100, 1, 0.08)
+    for at in range(len(item) - 116):
+        size, edits = rng.randint(100, 116), rng.randint(0, 8)
+        part = list(item[at:at + size])
+        for place in rng.sample(range(size), edits):
+            part[place] = rng.choice(["", "z", part[place] + "z"])
+        text = "y" * rng.randint(0, 90) + "".join(part) + "y" * 50
+        (_, start, _, _, found), = index.matches(np.frombuffer(text.encode("utf-32-le"), np.uint32))
+        assert found <= edits and abs(start - at) <= 24
+
+
+def test_band_equals_the_whole_rectangle():
+    rng = np.random.default_rng(3)
+    for most in (0, 1, 3, 8):
+        m, width = 30, 2 * most + 2
+        patterns = rng.integers(0, 3, (40, m), dtype=np.uint32)
+        texts = rng.integers(0, 3, (40, m + width - 1), dtype=np.uint32)
+        for r in range(0, 40, 2):  # near copies: a few places changed along a diagonal
+            d = rng.integers(0, width)
+            texts[r, d:d + m] = patterns[r]
+            texts[r, rng.integers(0, m + width - 1, most)] = 2
+        # a path that leaves the band by its edits is more than `most` off its diagonals
+        got = decontaminate.band_edits(patterns, texts, most)
+        for r in range(40):
+            least = sellers(patterns[r].tolist(), texts[r].tolist())
+            assert got[r] >= min(least, most + 1)
+            if r % 2 == 0 or least > most:
+                assert got[r] == min(least, most + 1)
+
+
 def test_matches_over_pieces(monkeypatch):
     rng = random.Random(9)
     item = " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(40))

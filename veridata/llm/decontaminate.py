@@ -139,7 +139,7 @@ class Sieve:
         full = np.flatnonzero(at[n - 1:] - at[:len(at) - n + 1] <= self.span)
         if not len(full):
             return []
-        low, high = np.maximum(at[full] - self.margin, 0), at[full] + self.span + self.margin
+        low, high = np.maximum(at[full] - self.margin, 0), at[full] + self.margin + self.q
         new = np.append(True, low[1:] > high[:-1])
         first = np.flatnonzero(new)
         last = np.append(first[1:] - 1, len(full) - 1)
@@ -164,15 +164,30 @@ class Index:
         place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else item
         self.item, self.place = item[order], place[order]
         self.keys, self.first, self.count = np.unique(all_[order], return_index=True, return_counts=True)
+        self.least = min((int(n) for n, s in zip(self.need, sizes) if s), default=1)
+        self.span = max((s + budget(s, rate, q) for s in sizes), default=1)
+        self.shift = np.uint64(64 - min(24, max(16, (16 * len(self.keys)).bit_length())))
+        self.bits = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.bits[(self.keys >> self.shift).astype(np.int64)] = True
 
     def hits(self, codes: np.ndarray) -> tuple[np.ndarray, ...]:
-        """``(item, document place, item place)`` of all shared q-grams."""
+        """``(item, document place, item place)`` of the shared q-grams in dense stretches."""
+        none = (np.empty(0, np.int64),) * 3
         h = _hashes(codes, self.q)
-        if not len(self.keys) or not len(h):
-            return (np.empty(0, np.int64),) * 3
-        slot = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        at = np.flatnonzero(self.keys[slot] == h)
-        slot = slot[at]
+        at = np.flatnonzero(self.bits[(h >> self.shift).view(np.int64)])
+        if not len(self.keys) or len(at) < self.least:
+            return none
+        slot = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
+        same = self.keys[slot] == h[at]
+        at, slot, n = at[same], slot[same], self.least
+        full = np.flatnonzero(at[n - 1:] - at[:max(0, len(at) - n + 1)] <= self.span)
+        if not len(full):
+            return none
+        # from the first hit of each dense stretch to the last one within the span
+        last = np.searchsorted(at, at[full] + self.span, side="right")
+        marks = np.bincount(full, minlength=len(at) + 1) - np.bincount(last, minlength=len(at) + 1)
+        keep = np.cumsum(marks)[:-1] > 0
+        at, slot = at[keep], slot[keep]
         count = self.count[slot]
         within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         post = np.repeat(self.first[slot], count) + within
@@ -192,15 +207,18 @@ class Index:
         key = items * wide + (part - low)
         order = np.argsort(key, kind="stable")
         key, place = key[order], place[order]
-        parts, first, count = np.unique(key, return_index=True, return_counts=True)
-        starts = np.unique(np.concatenate([parts, parts - 1]))  # `wide` leaves gaps between items
-        a, b = np.searchsorted(parts, starts), np.searchsorted(parts, starts + 2)
-        ends = np.append(first, len(key))
-        dense = np.flatnonzero(ends[b] - ends[a] >= self.need[starts // wide])
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        parts, ends = key[first], np.append(first[1:], len(key))
+        joined = np.append(parts[1:] == parts[:-1] + 1, False)  # `wide` leaves gaps between items
+        stop = np.where(joined, np.append(ends[1:], 0), ends)
+        least = self.need[parts // wide]
         bands: dict[int, list] = {}
-        for n in dense:
-            bands.setdefault(int(starts[n] // wide), []).append(
-                (int(starts[n] % wide + low), np.unique(place[ends[a[n]]:ends[b[n]]])))
+        for n in np.flatnonzero(stop - first >= least):
+            i, band = divmod(int(parts[n]), int(wide))
+            counted = bands.setdefault(i, [])
+            if ends[n] - first[n] >= least[n] and not (n and joined[n - 1]):
+                counted.append((band + int(low) - 1, np.unique(place[first[n]:ends[n]])))
+            counted.append((band + int(low), np.unique(place[first[n]:stop[n]])))
         found = [self._verified(i, counted, codes, left) for i, counted in sorted(bands.items())]
         return [f for f in found if f]
 
@@ -265,7 +283,7 @@ def _item_pieces(benchmark: DataFrame, q: int, window: int, step: int) -> DataFr
 
 def _sieve(pieces: DataFrame, chars: int, sizes: list[int], q: int, rate: float) -> Sieve:
     """The bitmap is put together by 64-bit words; 2^20 words at most reach the driver."""
-    shift = 64 - min(MAX_BITS, max(16, (8 * chars).bit_length()))
+    shift = 64 - min(MAX_BITS, max(16, (64 * chars).bit_length()))
 
     def run(batches):
         for batch in batches:

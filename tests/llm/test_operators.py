@@ -458,14 +458,42 @@ def test_licences(spark):
         docs.append((d, "\n".join([filler(), licences.TEMPLATES[family][0] if family else "My driving license was " + filler(), filler()]), "en", "s", 1))
         want[d] = family
     got = licences.scan(documents(spark, docs)).collect()
-    assert len(got) == 180 and all(r["paragraph_no"] == 1 for r in got)
-    right = [(r["family"] if r["confirmed"] else None) == want[r["doc_id"]] for r in got]
+    lines = [r for r in got if r["unit"] == "line" and r["paragraph_no"] == 1]
+    assert len(lines) == 180 and not any(r["confirmed"] for r in got if r["unit"] == "line" and r["paragraph_no"] != 1)
+    right = [(r["family"] if r["confirmed"] else None) == want[r["doc_id"]] for r in lines]
     assert sum(right) / len(right) > 0.97
     odd = documents(spark, odd_rows() + [(8, "All rights reserved.", None, None, 1)] * 2).withColumn("family", F.lit(1))
-    assert [r["doc_id"] for r in licences.scan(odd).collect()] == [8, 8]
+    assert [r["doc_id"] for r in licences.scan(odd).where("confirmed").collect()] == [8, 8]
     assert licences.scan(empty(spark)).count() == 0
 
 
+WRAPPED = {
+    1: ("gpl-3.0", "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General "
+                   "Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n"
+                   "(at your option) any later version."),
+    2: (None, "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General "
+              "Public License as published by\nthe Free Software Foundation; version 2 of the License."),
+    3: ("bsd", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that "
+               "the following conditions\nare met:"),
+    4: (None, "This work is licensed under the GNU General Public License, version 2."),
+    5: ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    6: ("mit", "Permission is hereby granted, free of charge, to any person obtaining\na copy of this software and associated "
+               "documentation files (the\n\"Software\"), to deal in the Software without restriction"),
+}
+
+
+def test_wrapped_licences_and_versions(spark):
+    rng = random.Random(8)
+    filler = lambda: " ".join("".join(rng.choices("aeioustrnl", k=6)) for _ in range(15))
+    docs = [(d, f"{filler()}\n{filler()}\n\n{text}\n \n{filler()}", "en", "s", 1) for d, (_, text) in WRAPPED.items()]
+    docs += [(100 + d, "\n".join(filler() for _ in range(4)), "en", "s", 1) for d in range(200)]
+    got = licences.scan(documents(spark, docs)).where("confirmed").collect()
+    assert {(r["doc_id"], r["family"]) for r in got} == {(d, f) for d, (f, _) in WRAPPED.items() if f}
+    units = licences.paragraphs(documents(spark, [(1, "a\nb\n \t\nc\n\n\nd\ne\n", "en", "s", 1)])).collect()
+    assert [r["text"] for r in units if r["unit"] == "line"] == list("abcde")
+    assert [[x for x in r["text"].split("\n") if x] for r in units if r["unit"] == "block"] == [["a", "b"], ["d", "e"]]
+
+
 def test_every_template_has_a_cue():
     import re as r
     for texts in licences.TEMPLATES.values():

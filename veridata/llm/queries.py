@@ -68,7 +68,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every paragraph with a licence cue, its family and whether a template confirms it."""
+    """Every line and block with a licence cue or a family, and whether a template confirms it."""
     return licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 

@@ -87,3 +87,12 @@ def test_sentiment_is_calibrated_and_keeps_every_row(spark):
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "great")], "doc_id long, text string")
     got = {r["doc_id"]: r["p"] for r in fitted.probability(odd, "text", "p").collect()}
     assert got[1] == fitted.prior and got.keys() == {1, 2, 3} and got[3] > 0.9
+
+
+def test_wide_spans_come_in_bounded_batches(spark):
+    rows = "<tr><td>x</td></tr>" * 299
+    html = f"<table><tr><td colspan=1000 rowspan=65534>a</td></tr>{rows}</table>"
+    found = pages.page_tables(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string"))
+    assert found.groupBy("page_id").agg(F.count("*"), F.count("cell"), F.max("row_no"), F.max("col_no")).collect() == [
+        (1, 300 * 1001, 300 * 1000 + 299, 299, 1000)]
+    assert found.where("cell = 'x'").count() == 299

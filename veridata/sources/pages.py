@@ -9,6 +9,7 @@ ordinary Spark aggregations.
 from __future__ import annotations
 
 from html.parser import HTMLParser
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,6 +26,7 @@ SKIP_TAGS = {"script", "style", "template", "noscript"}
 
 
 MAX_COLSPAN, MAX_ROWSPAN = 1000, 65534  # limits of the HTML standard
+CELLS_AT_ONCE = 50_000                  # cells of a result batch
 
 
 def _span(attrs, name: str, most: int) -> int:
@@ -61,9 +63,10 @@ class _Table:
         self.close_cell()
         self.in_row = False
 
-    def grid(self) -> list[tuple[bool, list[str]]]:
-        """Rows with cells as (all are headers, texts); spanning cells are repeated in every place."""
-        out, hanging = [], {}  # column -> (rows left, text)
+    def grid(self):
+        """Rows with cells as (all are headers, texts), one at a time; spanning cells are
+        repeated in every place."""
+        hanging: dict[int, tuple[int, str]] = {}  # column -> (rows left, text)
         for row in filter(None, self.rows):
             texts: dict[int, str] = {c: text for c, (_, text) in hanging.items()}
             hanging = {c: (left - 1, text) for c, (left, text) in hanging.items() if left > 1}
@@ -75,8 +78,21 @@ class _Table:
                     texts[at] = text
                     if down > 1:
                         hanging[at] = (down - 1, text)
-            out.append((all(cell[0] for cell in row), [texts.get(c, "") for c in range(max(texts) + 1)]))
-        return out
+            yield all(cell[0] for cell in row), [texts.get(c, "") for c in range(max(texts) + 1)]
+
+    @property
+    def holds_text(self) -> bool:
+        return any(cell[3] for row in self.rows for cell in row)
+
+    def shape(self) -> tuple[list[str] | None, int, int]:
+        """(texts of the first header row, number of data rows, width of the data rows)."""
+        head, count, width = None, 0, 0
+        for is_header, texts in self.grid():
+            if is_header:
+                head = texts if head is None else head
+            else:
+                count, width = count + 1, max(width, len(texts))
+        return head, count, width
 
 
 class _Extractor(HTMLParser):
@@ -146,10 +162,13 @@ class _Extractor(HTMLParser):
             self._open.pop().close_row()
 
     @property
-    def tables(self) -> list[list[tuple[bool, list[str]]]]:
+    def filled(self) -> list[_Table]:
         """Tables that hold text, in document order."""
-        grids = [t.grid() for t in self._all]
-        return [g for g in grids if any(text for _, texts in g for text in texts)]
+        return [t for t in self._all if t.holds_text]
+
+    @property
+    def tables(self) -> list[list[tuple[bool, list[str]]]]:
+        return [list(t.grid()) for t in self.filled]
 
 
 def _parse(html: str) -> _Extractor:
@@ -177,28 +196,24 @@ def page_tables(pages: DataFrame) -> DataFrame:
     (page_id, table_no, row_no, col_no, header, cell). ``table_no`` is the place
     among all tables of the page that hold text; the header row (all ``<th>``) names
     the columns. End tags may be missing, nested tables are tables of their own, and
-    cells that span rows or columns are repeated."""
+    cells that span rows or columns are repeated. A task holds ``CELLS_AT_ONCE`` cells at a time."""
+    names = ["page_id", "table_no", "row_no", "col_no", "header", "cell"]
+
+    def cells(pid, html):
+        for k, found in enumerate(_parse(html).filled):
+            head, count, width = found.shape()
+            if count < MIN_TABLE_ROWS or width < MIN_TABLE_COLS:
+                continue
+            heads = [(head[j] if head and j < len(head) else str(j)) for j in range(width)]
+            for i, row in enumerate(texts for is_header, texts in found.grid() if not is_header):
+                for j in range(width):
+                    yield pid, k, i, j, heads[j], row[j] if j < len(row) else None
+
     def run(batches):
         for b in batches:
-            out = {"page_id": [], "table_no": [], "row_no": [], "col_no": [], "header": [], "cell": []}
-            for pid, h in zip(b["page_id"], b["html"]):
-                for k, rows in enumerate(_parse(h).tables):
-                    head = next((r for is_h, r in rows if is_h), None)
-                    body = [r for is_h, r in rows if not is_h]
-                    width = max((len(r) for r in body), default=0)
-                    if len(body) < MIN_TABLE_ROWS or width < MIN_TABLE_COLS:
-                        continue
-                    names = [(head[j] if head and j < len(head) else str(j)) for j in range(width)]
-                    for i, r in enumerate(body):
-                        for j in range(width):
-                            out["page_id"].append(pid)
-                            out["table_no"].append(k)
-                            out["row_no"].append(i)
-                            out["col_no"].append(j)
-                            out["header"].append(names[j])
-                            out["cell"].append(r[j] if j < len(r) else None)
-            if out["page_id"]:
-                yield pd.DataFrame(out)
+            every = (c for pid, h in zip(b["page_id"], b["html"]) for c in cells(pid, h))
+            while some := list(islice(every, CELLS_AT_ONCE)):
+                yield pd.DataFrame(some, columns=names)
     schema = "page_id long, table_no int, row_no int, col_no int, header string, cell string"
     return pages.select("page_id", "html").mapInPandas(run, schema)
 

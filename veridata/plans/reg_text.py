@@ -136,7 +136,25 @@ def q_entity_groups(spark, d):
 
 
 # ── pages ───────────────────────────────────────────────────────────────────
-@register("page_text")
+# Paragraphs by pattern: what the parser skips goes first, then a paragraph runs from its start tag
+# to its end tag or the next start tag of a block.
+_BLOCK_STARTS = "|".join(sorted(PG.BLOCK_TAGS - {"p"}))
+_SKIPPED = "|".join(sorted(PG.SKIP_TAGS))
+
+
+@register("page_text", rf"""
+WITH bare AS (
+  SELECT page_id, regexp_replace(regexp_replace(coalesce(html, ''), '<!--.*?-->', '', 'gs'),
+    '<({_SKIPPED})\b.*?</({_SKIPPED})\s*>', '', 'gis') AS h FROM pages),
+cut AS (
+  SELECT page_id, string_split(regexp_replace(regexp_replace(h, '<p(\s[^>]*)?>', chr(1) || chr(2), 'gi'),
+    '</p\s*>|<({_BLOCK_STARTS})(\s[^>]*)?/?>', chr(1), 'gi'), chr(1)) AS parts FROM bare),
+texts AS (
+  SELECT page_id, list_transform(list_filter(parts, lambda t: starts_with(t, chr(2))), lambda t:
+    regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(substring(t, 2), '<[^>]*>', '', 'g'),
+      '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', chr(160)), '&amp;', '&'),
+      '^[\s\x{{a0}}]+|[\s\x{{a0}}]+$', '', 'g')) AS ps FROM cut)
+SELECT page_id, array_to_string(list_filter(ps, lambda t: length(t) > 20), ' ') AS text FROM texts""")
 def q_page_text(spark, d):
     return PG.page_text(table(spark, d, "pages"))
 

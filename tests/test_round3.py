@@ -2,7 +2,11 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as E
+from veridata.functions import compat as C
+from veridata.operators import clean as CL
 
 
 def _events(spark, folder, n=60):
@@ -22,3 +26,19 @@ def test_clean_fill_mode_fills_all_columns(spark, tmp_path):
     assert {r["event_type"] for r in got if r["event_id"] % 11 == 0} == {"click"}
     assert all(r["value"] is not None and r["mostly_null"] is not None for r in got)
     assert "mostly_null" in E.oracle_sql()["clean_fill_mode"].split("SELECT event_id")[-1]
+
+
+def test_retyped_text_is_computed_once(spark):
+    df = spark.createDataFrame([(f" {i} ", f"2024-01-{i % 28 + 1:02d}", "x ") for i in range(40)], "n string, day string, t string")
+    r = CL.clean(df.unionByName(df))
+    assert any("clean-text" in f for f in r.data.inputFiles())  # the passes behind read files, they do not parse again
+    assert r.data.dtypes == [("n", "bigint"), ("day", "timestamp"), ("t", "string")][:2]
+    assert r.data.count() == 40
+    none = df.withColumn("nothing", F.lit(None))  # a type that files cannot hold
+    assert CL.clean(none, {"drop_constant": False, "null_strategy": "none"}).data.count() == 40
+
+
+def test_strip_is_the_pattern(spark):
+    texts = ["", " ", "a", " a\t", "\n a b \r\n", "a \u0085", "a\u2028 ", " \u2029", "\u00a0a ", "\x0ba\f", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert df.where(~C.py_strip(F.col("t")).eqNullSafe(F.regexp_replace("t", C.STRIP_PATTERN, ""))).count() == 0

@@ -5,6 +5,8 @@ Everything here builds Spark ``Column`` expressions; nothing touches data.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,6 +45,8 @@ DATE_FORMATS = [
 DATE_HINT_PATTERN = r"^(\d{4}[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{8}$|[A-Za-z]{3} \d|\d{1,2} [A-Za-z]{3})"
 # Python's str.strip() whitespace, as a regex (SQL trim keeps tabs).
 STRIP_PATTERN = r"^\s+|\s+$"
+STRIP_CHARACTERS = " \t\n\x0b\f\r"
+LATE_ENDS = ("\u0085", "\u2028", "\u2029")
 
 
 # ── type classes ────────────────────────────────────────────────────────────
@@ -100,8 +104,13 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 
 def py_strip(c: Column) -> Column:
-    """Strip all leading/trailing whitespace like Python's ``str.strip``."""
-    return F.regexp_replace(c, STRIP_PATTERN, "")
+    """Strip all leading/trailing whitespace like Python's ``str.strip``.
+
+    Trims by characters; only before a closing line separator beyond these, where ``$``
+    matches too, is the pattern itself needed.
+    """
+    ends = reduce(Column.__or__, [c.endswith(x) for x in LATE_ENDS])
+    return F.when(ends, F.regexp_replace(c, STRIP_PATTERN, "")).otherwise(F.btrim(c, F.lit(STRIP_CHARACTERS)))
 
 
 def parse_number(c: Column) -> Column:
@@ -133,7 +142,11 @@ DATE_SHAPES = [
 
 def parse_timestamp(c: Column) -> Column:
     """Text → timestamp through the closed list of formats; unparsed → null."""
-    txt = py_strip(c.cast("string"))
+    return parse_stripped_timestamp(py_strip(c.cast("string")))
+
+
+def parse_stripped_timestamp(txt: Column) -> Column:
+    """``parse_timestamp`` of text without blanks around."""
     out = None
     for shape, fmts in DATE_SHAPES:
         val = F.coalesce(*[F.try_to_timestamp(txt, F.lit(f)) for f in fmts]) if len(fmts) > 1 \

@@ -9,6 +9,7 @@ from veridata.functions import compat as C
 from veridata.functions import spread as S
 from veridata.operators import clean as CL
 from veridata.operators import models as M
+from veridata.operators import quality
 
 
 def _events(spark, folder, n=60):
@@ -46,10 +47,11 @@ def test_strip_is_the_pattern(spark):
     assert df.where(~C.py_strip(F.col("t")).eqNullSafe(F.regexp_replace("t", C.STRIP_PATTERN, ""))).count() == 0
 
 
-def test_split_is_written_once(spark):
+def test_split_hashes_are_written_once(spark):
     df = spark.createDataFrame([(float(i % 37), float(i % 3)) for i in range(400)], "x double, label double")
     train, test, _ = M.stratified_split(df, 400)
-    assert all("split-parts" in f for f in train.inputFiles() + test.inputFiles())  # fits read files, they do not split again
+    assert all("split-" in f for f in train.inputFiles() + test.inputFiles())  # fits read files, they do not hash again
+    assert any("split-hashes" in f for f in train.inputFiles())
     assert train.count() + test.count() == 400 and sorted(train.union(test).collect()) == sorted(df.collect())
 
 
@@ -61,3 +63,12 @@ def test_tasks_hold_bounded_rows(spark, monkeypatch):
     data.unpersist()
     with S.shared(df, always=True) as kept:
         assert kept.rdd.getNumPartitions() >= 20 and kept.count() == 200
+
+
+def test_mistyped_texts_are_stripped_once(spark, monkeypatch):
+    calls = []
+    strip = C.py_strip
+    monkeypatch.setattr(C, "py_strip", lambda c: calls.append(c) or strip(c))
+    monkeypatch.setattr(C, "parse_timestamp", None)  # which would strip again for each of its tests
+    df = spark.createDataFrame([(" 2024-01-02 ", "x", "7"), ("2024-01-03", "y", " 8 ")], "a string, b string, c string")
+    assert quality.mistyped_columns(df) == ["a", "c"] and len(calls) == 3

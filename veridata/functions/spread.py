@@ -32,7 +32,7 @@ ROWS_PER_TASK = 250_000
 def dealt(df: DataFrame, n: int) -> DataFrame:
     """``df`` of ``n`` rows in partitions of about ``ROWS_PER_TASK`` at most, so that what one task
     reads and keeps does not grow with the table; what has that many partitions stays as it is."""
-    least = max(df.sparkSession.sparkContext.defaultParallelism, -(-n // ROWS_PER_TASK))
+    least = -(-n // ROWS_PER_TASK)
     return df.repartition(least) if partitions(df) < least else df
 
 
@@ -41,7 +41,7 @@ def shared(df: DataFrame, always: bool = False):
     """``df`` for several passes: dealt over all cores and kept (MEMORY_AND_DISK: a lost block is
     rebuilt from lineage) if it has few partitions, else as it is, or kept too with ``always``,
     then in partitions of bounded rows."""
-    wide = dealt(df, df.count()) if always else spread(df)
+    wide = dealt(spread(df), df.count()) if always else spread(df)
     if wide is df and not always:
         yield df
         return

@@ -47,11 +47,13 @@ def mistyped_columns(df: DataFrame) -> list[str]:
     if not txt:
         return []
     aggs = []
-    for i, c in enumerate(txt):
-        x = C.col(c)
+    # every text is stripped once, in a projection of its own below the tests that read it
+    pairs = df.select(*[x for i, c in enumerate(txt) for x in (C.col(c).alias(f"raw{i}"), C.py_strip(C.col(c)).alias(f"bare{i}"))])
+    for i in range(len(txt)):
+        x = F.col(f"raw{i}")
         aggs += [F.count(x).alias(f"nn{i}"), F.count(C.parse_number(x)).alias(f"num{i}"),
-                 F.count(C.parse_timestamp(x)).alias(f"ts{i}")]
-    r = df.agg(*aggs).first()
+                 F.count(C.parse_stripped_timestamp(F.col(f"bare{i}"))).alias(f"ts{i}")]
+    r = pairs.agg(*aggs).first()
     out = []
     for i, c in enumerate(txt):
         nn = int(r[f"nn{i}"])

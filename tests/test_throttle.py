@@ -110,3 +110,23 @@ def test_events_wait_for_the_watermark(spark, tmp_path):
     q.awaitTermination()
     # the watermark ends at 80: the events at 40 and 70 are decided, those at 100 and 130 wait
     assert decisions(spark.read.parquet(str(tmp_path / "out"))) == {2: (True, None), 3: (False, 31)}
+
+
+def test_the_stream_keeps_one_state_a_bucket(spark, tmp_path):
+    """Calls and state rows do not grow with the keys; ids beyond 2^53 stay exact beside the closing row."""
+    rng = random.Random(6)
+    rows = [(i % 40, 2 ** 60 + i, 1_000_000 + i * 2 + rng.randrange(3)) for i in range(400)]
+    want = brute(rows, 200, {"g": 2})
+    src = str(tmp_path / "in")
+    for at in (0, 200):
+        frame(spark, rows[at:at + 200]).coalesce(1).write.mode("append").parquet(src)
+    ev = frame(spark, rows)
+    TH.closing_row(ev, after_s=2000).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    out = TH.throttle_stream(stream, window_s=200, limits={"g": 2}, watermark="600 seconds", buckets=4)
+    q = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+        "checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert decisions(spark.read.parquet(str(tmp_path / "out"))) == want
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]) <= 4
+    assert any(not ok for ok, _ in want.values())

@@ -15,10 +15,10 @@ at bucket borders and replayed by speculation, see ``replay``. Then one pass dec
 ``repartition(key, segment, chunk)`` + ``sortWithinPartitions`` + ``mapInPandas``, where
 each task streams its sorted partition and keeps one ring.
 
-Stream plan: ``applyInPandasWithState`` with the same step. Events wait in the key's state
-until the watermark has passed them and are decided in (ts, event_id) order, so the order of
-arrival does not matter; the state is the ring and the events that wait, and an event-time
-timeout releases these and purges idle keys (ST3). Events of an exempt class (null) are
+Stream plan: ``applyInPandasWithState`` with the same step, over a fixed number of key buckets.
+Events wait in their bucket's state until the watermark has passed them and are decided in (ts,
+event_id) order, so the order of arrival does not matter; the state is each key's ring and the
+events that wait, and an event-time timeout releases these and purges idle keys (ST3). Events of an exempt class (null) are
 admitted by a projection and never reach the state.
 """
 
@@ -312,21 +312,27 @@ def cost_class_of(path: F.Column, heavy_prefixes: list[str], exempt_prefixes: li
 
 
 # ── Structured Streaming ────────────────────────────────────────────────────
-STATE_SCHEMA = "accepted array<long>, ts array<long>, ids array<long>, cost_class string"
+STATE_SCHEMA = ("keys array<string>, classes array<string>, accepted array<array<long>>, of array<int>, ts array<long>, "
+                "ids array<long>")
+BUCKETS = 1024  # groups of keys that share a state, fixed for the life of a stream
 
 
 def throttle_stream(stream: DataFrame, key: str = "user_id", ts: str = "ts", id_col: str = "event_id",
                     window_s: int = WINDOW_S, limits: dict[str, int] | None = None,
-                    cost_class: str | None = None, watermark: str | None = None) -> DataFrame:
+                    cost_class: str | None = None, watermark: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Streaming form: with a ``watermark`` (a delay) the decisions of the batch, however the events
     are ordered on arrival within it. Without one events are taken to arrive in time order and
     are decided in their micro-batch.
 
-    An event waits in its key's state until the watermark has passed its time: Spark drops what
+    An event waits in the state until the watermark has passed its time: Spark drops what
     arrives behind the watermark (our stated policy), so nothing can come before it any more. It
-    is then decided in (ts, event_id) order, at the next event of its key or by an event-time
+    is then decided in (ts, event_id) order, at the next event of its bucket or by an event-time
     timeout. A key holds the events of one watermark delay and one micro-batch, which the
-    source's batch size bounds, and its state goes ``window`` after its newest accepted time.
+    source's batch size bounds, and goes ``window`` after its newest accepted time.
+
+    Keys are dealt by hash into ``buckets`` groups, a state each: a call of the function costs
+    milliseconds whatever it holds, so their number must not grow with the keys. Every key keeps
+    a ring of its own in its bucket. Events without a time raise an error.
 
     Decisions come one watermark delay late. Before the first event Spark's watermark is the epoch,
     so times up to 1970-01-01 count as late. A row without an id is no event but moves the
@@ -335,38 +341,48 @@ def throttle_stream(stream: DataFrame, key: str = "user_id", ts: str = "ts", id_
     limits = limits or {"g": GENERAL_LIMIT, "h": HEAVY_LIMIT}
     window_us = int(window_s * US)
     ev = _prepare(stream, key, ts, id_col, cost_class)
+    ev = ev.withColumn("ts_us", F.coalesce("ts_us", F.raise_error(F.lit("event without a time")).cast("long")))
     limited = (ev.where(F.col("cost_class").isNotNull()).withColumn("_t", F.timestamp_micros("ts_us"))
-               .withWatermark("_t", watermark or f"{int(window_s)} seconds"))
+               .withWatermark("_t", watermark or f"{int(window_s)} seconds")
+               # whole numbers stay exact in pandas only without nulls
+               .withColumn("_event", F.col("event_id").isNotNull()).withColumn("event_id", F.coalesce("event_id", F.lit(0)))
+               .withColumn("_bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")))
 
-    def fn(k, pdfs, state):
-        times, waiting, ids, cls = state.get if state.exists else ([], [], [], None)
+    def fn(_, pdfs, state):
         now_ms = state.getCurrentWatermarkMs()
-        rows = list(zip(waiting, ids))
+        rings, rows = {}, []  # key -> (class, ring); (ts, id, key) that wait
+        if state.exists:
+            keys, classes, accepted, of, times, ids = state.get
+            rings = {k: (c, ring(limits, c, a)) for k, c, a in zip(keys, classes, accepted)}
+            rows = list(zip(times, ids, [keys[i] for i in of]))
         if not state.hasTimedOut:
             for p in pdfs:
-                events = p[p["event_id"].notna()]
-                rows += zip(events["ts_us"].tolist(), events["event_id"].astype("int64").tolist())
-                cls = cls or next(iter(events["cost_class"]), None)
-        if not rows and not len(times):
-            if state.exists:
-                state.remove()
-            return
+                events = p[p["_event"]]
+                rows += zip(events["ts_us"].tolist(), events["event_id"].tolist(), events["key"].tolist())
+                for k, c in dict(zip(events["key"], events["cost_class"])).items():
+                    if k not in rings:
+                        rings[k] = c, ring(limits, c)
         rows.sort()
-        due = sum(t <= now_ms * 1000 for t, _ in rows) if watermark else len(rows)
-        accepted = ring(limits, cls, times)
-        decisions = [step(accepted, int(t), window_us) for t, _ in rows[:due]]
+        due = sum(t <= now_ms * 1000 for t, _, _ in rows) if watermark else len(rows)
+        decisions = [step(rings[k][1], t, window_us) for t, _, k in rows[:due]]
         left = rows[due:]
-        goes = int(left[0][0] // 1000) if left else int(accepted[-1] // 1000 + window_s * 1000)
-        if not left and goes < now_ms:
+        # a key without waiting events goes once its newest accepted time has left the window
+        waits = {k for _, _, k in left}
+        goes = {k: int(a[-1] // 1000 + window_s * 1000) for k, (_, a) in rings.items() if k not in waits and len(a)}
+        keys = [k for k in rings if k in waits or goes.get(k, -1) >= now_ms]
+        if keys:
+            number = {k: i for i, k in enumerate(keys)}
+            state.update((keys, [rings[k][0] for k in keys], [list(rings[k][1]) for k in keys], [number[k] for _, _, k in left],
+                          [t for t, _, _ in left], [i for _, i, _ in left]))
+            next_ms = min([int(left[0][0] // 1000)] if left else [goes[k] for k in keys])
+            state.setTimeoutTimestamp(max(next_ms, now_ms + 1))
+        elif state.exists:
             state.remove()
-        else:
-            state.update((list(accepted), [t for t, _ in left], [i for _, i in left], cls))
-            state.setTimeoutTimestamp(max(goes, now_ms + 1))
         if due:
-            pdf = pd.DataFrame(rows[:due], columns=["ts_us", "event_id"]).assign(key=k[0], cost_class=cls)
-            yield _decided(pdf, decisions)
+            pdf = pd.DataFrame(rows[:due], columns=["ts_us", "event_id", "key"])
+            yield _decided(pdf.assign(cost_class=[rings[k][0] for k in pdf["key"]]), decisions)
 
-    out = limited.groupBy("key").applyInPandasWithState(
+    out = limited.groupBy("_bucket").applyInPandasWithState(
         fn, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
     return out.unionByName(_exempt(ev.where("event_id is not null"))) if cost_class else out
 

@@ -68,6 +68,18 @@ def test_tasks_are_guarded(spark):
         TX.run_task(docs, "translate")
 
 
+def test_sentiment_deals_one_row_group_over_the_cores(spark):
+    """Rows that lie in one partition of several are scored by all tasks."""
+    texts = F.when(F.col("id") % 2 == 0, "good fine text").otherwise("bad poor words")
+    one = spark.range(0, 800, 1, 8).where("id < 100").select(
+        F.col("id").alias("doc_id"), F.concat_ws(" ", texts, F.col("id").cast("string")).alias("text"),
+        (F.col("id") % 2 == 0).cast("int").alias("quality"))
+    assert one.select(F.spark_partition_id()).distinct().count() == 1
+    got = TX.sentiment(one, one, num_features=1 << 8).withColumn("task", F.spark_partition_id()).collect()
+    assert len({r["task"] for r in got}) >= 4 and len(got) == 100
+    assert all(r["label"] == (r["doc_id"] % 2 == 0) for r in got)
+
+
 def test_sentiment_is_calibrated_and_keeps_every_row(spark):
     rng = random.Random(4)
     rows = []

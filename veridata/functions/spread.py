@@ -26,6 +26,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if partitions(df) < cores else df
 
 
+def even(df: DataFrame) -> DataFrame:
+    """``df`` dealt evenly over at least all cores, for costly work on each row: a file may be
+    planned in many splits and yet lie in one row group, which one task then reads."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, partitions(df)))
+
+
 ROWS_PER_TASK = 250_000
 
 

@@ -68,7 +68,7 @@ def test_tasks_are_guarded(spark):
         TX.run_task(docs, "translate")
 
 
-def test_sentiment_deals_one_row_group_over_the_cores(spark):
+def test_sentiment_deals_one_row_group_over_the_cores(spark, monkeypatch):
     """Rows that lie in one partition of several are scored by all tasks."""
     texts = F.when(F.col("id") % 2 == 0, "good fine text").otherwise("bad poor words")
     one = spark.range(0, 800, 1, 8).where("id < 100").select(
@@ -77,6 +77,9 @@ def test_sentiment_deals_one_row_group_over_the_cores(spark):
     assert one.select(F.spark_partition_id()).distinct().count() == 1
     got = TX.sentiment(one, one, num_features=1 << 8).withColumn("task", F.spark_partition_id()).collect()
     assert len({r["task"] for r in got}) >= 4 and len(got) == 100
+    monkeypatch.setattr(TX, "FEW_TEXTS", 50)
+    dealt = {r["doc_id"]: r for r in TX.sentiment(one, one, num_features=1 << 8).collect()}
+    assert all(r["label"] == dealt[r["doc_id"]]["label"] and abs(r["score"] - dealt[r["doc_id"]]["score"]) < 0.01 for r in got)
     assert all(r["label"] == (r["doc_id"] % 2 == 0) for r in got)
 
 

@@ -494,6 +494,33 @@ def test_wrapped_licences_and_versions(spark):
     assert [[x for x in r["text"].split("\n") if x] for r in units if r["unit"] == "block"] == [["a", "b"], ["d", "e"]]
 
 
+def test_cue_of_every_paragraph_is_the_patterns(spark):
+    texts = ["Licence A\nplain", "LICENSE", "licen", "COPYRIGHT x", "all Rights Reserved.", "rights\nreserved", "Creative  Commons",
+             "creative Commons", "CC BY", "xcc by", "xcc byx", "cc-by 4", "accc-by", "PERMISSION IS", "redistributed", "\u0130 licen\u017fe",
+             "licen\u212ae", "\u03a3 licenSe\u03a3", "cc by\nnothing", "", None, " \n ", "plain\n\nplain\nredistribut"]
+    docs = documents(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)] + [(None, "CC BY", None, None, 1)] * 2)
+    for splitter in ("\n", "x"):
+        want = licences.paragraphs(docs, splitter).withColumn("cue", F.col("text").rlike(licences.CUES).cast("double"))
+        got = licences.cued(docs.withColumn("hint", F.lit(False)).withColumn("low", F.lit("")), splitter)
+        assert got.columns == want.columns and sorted(map(str, rows_of(got))) == sorted(map(str, rows_of(want)))
+        assert 0 < got.where("cue = 1").count() < got.count()
+
+
+def test_licence_sample_comes_from_one_pass(spark, monkeypatch):
+    plans, write = [], licences.stage
+
+    def watched(df, name):
+        if name == "licence-sample":
+            raise InterruptedError(name)
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(licences, "stage", watched)
+    with pytest.raises(InterruptedError):
+        licences.scan(documents(spark, odd_rows()))
+    assert sum("Generate explode" in p for p in plans) == 1
+
+
 def test_every_template_has_a_cue():
     import re as r
     for texts in licences.TEMPLATES.values():

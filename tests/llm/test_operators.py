@@ -521,6 +521,39 @@ def test_licence_sample_comes_from_one_pass(spark, monkeypatch):
     assert sum("Generate explode" in p for p in plans) == 1
 
 
+def test_licence_model_runs_once_a_paragraph(spark, monkeypatch):
+    plans, write = {}, licences.stage
+
+    def watched(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(licences, "stage", watched)
+    licences.scan(documents(spark, odd_rows()))
+    tests = [x for x in plans["licence-scored"].splitlines() if "Filter" in x]
+    assert any("best" in x for x in tests) and not any("UDF" in x for x in tests)
+
+
+def test_licence_lines_parsed_once_are_the_paragraphs(spark):
+    texts = ["", None, " \n ", "a\nb", "\n\n\na.\nB", "a\n \t\n\nb\r\n\r\nc\n", "a\n\n", "\na\n\x0b\nb\n\f\n\n\n...\n-\n", "a\n\n\n\nb\nlicence v. 2.0.\n",
+             "\u0130\n\u03a3\u03a3\n\u03a3", "x\u2028\u0085y\n\u00a0\nz", "a\n" * 300 + "\n" + "CC BY\n" * 300]
+    docs = documents(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)] + [(None, "a\nCC BY", None, None, 1)] * 2)
+    for splitter in ("\n", "a"):
+        want = licences.cued(docs, splitter).select("doc_id", "unit", "paragraph_no", licences.words(F.col("text")).alias("words"), "cue")
+        got = licences.parsed(docs.withColumn("hint", F.lit(False)).withColumn("blocks", F.lit("")), splitter).select(want.columns)
+        assert sorted(map(str, rows_of(got))) == sorted(map(str, rows_of(want))) and got.where("unit = 'block'").count() > 5
+
+
+def test_licence_words_are_runs_without_edge_dots(spark):
+    texts = ["", " ", "...", "v. 2.0.", ".a..b. c", "A.B-C_D", "x" + "." * 50_000 + "y z" + "." * 50_000, "1." * 50_000,
+             "\u0130stanbul \u03a3\u03a3. e\u0301a", "\u00c4rger \u4f60\u597d.\U0001d7d8 \u00b2", "a\nb\r\n.\tc", None]
+    text = F.col("text")
+    parts = F.transform(F.split(F.lower(text), r"[^\p{L}\p{N}.]+"), lambda w: F.btrim(w, F.lit(".")))
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(
+        licences.words(text).alias("got"), F.filter(parts, lambda w: w != "").alias("want")).collect()
+    assert [r["got"] for r in rows] == [r["want"] for r in rows] and sum(r["got"] is None for r in rows) == 1
+
+
 def test_every_template_has_a_cue():
     import re as r
     for texts in licences.TEMPLATES.values():
